@@ -50,3 +50,23 @@ def assert_not_empty(df: DataFrame, what: str = "pool") -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"{what} is empty")
     return df
+
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, rows_per_task: int = 1_000_000) -> DataFrame:
+    """Inner join where ``key`` is unique on the right and may be very frequent on the left.
+
+    Only keys with more than ``rows_per_task`` left rows are salted, and only their
+    right rows are repeated. There can be at most rows / rows_per_task such keys,
+    which bounds the broadcast.
+    """
+    hot = (
+        left.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > rows_per_task)
+        .select(key, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
+    )
+    others = [c for c in left.columns if c != key] or [key]
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*others), salts).cast("int"))
+    repeated = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.drop("_salts").join(repeated.drop("_salts"), [key, "_salt"]).drop("_salt")
