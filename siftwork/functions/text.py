@@ -13,6 +13,19 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    Inside a higher-order function the optimizer may inline an expensive column
+    into the lambda and evaluate it for every element; a lambda variable is safe.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def has_word(text) -> Column:
+    return _c(text).rlike(r"[\p{L}\p{N}]")
+
+
 def normal_form(text) -> Column:
     """Lower case without white space and punctuation."""
     return F.regexp_replace(F.lower(_c(text)), NOT_WORD, "")
@@ -24,10 +37,14 @@ def words(text) -> Column:
 
 def ngram_hashes(word_array, n: int) -> Column:
     """Distinct hashes of word n-grams; a shorter text is one gram."""
-    w = _c(word_array)
-    last = F.greatest(F.size(w) - n, F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-    return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(grams))
+
+    def grams(w: Column) -> Column:
+        last = F.greatest(F.size(w) - n, F.lit(0))
+        return F.array_distinct(
+            F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+        )
+
+    return bind(_c(word_array), grams)
 
 
 def jaccard(a, b) -> Column:

@@ -66,8 +66,7 @@ def _band_keys(grams: pd.Series) -> pd.Series:
 
 def gram_sets(df: DataFrame, text: str, id_col: str = "sample_id", n: int = GRAM) -> DataFrame:
     """(id, grams) of the rows that have at least one word."""
-    d = df.select(id_col, TX.words(text).alias("_w")).where(F.size("_w") > 0)
-    return d.select(id_col, TX.ngram_hashes("_w", n).alias("grams"))
+    return df.where(TX.has_word(text)).select(id_col, TX.ngram_hashes(TX.words(text), n).alias("grams"))
 
 
 def _bands(sets: DataFrame, id_col: str) -> DataFrame:
