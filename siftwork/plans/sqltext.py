@@ -46,7 +46,7 @@ DELTAS = """deltas AS (
   SELECT l_partkey AS sample_id, l_returnflag AS peft_id, l_linestatus AS task_id,
          (l_suppkey % 2)::BIGINT AS anchor_idx,
          (CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE 4 END)::BIGINT AS horizon,
-         round(avg(l_extendedprice), 4) AS delta_raw
+         sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / (count(*) * 100.0::DOUBLE) AS delta_raw
   FROM lineitem GROUP BY ALL)"""
 
 EVENTS = """ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
