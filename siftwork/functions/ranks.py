@@ -82,7 +82,8 @@ def ranked(
 ) -> DataFrame:
     """``row_number`` of ``order`` within ``by``.
 
-    ``order`` must end in a unique key. With ``upto`` (a column constant within a
+    ``df`` is read three times (splitters, sizes, ranks): store a costly or nested
+    input first. ``order`` must end in a unique key. With ``upto`` (a column constant within a
     group) only ranks <= upto are returned, and parts that start beyond it are
     dropped before anything is sorted.
     """

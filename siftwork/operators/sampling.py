@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from siftwork.functions.ids import order_key
 from siftwork.functions.ranks import ranked, top_k
+from siftwork.session import cut_lineage
 
 
 def uniform_sample(df: DataFrame, k, seed: int = 0, id_col: str = "sample_id") -> DataFrame:
@@ -34,10 +35,10 @@ def balanced_sample(
     keyed = keyed.withColumn("_per", F.greatest(F.lit(1), F.floor(F.col("_k") / groups)).cast("bigint"))
     if fill:
         within = ranked(keyed, [group], ["_h", id_col], name="draw")
-        out = ranked(within, [], ["draw", group, id_col], upto="_k", name="position")
+        out = ranked(cut_lineage(within), [], ["draw", group, id_col], upto="_k", name="position")
     else:
         within = ranked(keyed, [group], ["_h", id_col], upto="_per", name="draw")
-        out = ranked(within, [], [group, "draw", id_col], upto="_k", name="position")
+        out = ranked(cut_lineage(within), [], [group, "draw", id_col], upto="_k", name="position")
     return out.drop("_h", "_k", "_per")
 
 
@@ -141,12 +142,12 @@ def coverage_triples(
     fits = F.col("low") + F.col("left") * F.col("s") >= budget
     depth_at = F.ceil((F.lit(budget) - F.col("low")) / F.col("left"))
     depth = run.agg(
-        F.coalesce(F.min(F.when(fits, depth_at)), F.max("s")).cast("bigint").alias("d")
+        F.coalesce(F.min(F.when(fits, F.struct("s", depth_at.alias("d"))))["d"], F.max("s")).cast("bigint").alias("d")
     ).scalar()
     shuffled = pool.select(*strata, "sample_id", order_key(seed, "sample_id").alias("_h"))
     kept = ranked(shuffled.withColumn("_d", depth), strata, ["_h", "sample_id"], upto="_d", name="_rs")
     triples = (
-        kept.join(F.broadcast(kind_sizes))
+        cut_lineage(kept).join(F.broadcast(kind_sizes))
         .withColumn("task", F.explode(task_array))
         .withColumn("config", F.explode("configs"))
         .withColumn("_ht", order_key(seed, "_rs", "config", "task"))
@@ -154,7 +155,7 @@ def coverage_triples(
     cell = [*strata, "family", "capacity", "task"]
     # within a stratum: sample by sample, the configurations of a sample in shuffled order
     inner = ranked(triples, cell, ["_rs", "_ht"], upto="_d", name="round")
-    inner = inner.withColumn("_hs", order_key(seed, *cell))
+    inner = cut_lineage(inner).withColumn("_hs", order_key(seed, *cell))
     out = top_k(inner, ["round", "_hs", "sample_id", "config"], budget, name="position")
     return out.select(*strata, "family", "capacity", "task", "config", "sample_id", "round", "position")
 

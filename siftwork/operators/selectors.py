@@ -12,6 +12,7 @@ from siftwork.functions.ranks import ranked, top_k
 from siftwork.operators.common import attach
 from siftwork.operators.quota import select_by_quota
 from siftwork.operators.sampling import balanced_sample, uniform_sample
+from siftwork.session import cut_lineage
 
 
 def top_by(df: DataFrame, score: str, k) -> DataFrame:
@@ -44,7 +45,7 @@ def centroid_distances(pool: DataFrame, vec: str = "joint", cluster: str = "clus
 def round_robin(df: DataFrame, group: str, order: list, k) -> DataFrame:
     """First of every group, then the second of every group, ... until k rows."""
     within = ranked(df, [group], order, name="round")
-    return top_k(within, ["round", group, order[-1]], k, name="rank")
+    return top_k(cut_lineage(within), ["round", group, order[-1]], k, name="rank")
 
 
 # ---------------------------------------------------------------- strategies
