@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwork.functions import text as TX
 from siftwork.operators.common import skewed_join
@@ -40,7 +41,7 @@ def removed_equal(df: DataFrame, key: Column, id_col: str = "sample_id") -> Data
 # ------------------------------------------------------------- near duplicates
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _band_keys(grams: pd.Series) -> pd.Series:
     """Band keys of the 128-permutation MinHash of each hash set."""
     rng = np.random.default_rng(7)
@@ -96,11 +97,12 @@ def near_duplicates(
        buckets, which makes the result complete.
     """
     raw = gram_sets(df, text, id_col).select(F.col(id_col).alias("id"), "grams")
-    signed = raw.withColumn("sig", F.md5(F.concat_ws(",", F.transform(F.array_sort("grams"), lambda g: g.cast("string")))))
-    firsts = signed.groupBy("sig").agg(F.min("id").alias("id")).select("id")
-    copies = raw.select("id").join(firsts, "id", "left_anti")
-    sets = cut_lineage(raw.join(firsts, "id", "left_semi"))
-    bands = _bands(sets, "id")
+    sig = F.md5(F.concat_ws(",", F.transform(F.array_sort("grams"), lambda g: g.cast("string"))))
+    sets = cut_lineage(raw.withColumn("sig", sig))  # texts are read and cut into grams once
+    firsts = sets.groupBy("sig").agg(F.min("id").alias("id")).select("id")
+    copies = sets.select("id").join(firsts, "id", "left_anti")
+    keys = sets.join(firsts, "id", "left_semi").select("id", F.size("grams").alias("n"), _band_keys("grams").alias("keys"))
+    bands = cut_lineage(keys).select("id", "n", F.explode("keys").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("bucket")
     members = cut_lineage(bands.join(shared, "bucket", "left_semi"))
     close = F.least("ny", "nx") >= F.lit(threshold) * F.greatest("ny", "nx")
@@ -109,7 +111,7 @@ def near_duplicates(
     for _ in range(rounds):
         pivots = open_.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("x"), F.col("n").alias("nx")), "id").alias("p"))
         stars = skewed_join(
-            members.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny")),
+            open_.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny")),
             pivots.select("bucket", "p.x", "p.nx"),
             "bucket",
         )

@@ -15,12 +15,16 @@ TOP = 100
 N_PAIRS = 5000
 
 
+def correlation(a, b):
+    """Pearson correlation as an aggregate; NULL without variance, also under ANSI division."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def spearman(df: DataFrame, by: list[str], name: str = "spearman", a: str = "pred", b: str = "truth") -> DataFrame:
     """Correlation of average-tie ranks; NULL below two rows or without variance."""
     d = average_rank(df.select(*by, a, b), by, a, "_ra")
     d = average_rank(d, by, b, "_rb")
-    ok = (F.count(F.lit(1)) >= 2) & (F.stddev_pop("_ra") > 0) & (F.stddev_pop("_rb") > 0)
-    return d.groupBy(*by).agg(F.when(ok, F.corr("_ra", "_rb")).alias(name))
+    return d.groupBy(*by).agg(correlation("_ra", "_rb").alias(name))
 
 
 # --------------------------------------------------------------- Kendall tau-b

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwork.functions.ids import hash_index
 from siftwork.functions.ranks import average_rank, value_ranks
@@ -84,7 +85,7 @@ def exact_bootstrap(cells: DataFrame, key: str, max_cells: int = 6) -> DataFrame
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _two_sided(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if v is None or v != v else math.erfc(v / math.sqrt(2.0)))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from siftwork.functions.ranks import ranked
+from siftwork.session import cut_lineage
 
 
 def penalised(df: DataFrame, penalty: float = 0.2, mu: str = "mu", sigma: str = "sigma") -> DataFrame:
@@ -104,7 +105,8 @@ def select_by_quota(
     scalar column, or the name of a column that is constant per key.
     """
     keys = keys or []
-    ranks = rank_in_clusters(scored, keys)
+    # narrow rows, read for the values and again for the picks: ranked once
+    ranks = cut_lineage(rank_in_clusters(scored, keys))
     values = cluster_values(ranks, keys, top_share)
     if isinstance(alpha, str) and alpha not in keys:
         raise ValueError(f"{alpha} must be one of the keys")

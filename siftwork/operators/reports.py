@@ -144,7 +144,7 @@ def pair_agreement(values: DataFrame, by: list[str], member: str, top_share: flo
 
     def rho(a, b) -> Column:
         x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-        return F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias("spearman"))
+        return F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), M.correlation(x, y).alias("spearman"))
 
     rhos = wide.groupBy(*by).agg(F.array(*[rho(a, b) for a, b in pairs]).alias("p")).select(*by, F.explode("p").alias("p")).select(*by, "p.*")
     top = ranked(d, keys, ["-value", "sample_id"], size_name="_n")

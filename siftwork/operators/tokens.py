@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import vectors as V
 from siftwork.operators.common import attach, skewed_join
+from siftwork.session import cut_lineage
 
 BOS, EOS = "<s>", "</s>"
 
@@ -70,14 +71,14 @@ def bigram_model(counts: DataFrame, k: float = 0.5) -> tuple[DataFrame, DataFram
 def token_stats(tokenised: DataFrame, id_col: str = "sample_id", k: float = 0.5) -> DataFrame:
     """The seven model statistics per row, under the add-k bigram model of the pool.
 
-    Loss is over supervised tokens, or over all when none is supervised. Frequent
-    bigrams and contexts are joined with salting.
+    Loss is over supervised tokens, or over all when none is supervised. A row's
+    counts are stored once; frequent bigrams are joined with salting.
     """
-    counts = bigram_counts(tokenised, id_col)
+    counts = cut_lineage(bigram_counts(tokenised, id_col))
     lp, entropy, _ = bigram_model(counts, k)
-    keyed = counts.withColumn("pair", F.struct("prev", "next"))
-    scored = skewed_join(keyed, lp.select(F.struct("prev", "next").alias("pair"), "lp"), "pair").drop("pair")
-    scored = skewed_join(scored, entropy, "prev")
+    pairs = lp.join(entropy, "prev").select(F.struct("prev", "next").alias("pair"), "lp", "entropy")
+    keyed = counts.select(id_col, F.struct("prev", "next").alias("pair"), "supervised", "n")
+    scored = skewed_join(keyed, pairs, "pair").drop("pair")
     s = F.col("supervised") == 1
 
     def over(cond: Column | None, suffix: str) -> list[Column]:

@@ -69,7 +69,7 @@ def tokenised(spark, sf):
 
 
 def model_stats(spark, sf):
-    return cut_lineage(K.token_stats(cut_lineage(tokenised(spark, sf))))
+    return cut_lineage(K.token_stats(tokenised(spark, sf)))
 
 
 @query("c10_token_budget", "WITH " + TOKENS + " SELECT sample_id, len(tokens)::BIGINT AS n_tokens, (len(tokens) - n_instr)::BIGINT AS n_supervised, md5(array_to_string(tokens, ' ')) AS digest FROM tk")

@@ -12,7 +12,18 @@ from siftwork.session import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    d = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(d) if name == "documents" else d
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread the rows when there are fewer files than cores.
+
+    Text work is heavy per row, and a single file with a single row group is one
+    task. A table of many files is left as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def first_line(text: Column) -> Column:
@@ -86,7 +97,8 @@ def deltas(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-BUDGET_OF = F.when(F.col("user_id") % 3 == 0, 0.05).when(F.col("user_id") % 3 == 1, 0.10).otherwise(0.30)
+def budget_of() -> Column:
+    return F.when(F.col("user_id") % 3 == 0, 0.05).when(F.col("user_id") % 3 == 1, 0.10).otherwise(0.30)
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,7 +116,7 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("user_id") % 5).alias("config"),
         (F.col("k") % 4).alias("task"),
         (F.col("event_id") % 3).alias("seed"),
-        BUDGET_OF.cast("double").alias("budget"),
+        budget_of().cast("double").alias("budget"),
         F.when(failed, F.lit(float("nan"))).otherwise(F.col("value")).alias("metric"),
     )
 
@@ -161,7 +173,7 @@ def scale_rows(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     w = W.partitionBy("line").orderBy("l_shipdate", "l_quantity", "l_discount", "l_tax")
-    return (
+    rows = (
         li.withColumn("line", line)
         .withColumn("copy", F.row_number().over(w))
         .select(
@@ -170,3 +182,4 @@ def scale_rows(spark: SparkSession, sf: str) -> DataFrame:
             F.col("l_extendedprice").alias("q"),
         )
     )
+    return cut_lineage(rows)  # the pool with its ids, stored like any scored pool
