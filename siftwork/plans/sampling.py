@@ -116,7 +116,7 @@ def d09(spark, sf):
 
 @query(
     "d10_uncertainty_triples",
-    "WITH " + LABELS + f""", op AS (SELECT *, round(sigma_est * (1 + 0.5 * greatest(u_hi, 0)), 9) AS score FROM hi WHERE (sample_id, peft_id, task_id) NOT IN (SELECT (l_partkey, l_returnflag, l_linestatus) FROM lineitem WHERE l_quantity > 40))
+    "WITH " + LABELS + f""", op AS (SELECT *, sigma_est * (1 + 0.5 * greatest(u_hi, 0)) AS score FROM hi WHERE (sample_id, peft_id, task_id) NOT IN (SELECT (l_partkey, l_returnflag, l_linestatus) FROM lineitem WHERE l_quantity > 40))
 SELECT sample_id, peft_id, task_id, {r('score')} AS score FROM op ORDER BY op.score DESC, sample_id, peft_id, task_id LIMIT 200""",
 )
 def d10(spark, sf):

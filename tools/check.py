@@ -67,13 +67,19 @@ def connect(sf_dir):
 def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
+    ap.add_argument("--plain", action="store_true", help="a session with Spark's defaults")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     sf_dir = f"/root/testdata/sf{args.sf}"
     from siftwork.plans import all_oracles, all_queries
     from siftwork.session import local_session
 
-    spark = local_session()
+    if args.plain:
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.driver.memory", "8g").getOrCreate()
+    else:
+        spark = local_session()
     spark.sparkContext.setLogLevel("OFF")
     duck = connect(sf_dir)
     oracles = all_oracles()
