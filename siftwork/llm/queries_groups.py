@@ -1 +1,12 @@
 """Queries that relate documents to each other."""
+
+from __future__ import annotations
+
+from siftwork.llm.common import table
+from siftwork.llm.near_dedup import near_duplicates
+from siftwork.llm.queries import query
+
+
+@query("op3_near_dedup")
+def op3_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
