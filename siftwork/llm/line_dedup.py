@@ -45,7 +45,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
         .where((F.col("_n") >= min_docs) & F.col("_first").isNotNull())
         .select("_a", "_b", "_first")
     )
-    lost = keyed.join(shared, ["_a", "_b"]).where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_first")))
+    # a stored right side lets adaptive execution split a key that is frequent on the left
+    lost = keyed.join(store(shared, "shared-lines"), ["_a", "_b"]).where(F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_first")))
     drops = lost.groupBy("doc_id", "_t").agg(F.collect_set("_pos").alias("_drop"))
 
     d = docs.withColumn("_t", F.xxhash64(body())).alias("d")

@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds
     vertices = store(vertices.select("v", "_d", F.col("n_shingles").alias("n"), *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(3)], "bands"), "vertices")
     rows = vertices.select("v", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select("key")
-    buckets = store(rows.join(shared, "key"), "buckets")
+    buckets = store(rows.join(store(shared, "shared-keys"), "key"), "buckets")
     candidates = store(buckets.select("v").distinct().join(vertices.drop("bands"), "v"), "candidates")
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_d"), F.col("text").cast("string"))
@@ -207,9 +207,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds
 
     for r in range(pivot_rounds):
         at = labelled()
-        # in the second round pivots come from the largest key, then from another order
         order = F.col("v") if r == 0 else F.xxhash64(F.lit(r), "v")
         pivot = at.groupBy("key").agg(F.min_by(F.struct(*fields), order).alias("p")).select("key", "p.*")
+        pivot = store(pivot, "pivots")
         near = at.alias("x").join(pivot.alias("p"), "key").where((F.col("x.comp") != F.col("p.comp")) & _may_link("x", "p", percent))
         best = near.groupBy(F.col("x.v").alias("a"), F.col("p.v").alias("b")).agg(F.count("*").alias("c"))
         labels, more = contract(best.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from siftwork.llm.common import table
+from siftwork.llm.decontamination import find_items
 from siftwork.llm.near_dedup import near_duplicates
 from siftwork.llm.queries import query
 
@@ -10,3 +11,8 @@ from siftwork.llm.queries import query
 @query("op3_near_dedup")
 def op3_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark, sf_dir):
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

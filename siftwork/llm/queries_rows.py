@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftwork.llm.common import table
+from siftwork.llm.edit_fingerprints import edit_fingerprints
 from siftwork.llm.line_dedup import line_dedup
 from siftwork.llm.mixing import mix_sources
 from siftwork.llm.pii import KINDS, find_pii
@@ -96,3 +97,8 @@ FROM r
 def op10_mixing(spark, sf_dir):
     out = mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_edit_fingerprints")
+def op8_edit_fingerprints(spark, sf_dir):
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
