@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from siftwork.llm.common import table
 from siftwork.llm.decontamination import find_items
 from siftwork.llm.near_dedup import near_duplicates
 from siftwork.llm.queries import query
+from siftwork.llm.suffix_dedup import remove_repeats
 
 
 @query("op3_near_dedup")
@@ -16,3 +19,9 @@ def op3_near_dedup(spark, sf_dir):
 @query("op9_decontamination")
 def op9_decontamination(spark, sf_dir):
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark, sf_dir):
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
