@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftwork.llm.common import body, lower_bytes, packs, store, word_hashes
 
 DEPTH = 5  # bytes of the longest context
-NODES = 1 << 19  # at most so many (context, byte) pairs a depth go into the model
+NODES = 1 << 19  # at most so many nodes of a depth and bit go into the model
 FREQUENT = 1 << 20  # at most so many words have their counts broadcast
 CACHE = 1 << 21  # evaluated pairs that a task remembers
 
@@ -77,27 +77,14 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
 
 
-def build_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Nodes of the weighted tree from counts of (context, byte) pairs at each depth.
+def build_tree(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The weighted tree from nodes (sorted keys, zeros, ones) of each depth.
 
     A byte is eight binary decisions; a node is a context and the bits of the byte decided so far. Bottom-up, a node's
     weighted probability is half its own estimate and half the product of its children's (contexts that were
     left out count as one more child). Top-down this gives, for each node, the mixture of the estimates of all its
     suffix contexts with itself as the last one: (node keys, probability of a one), by depth.
     """
-    nodes = []
-    for keys, counts in levels:
-        context, byte = keys >> np.uint64(8), keys & np.uint64(255)
-        node, bit, n = [], [], []
-        for i in range(8):
-            prefix = np.uint64(1 << i) | (byte >> np.uint64(8 - i))
-            node.append((context << np.uint64(8)) | prefix)
-            bit.append((byte >> np.uint64(7 - i)) & np.uint64(1))
-            n.append(counts)
-        node, bit, n = np.concatenate(node), np.concatenate(bit), np.concatenate(n).astype(float)
-        key, inverse = np.unique(node, return_inverse=True)
-        ones = np.bincount(inverse, n * bit, len(key))
-        nodes.append((key, np.bincount(inverse, n, len(key)) - ones, ones))
 
     def parents(d: int) -> np.ndarray:
         return np.searchsorted(nodes[d - 1][0], nodes[d][0] & np.uint64((1 << (8 * d)) - 1))
@@ -146,27 +133,44 @@ def log10_bytes(tree: list[tuple[np.ndarray, np.ndarray]], grams: np.ndarray) ->
     return total
 
 
-def _as_arrays(df: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
+def _as_arrays(df: DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
+    """Columns of a bounded table, in the (unsigned) order of the first one."""
     t = df.toPandas()
-    k, n = t[key].to_numpy(np.int64).view(np.uint64), t["n"].to_numpy(np.int64)
-    order = np.argsort(k)
-    return k[order], n[order]
+    key = t[columns[0]].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(key)
+    return key[order], *[t[c].to_numpy(np.int64)[order] for c in columns[1:]]
 
 
 def fit_tree(train: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> list[tuple[np.ndarray, np.ndarray]]:
     """The weighted tree of all texts of ``train``.
 
-    Every byte of every text is counted. Of each depth, the model keeps the pairs with at least a ``nodes``-th of all
-    bytes: no more than ``nodes`` pairs, which bounds what is built here and broadcast. Rarer contexts are
-    scored from the shorter contexts that are kept.
+    Every bit of every byte of every text is counted at every depth. The model keeps the nodes with at least a
+    ``nodes``-th of all bytes: no more than ``nodes`` of one depth and bit, which bounds what is built here and
+    broadcast. Where a context was left out, the next shorter one that is kept decides.
     """
-    grams = store(train.select("text").mapInArrow(_counted("g", lambda t: _contexts(t, depth)[0]), "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")), "contexts")
+    counted = train.select("text").mapInArrow(_counted("g", lambda t: _contexts(t, depth)[0]), "g bigint, n bigint")
+    grams = store(counted.groupBy("g").agg(F.sum("n").alias("n")), "contexts")
     total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for d in range(depth + 1):
-        shorter = grams.select(F.col("g").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1)).alias("g"), "n")
-        kept = shorter.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= max(1, -(-total // nodes)))
-        levels.append(_as_arrays(kept, "g"))
+    levels = [None] * (depth + 1)
+    for d in range(depth, -1, -1):
+        byte = F.col("g").bitwiseAND(F.lit(255))
+        context = F.col("g").bitwiseAND(F.lit(~255))
+        bits = F.array(
+            *[
+                F.struct(
+                    context.bitwiseOR(F.lit(1 << i)).bitwiseOR(F.shiftright(byte, 8 - i)).alias("node"),
+                    F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1)).alias("bit"),
+                )
+                for i in range(8)
+            ]
+        )
+        each = grams.select("n", F.explode(bits).alias("x")).groupBy("x.node")
+        counts = each.agg(F.sum(F.col("n") * (1 - F.col("x.bit"))).alias("zeros"), F.sum(F.col("n") * F.col("x.bit")).alias("ones"))
+        kept = counts.where(F.col("zeros") + F.col("ones") >= max(1, -(-total // nodes)))
+        levels[d] = _as_arrays(kept, "node", "zeros", "ones")
+        if d:
+            shorter = F.col("g").bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("g")
+            grams = store(grams.select(shorter, "n").groupBy("g").agg(F.sum("n").alias("n")), "contexts")
     return build_tree(levels)
 
 
@@ -193,7 +197,7 @@ def score_texts(docs: DataFrame, train: DataFrame, depth: int = DEPTH) -> DataFr
     n_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, vocabulary = n_words + ends, distinct + (ends > 0)
     least = max(1, -(-n_words // FREQUENT))
-    common = spark.sparkContext.broadcast(_as_arrays(words.where(F.col("n") >= least), "w"))
+    common = spark.sparkContext.broadcast(_as_arrays(words.where(F.col("n") >= least), "w", "n"))
     scale = float(np.log10(tokens + 0.5 * (vocabulary + 1)))
 
     def known(h: np.ndarray) -> np.ndarray:
