@@ -12,8 +12,7 @@ from siftwork.llm.common import lower_bytes, mix, packs, shingle_hashes, store,
 from siftwork.llm.components import components
 
 SLOTS = 192  # values of a signature
-BANDS, ROWS = 38, 5  # at a similarity of 0.85 a pair shares no band once in 5 billion times
-MOST_BITS = 38  # of SLOTS one-bit values that may differ: more than 6 deviations above 0.85's mean
+BANDS, ROWS = 38, 5  # a pair shares no band once in 5 billion times at a similarity of 0.85, in 3 million at 0.8
 ELEMENTS = 100_000  # shingles that are permuted at once; bounds the table of permutations
 
 
@@ -146,12 +145,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def most_bits(percent: int) -> int:
+    """How many of SLOTS one-bit values may differ: seven deviations above the mean at the threshold."""
+    p = (1 - percent / 100) / 2
+    return int(SLOTS * p + 7 * (SLOTS * p * (1 - p)) ** 0.5) + 1
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Whether two sets can still reach the threshold: sizes, shingles of their own, one-bit signatures."""
     n = F.col(f"{a}.n") + F.col(f"{b}.n")
     most = F.least(F.col(f"{a}.shared"), F.col(f"{b}.shared"))
     differ = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(SLOTS // 64)), F.lit(0))
-    return (100 * most >= percent * (n - most)) & (differ <= MOST_BITS)
+    return (100 * most >= percent * (n - most)) & (differ <= most_bits(percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds: int = 3) -> DataFrame:
