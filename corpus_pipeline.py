@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.common import store, table
+from siftwork.llm.decontamination import decontaminate
 from siftwork.llm.line_dedup import line_dedup
 from siftwork.llm.mixing import mix_sources
+from siftwork.llm.near_dedup import near_duplicates
 from siftwork.llm.quality import fit_rules, labelled_rows, score_quality
 
 ORACLE_SQL = None  # the classifier has no SQL form; the stages are tested against brute force
@@ -30,12 +32,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near duplicates (0.8 of five-word shingles)."""
+    found = near_duplicates(docs, percent=80).where("doc_id IS NOT NULL")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     return mix_sources(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-STAGES = [("quality", quality), ("line_dedup", lines), ("mixing", mixing)]
+STAGES = [
+    ("quality", quality),
+    ("line_dedup", lines),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
