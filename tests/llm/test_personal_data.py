@@ -1,0 +1,78 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from siftwork.llm.pii import automaton, find_pii, find_spans, redact
+
+ANCHORS = automaton()
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(s):
+    digits = [int(c) for c in s[::-1]]
+    return sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(digits)) % 10 == 0
+
+
+def base(text):
+    out = []
+    for n, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), n, m.end()))
+    return [(list(PATTERNS)[n], s, e) for s, n, e in sorted(out)]
+
+
+def base_of(spans):
+    return [s for s in spans if s[0] in PATTERNS]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet="01459+-.@ ()abZ%_é", max_size=60))
+def test_base_kinds_equal_a_scan(text):
+    assert base_of(find_spans(text, ANCHORS)) == base(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.c", "@", "1.2.3.4", ".5", "+1 (02) 345-6789", "4379362835490466", "-", " ", "x.y@", "999.1.1.1"]), max_size=8))
+def test_base_kinds_in_pieces(parts):
+    text = "".join(parts)
+    assert base_of(find_spans(text, ANCHORS)) == base(text)
+
+
+def test_added_kinds():
+    text = 'see https://example.org/a?b=1. token = "04dbebab91ab85687d33" iban DE89 3704 0044 0532 0130 00, SSN: 123-45-6789'
+    found = {text[s:e]: k for k, s, e in find_spans(text, ANCHORS)}
+    assert found["https://example.org/a?b=1"] == "url"
+    assert found["04dbebab91ab85687d33"] == "secret"
+    assert found["DE89 3704 0044 0532 0130 00"] == "account"
+    assert found["123-45-6789"] == "account"
+    assert not [s for s in find_spans("iban DE89 3704 0044 0532 0130 01", ANCHORS) if s[0] == "account"]
+    assert find_spans("key: lowercase words only", ANCHORS) == []
+
+
+def test_table(make, odd_rows):
+    rows = odd_rows + [(50, "ü a@b.de " * 3000), (51, "7" * 100_000), (52, "+" * 2000), (53, "a" * 50_000 + "@x")]
+    out = find_pii(make(rows)).collect()
+    assert len(out) == len(rows)
+    by_id = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in out}
+    for i, t in rows:
+        if i not in (None, 9, 10):
+            assert base_of(by_id[i]) == base(t or "")
+    assert find_pii(make([])).count() == 0
+
+
+def test_redact(make):
+    out = {r.doc_id: r.text for r in redact(make([(1, "mail a@b.de now"), (2, None), (3, "")])).collect()}
+    assert out == {1: "mail <email> now", 2: None, 3: ""}
