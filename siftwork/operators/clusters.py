@@ -20,18 +20,10 @@ def n_clusters(n_rows: int, k: int | None = None) -> int:
     return min(n_rows, k or max(50, math.isqrt(n_rows)))
 
 
-def fit(df: DataFrame, vec: str = "joint", k: int | None = None, seed: int = 0, max_iter: int = 20, fit_rows_per_centre: int | None = None) -> KMeansModel:
-    """Fit on all rows, or on a hashed share that leaves about ``fit_rows_per_centre`` rows per centre.
-
-    The share only bounds the cost of the fit, as mini-batches do; every row is
-    assigned afterwards.
-    """
-    n = df.count()
-    centres = n_clusters(n, k)
+def fit(df: DataFrame, vec: str = "joint", k: int | None = None, seed: int = 0, max_iter: int = 20) -> KMeansModel:
+    """Fit on all rows; each pass is linear in them and distributed."""
+    centres = n_clusters(df.count(), k)
     d = df.select("sample_id", array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
-    if fit_rows_per_centre and n > fit_rows_per_centre * centres:
-        share = fit_rows_per_centre * centres / n
-        d = d.where(F.pmod(F.xxhash64(F.lit(seed), "sample_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     return KMeans(k=centres, seed=seed, initMode="k-means||", maxIter=max_iter).fit(d.select("features"))
 
 

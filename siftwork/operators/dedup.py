@@ -151,6 +151,35 @@ def dedup_stages(df: DataFrame, threshold: float = 0.8) -> DataFrame:
 # ------------------------------------------------------------ decontamination
 
 
+def line_windows(df: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
+    """(sample_id, first_line, n_lines, text): every run of as many lines as some item has.
+
+    The distinct line counts of the items (a handful) are read first. One-line items thus
+    meet single lines, and an item of three lines meets every three lines of a row.
+    """
+    def lines(c):
+        return F.split(F.col(c), "\n", -1)
+
+    counts = sorted(r[0] for r in items.select(F.size(lines(item_text)).alias("n")).where("n > 0").distinct().collect())
+
+    def windows(all_lines):
+        def of(n):
+            starts = F.when(F.size(all_lines) >= n, F.sequence(F.lit(1), F.size(all_lines) - n + 1)).otherwise(F.array().cast("array<int>"))
+            return F.transform(
+                starts,
+                lambda i: F.struct(
+                    i.cast("bigint").alias("first_line"),
+                    F.lit(n).cast("bigint").alias("n_lines"),
+                    F.array_join(F.slice(all_lines, i, F.lit(n)), "\n").alias("text"),
+                ),
+            )
+
+        return F.flatten(F.array(*[of(n) for n in counts or [1]]))
+
+    each = df.where(F.col(text).isNotNull()).select("sample_id", F.explode(TX.bind(lines(text), windows)).alias("w"))
+    return each.select("sample_id", "w.*")
+
+
 def matching_items(df: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """Rows equal to a test item, exactly or in normal form. Aggregated keys, no pairs."""
     keys = items.select(F.md5(F.col(item_text)).alias("k")).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from siftwork.functions.ranks import average_rank, ranked
 from siftwork.operators import metrics as M
+from siftwork.session import cut_lineage
 
 
 def near(col: str, value: float) -> Column:
@@ -120,34 +121,29 @@ def stability(df: DataFrame, axes: list[str], value: str = "metric") -> DataFram
 
 # -------------------------------------------------------- agreement of members
 
-MAX_MEMBERS = 64
-
-
 def pair_agreement(values: DataFrame, by: list[str], member: str, top_share: float = 0.05) -> DataFrame:
     """Spearman and top-share Jaccard of every pair of members over common samples.
 
-    ``values`` is (by.., member, sample_id, value). Members (configurations, or
-    replicates) are few by definition and become columns, so a sample is one row and
-    no pairs of rows are built. More than MAX_MEMBERS members is an error.
+    ``values`` is (by.., member, sample_id, value). A sample's ranks by all members become
+    one array, and its pairs of members are summed by (left, right) before any shuffle, so no
+    pairs of rows are built and the number of members is not limited.
     """
-    names = [r[0] for r in values.select(member).distinct().limit(MAX_MEMBERS + 1).collect()]
-    if len(names) > MAX_MEMBERS:
-        raise ValueError(f"more than {MAX_MEMBERS} values of {member}")
-    names.sort()
     keys = [*by, member]
     common = M.common_to_all(values, member, by=by)
     d = values.join(common, [*by, "sample_id"], "left_semi")
-    d = d.groupBy(*keys, "sample_id").agg(F.avg("value").alias("value"))
-    r = average_rank(d, keys, "value", "_r")
-    wide = r.groupBy(*by, "sample_id").pivot(member, names).agg(F.first("_r"))
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-
-    def rho(a, b) -> Column:
-        x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-        return F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), M.correlation(x, y).alias("spearman"))
-
-    rhos = wide.groupBy(*by).agg(F.array(*[rho(a, b) for a, b in pairs]).alias("p")).select(*by, F.explode("p").alias("p")).select(*by, "p.*")
+    d = cut_lineage(d.groupBy(*keys, "sample_id").agg(F.avg("value").alias("value")))
     top = ranked(d, keys, ["-value", "sample_id"], size_name="_n")
     top = top.where(F.col("rn") <= F.greatest(F.lit(1.0), F.bround(F.col("_n") * top_share)))
-    j = M.overlap(top.select(*keys, "sample_id"), member, by).select(*by, "left", "right", "jaccard")
-    return rhos.join(j, [*by, "left", "right"], "left")
+    r = average_rank(d, keys, "value", "_r").join(top.select(*keys, "sample_id", F.lit(1).alias("_t")), [*keys, "sample_id"], "left")
+    one = F.struct(F.col(member).alias("m"), F.col("_r").alias("r"), F.coalesce("_t", F.lit(0)).alias("t"))
+    per = r.groupBy(*by, "sample_id").agg(F.collect_list(one).alias("a"))
+
+    def beside(x):
+        later = F.filter("a", lambda y: y.m > x.m)
+        return F.transform(later, lambda y: F.struct(x.m.alias("left"), y.m.alias("right"), x.r.alias("x"), y.r.alias("y"), x.t.alias("tx"), y.t.alias("ty")))
+
+    pairs = per.select(*by, F.explode(F.flatten(F.transform("a", beside))).alias("p")).select(*by, "p.*")
+    both = F.sum(F.col("tx") * F.col("ty"))
+    return pairs.groupBy(*by, "left", "right").agg(
+        M.correlation(F.col("x"), F.col("y")).alias("spearman"), (both / (F.sum("tx") + F.sum("ty") - both)).alias("jaccard")
+    )

@@ -92,12 +92,6 @@ def sketch_replicates(df: DataFrame, seeds: list[int], sizes: list[int], id_col:
     return picked.select("seed", "size", "stratum", id_col)
 
 
-def split_budget(total: int, ratios=(0.5, 0.3, 0.2)) -> tuple[int, int, int]:
-    """Phase budgets; the remainder goes to the last."""
-    first, second = int(total * ratios[0]), int(total * ratios[1])
-    return first, second, total - first - second
-
-
 def capacity_bucket(rank, bottleneck, prefix_len) -> Column:
     """xs / s / m / l by the first non-zero size, 8 when there is none."""
     size = F.coalesce(*[F.nullif(F.col(c), F.lit(0)) for c in (rank, bottleneck, prefix_len)], F.lit(8))

@@ -15,14 +15,20 @@ BOS, EOS = "<s>", "</s>"
 
 
 def with_token_budget(
-    df: DataFrame, instr: Column, resp: Column, max_len: int = 1024, bos: str | None = BOS, eos: str | None = EOS
+    df: DataFrame, instr: Column, resp: Column, max_len: int | None = 1024, bos: str | None = BOS, eos: str | None = EOS
 ) -> DataFrame:
-    """Add ``tokens`` and 0/1 ``mask``: the response is kept first, the instruction loses its head."""
-    if max_len <= 0:
+    """Add ``tokens`` and 0/1 ``mask``: the response is kept first, the instruction loses its head.
+
+    ``max_len=None`` keeps whole texts.
+    """
+    if max_len is not None and max_len <= 0:
         raise ValueError("max_len must be positive")
     i = F.concat(F.array(F.lit(bos)), instr) if bos else instr
     r = F.concat(resp, F.array(F.lit(eos))) if eos else resp
     d = df.withColumn("_i", i).withColumn("_r", r)
+    if max_len is None:
+        mask = F.concat(F.array_repeat(F.lit(0), F.size("_i")), F.array_repeat(F.lit(1), F.size("_r")))
+        return d.withColumn("tokens", F.concat("_i", "_r")).withColumn("mask", mask).drop("_i", "_r")
     room = F.lit(max_len) - F.size("_r")
     keep = F.least(F.size("_i"), F.greatest(room, F.lit(0)))
     kept = F.when(keep > 0, F.slice("_i", F.size("_i") - keep + 1, keep)).otherwise(F.array().cast("array<string>"))
@@ -40,11 +46,9 @@ def with_token_budget(
 
 def bigram_counts(tokenised: DataFrame, id_col: str = "sample_id") -> DataFrame:
     """(id, prev, next, supervised, n): shifted by one and combined per row before any shuffle."""
-    steps = F.transform(
-        F.sequence(F.lit(1), F.size("tokens") - 1),
-        lambda i: F.struct(
-            F.get("tokens", i - 1).alias("prev"), F.get("tokens", i).alias("next"), F.get("mask", i).alias("supervised")
-        ),
+    n = F.size("tokens") - 1
+    steps = F.arrays_zip(
+        F.slice("tokens", 1, n).alias("prev"), F.slice("tokens", 2, n).alias("next"), F.slice("mask", 2, n).alias("supervised")
     )
     d = tokenised.where(F.size("tokens") >= 2).select(id_col, F.explode(steps).alias("t")).select(id_col, "t.*")
     return d.groupBy(id_col, "prev", "next", "supervised").agg(F.count(F.lit(1)).alias("n"))

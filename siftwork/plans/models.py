@@ -27,7 +27,7 @@ SEEN = "('L-r8-qv', 'L-r16-qkvo', 'L-r8-mlp', 'IA3-attnmlp', 'AD-b64')"
 def n01(spark, sf):
     """Sizes of the fitted clusters: every row is assigned once."""
     p = X.pool_vectors(spark, sf).select("sample_id", "joint")
-    c = CL.cluster(p, fit_rows_per_centre=256, max_iter=10)
+    c = CL.cluster(p, max_iter=10)
     g = c.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
     return g.agg(F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("rows"), F.min("n").alias("smallest"))
 

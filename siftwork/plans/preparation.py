@@ -77,18 +77,24 @@ def _docs(spark, sf):
     return X.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "text")
 
 
+# windows of as many lines as some item has, so that an item is found wherever its lines lie
+WINDOWS = """item_lines AS (SELECT DISTINCT len(string_split(text, chr(10)))::BIGINT AS n_lines FROM benchmark),
+windows AS (SELECT doc_id AS sample_id, first_line::BIGINT AS first_line, n_lines, array_to_string(list_slice(ls, first_line, first_line + n_lines - 1), chr(10)) AS line
+  FROM (SELECT doc_id, ls, n_lines, unnest(range(1, len(ls) - n_lines + 2)) AS first_line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), item_lines))"""
+
+
 @query(
     "b05_exact_decontamination",
-    """WITH parts AS (SELECT doc_id AS sample_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+    "WITH " + WINDOWS + """, parts AS (SELECT sample_id, line FROM windows),
 hit AS (SELECT DISTINCT sample_id, 'exact' AS kind FROM parts WHERE line IN (SELECT text FROM benchmark)
   UNION ALL SELECT DISTINCT sample_id, 'normalised' FROM parts WHERE regexp_replace(lower(line), '[^\\p{L}\\p{N}]+', '', 'g') IN
     (SELECT regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') FROM benchmark))
 SELECT sample_id, kind FROM hit""",
 )
 def b05(spark, sf):
-    # items are matched against every line of a row
-    lines = _docs(spark, sf).select("sample_id", F.explode(F.split("text", "\n")).alias("text"))
-    return D.matching_items(lines, X.table(spark, sf, "benchmark")).distinct()
+    items = X.table(spark, sf, "benchmark")
+    windows = D.line_windows(_docs(spark, sf), items)
+    return D.matching_items(windows, items).distinct()
 
 
 @query(
@@ -125,18 +131,21 @@ def b06_pool(spark, sf):
 @query(
     "b07_near_benchmark_rows",
     "WITH "
-    + grams_cte("dg", "(SELECT doc_id AS sample_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)", "sample_id * 100000 + line_no AS sample_id", "line", 5).replace("SELECT sample_id * 100000 + line_no AS sample_id, list_distinct", "SELECT sample_id, list_distinct")
+    + WINDOWS
+    + ", "
+    + grams_cte("dg", "(SELECT {'sample_id': sample_id, 'first_line': first_line, 'n_lines': n_lines} AS spot, line FROM windows)", "spot", "line", 5)
     + ", "
     + grams_cte("ig", "benchmark", "item_id", "text", 5)
-    + """, d AS (SELECT sample_id, len(grams) AS nd, unnest(grams) AS g FROM dg), i AS (SELECT item_id, len(grams) AS ni, unnest(grams) AS g FROM ig),
-h AS (SELECT sample_id, item_id, nd, ni, count(*) AS c FROM d JOIN i USING (g) GROUP BY ALL)
-SELECT sample_id AS line_id, item_id FROM h WHERE c::DOUBLE / (nd + ni - c) >= 0.8""",
+    + """, d AS (SELECT spot, len(grams) AS nd, unnest(grams) AS g FROM dg), i AS (SELECT item_id, len(grams) AS ni, unnest(grams) AS g FROM ig),
+h AS (SELECT spot, item_id, nd, ni, count(*) AS c FROM d JOIN i USING (g) GROUP BY ALL)
+SELECT spot.sample_id AS sample_id, spot.first_line AS first_line, spot.n_lines AS n_lines, item_id FROM h WHERE c::DOUBLE / (nd + ni - c) >= 0.8""",
 )
 def b07(spark, sf):
-    lines = _docs(spark, sf).select("sample_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    keyed = lines.select((F.col("sample_id") * 100000 + F.col("at") + 1).alias("sample_id"), "text")
-    out = D.near_items(keyed, X.table(spark, sf, "benchmark"))
-    return out.select(F.col("sample_id").alias("line_id"), "item_id")
+    items = X.table(spark, sf, "benchmark")
+    windows = D.line_windows(_docs(spark, sf), items)
+    keyed = windows.select(F.struct("sample_id", "first_line", "n_lines").alias("sample_id"), "text")
+    out = D.near_items(keyed, items)
+    return out.select("sample_id.*", "item_id")
 
 
 @query(

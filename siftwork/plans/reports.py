@@ -170,17 +170,18 @@ def t02(spark, sf):
     return m.join(n, BY).withColumn("select_gpu_h", F.round(c.scalar(), 6))
 
 
-@query("t03_seeded_selection", """WITH m AS (SELECT doc_id AS sample_id, source, method, seed FROM documents, (VALUES ('random', 0), ('random', 1), ('random', 2), ('length', 0)) AS x(method, seed)),
-w AS (SELECT *, row_number() OVER (PARTITION BY method, seed, source ORDER BY CASE WHEN method = 'random' THEN md5(seed || ':' || sample_id) ELSE '' END, sample_id DESC) AS rn FROM m)
+@query("t03_seeded_selection", """WITH """ + T.POOL_TEXT + """, m AS (SELECT sample_id, source, length(response) AS n, method, seed FROM pool_text, (VALUES ('random', 0), ('random', 1), ('random', 2), ('length', 0)) AS x(method, seed)),
+w AS (SELECT *, row_number() OVER (PARTITION BY method, seed, source ORDER BY CASE WHEN method = 'random' THEN md5(seed || ':' || sample_id) ELSE '' END, CASE WHEN method = 'length' THEN n END DESC, sample_id DESC) AS rn FROM m)
 SELECT method, seed::BIGINT AS seed, source, sample_id FROM w WHERE rn <= 5""")
 def t03(spark, sf):
     from pyspark.sql.window import Window as W
 
     # only the random method is repeated per seed
     runs = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(s).alias("seed")) for m, s in (("random", 0), ("random", 1), ("random", 2), ("length", 0))])
-    d = X.pool_text(spark, sf).select("sample_id", "source", F.explode(runs).alias("x")).select("sample_id", "source", "x.*")
+    d = X.pool_text(spark, sf).select("sample_id", "source", F.length("response").alias("n"), F.explode(runs).alias("x"))
+    d = d.select("sample_id", "source", "n", "x.*")
     h = F.when(F.col("method") == "random", F.md5(F.concat_ws(":", "seed", "sample_id"))).otherwise("")
-    rn = F.row_number().over(W.partitionBy("method", "seed", "source").orderBy("h", F.desc("sample_id")))
+    rn = F.row_number().over(W.partitionBy("method", "seed", "source").orderBy("h", F.when(F.col("method") == "length", F.col("n")).desc(), F.desc("sample_id")))
     return d.withColumn("h", h).withColumn("rn", rn).where("rn <= 5").select("method", F.col("seed").cast("bigint").alias("seed"), "source", "sample_id")
 
 

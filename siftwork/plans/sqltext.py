@@ -71,7 +71,7 @@ SITES = """sites AS (
 SIGNATURES = (
     SITES
     + """, sig0 AS (
-  SELECT p.sample_id, s.site, s.layer, s.module, list_slice(p.joint, 2 * s.site + 1, 2 * s.site + 2) AS v
+  SELECT p.sample_id, s.site, s.layer, s.module, list_slice(p.joint, 3 * s.site + 1 - greatest(0, s.site - 16), 3 * s.site + 1 - greatest(0, s.site - 16) + CASE WHEN s.site < 16 THEN 2 ELSE 1 END) AS v
   FROM pool p, sites s),
 signatures AS (
   SELECT sample_id, site, layer, module,
@@ -79,9 +79,10 @@ signatures AS (
 )
 
 TASK_SIGNATURES = """tsig AS (
-  SELECT site, [a / greatest(sqrt(a * a + b * b), 1e-8), b / greatest(sqrt(a * a + b * b), 1e-8)] AS t FROM (
-    SELECT site, avg(g[1]) AS a, avg(g[2]) AS b FROM signatures
-    WHERE sample_id IN (SELECT sample_id FROM sketch) GROUP BY site))"""
+  SELECT site, list_transform(m, lambda x: x / greatest(sqrt(list_dot_product(m, m)), 1e-8)) AS t FROM (
+    SELECT site, list(v ORDER BY i) AS m FROM (
+      SELECT site, i, avg(g[i]) AS v FROM signatures, range(1, 4) AS d(i)
+      WHERE i <= len(g) AND sample_id IN (SELECT sample_id FROM sketch) GROUP BY ALL) GROUP BY site))"""
 
 SCALE = """scale_rows AS (
   SELECT line || '-' || row_number() OVER (PARTITION BY line ORDER BY l_shipdate, l_quantity, l_discount, l_tax) AS sample_id,

@@ -51,7 +51,12 @@ TOKENS = (
 tk1 AS (SELECT sample_id, r, CASE WHEN len(r) >= 256 THEN [] ELSE list_slice(i, greatest(len(i) - (256 - len(r)) + 1, 1), len(i)) END AS k FROM tk0),
 tk AS (SELECT sample_id, CASE WHEN len(r) >= 256 THEN list_slice(r, 1, 256) ELSE list_concat(k, r) END AS tokens, CASE WHEN len(r) >= 256 THEN 0 ELSE len(k) END AS n_instr FROM tk1)"""
 )
-BIGRAMS = TOKENS + """, bg AS (SELECT sample_id, tokens[j] AS prev, tokens[j + 1] AS nxt, (j + 1 > n_instr)::INT AS sup FROM (SELECT *, unnest(range(1, len(tokens))) AS j FROM tk)),
+WHOLE = (
+    T.POOL_TEXT
+    + f""", tk0 AS (SELECT sample_id, list_concat(['<s>'], {WORDS.format('instruction')}) AS i, list_concat({WORDS.format('response')}, ['</s>']) AS r FROM pool_text),
+tk AS (SELECT sample_id, list_concat(i, r) AS tokens, len(i) AS n_instr FROM tk0)"""
+)
+BIGRAMS = WHOLE + """, bg AS (SELECT sample_id, tokens[j] AS prev, tokens[j + 1] AS nxt, (j + 1 > n_instr)::INT AS sup FROM (SELECT *, unnest(range(1, len(tokens))) AS j FROM tk)),
 pc AS (SELECT prev, nxt, count(*) AS c FROM bg GROUP BY ALL), voc AS (SELECT count(*)::DOUBLE AS v FROM (SELECT prev FROM pc UNION SELECT nxt FROM pc)),
 cx AS (SELECT prev, sum(c)::DOUBLE AS total, count(*) AS seen FROM pc GROUP BY 1),
 pr AS (SELECT prev, nxt, (c + 0.5) / (total + 0.5 * v) AS p, total, seen, v FROM pc JOIN cx USING (prev), voc),
@@ -61,9 +66,10 @@ ms AS (SELECT sample_id, avg(-lp) AS loss_mean, stddev_pop(lp) AS loss_std, max(
   FROM tok WHERE sup = 1 OR any_sup = 0 GROUP BY 1)"""
 
 
-def tokenised(spark, sf):
+def tokenised(spark, sf, max_len=None):
+    """Tokens of whole texts; only the token budget query itself sets a limit."""
     p = X.pool_text(spark, sf)
-    return K.with_token_budget(p.select("sample_id", "instruction", "response"), TX.words("instruction"), TX.words("response"), 256).select(
+    return K.with_token_budget(p.select("sample_id", "instruction", "response"), TX.words("instruction"), TX.words("response"), max_len).select(
         "sample_id", "tokens", "mask"
     )
 
@@ -74,7 +80,7 @@ def model_stats(spark, sf):
 
 @query("c10_token_budget", "WITH " + TOKENS + " SELECT sample_id, len(tokens)::BIGINT AS n_tokens, (len(tokens) - n_instr)::BIGINT AS n_supervised, md5(array_to_string(tokens, ' ')) AS digest FROM tk")
 def c10(spark, sf):
-    return tokenised(spark, sf).select(
+    return tokenised(spark, sf, 256).select(
         "sample_id",
         F.size("tokens").cast("bigint").alias("n_tokens"),
         F.size(F.filter("mask", lambda m: m == 1)).cast("bigint").alias("n_supervised"),

@@ -143,7 +143,7 @@ def site_table() -> list[tuple[int, int, str]]:
 
 
 def signatures(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-site unit vectors: site j takes two neighbouring embedding dimensions."""
+    """Per-site unit vectors: 24 sites share all 64 embedding dimensions, three each for the first 16, then two."""
     v = pool_vectors(spark, sf)
     sites = F.array(
         *[
@@ -151,7 +151,7 @@ def signatures(spark: SparkSession, sf: str) -> DataFrame:
                 F.lit(j).alias("site"),
                 F.lit(layer).alias("layer"),
                 F.lit(module).alias("module"),
-                V.unit(F.slice("joint", 2 * j + 1, 2)).alias("g"),
+                V.unit(F.slice("joint", 3 * j + 1 - max(0, j - 16), 3 if j < 16 else 2)).alias("g"),
             )
             for j, (layer, module) in enumerate(site_table())
         ]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -28,8 +31,9 @@ def local_session(cpus: int | str = 8, app: str = "siftwork") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where nothing is set
-    (tests, a laptop) a temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master may leave it
+    unset and gets a temporary folder, which goes when Python ends; executors elsewhere
+    could not read one, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -37,7 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="siftwork-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 

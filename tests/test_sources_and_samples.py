@@ -101,7 +101,3 @@ def test_salted_join_is_exact(spark):
     right = spark.createDataFrame([(i, f"v{i}") for i in range(7)], "k bigint, v string")
     a = skewed_join(left, right, "k", rows_per_task=100)
     assert a.count() == 5000 and a.exceptAll(left.join(right, "k").select(*a.columns)).isEmpty()
-
-
-def test_split_budget():
-    assert S.split_budget(10_000) == (5000, 3000, 2000) and sum(S.split_budget(7)) == 7
