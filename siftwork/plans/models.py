@@ -48,11 +48,11 @@ def n01_assign(spark, sf):
     return rounded(CL.assign(p, centres), "distance")
 
 
-@query("n02_penalised_score", "WITH " + ULO + f" SELECT sample_id, config, {r('u_lo - 0.2 * abs(u_lo) / 2')} AS q FROM ulo WHERE config = 'AD-b64'")
+@query("n02_penalised_score", "WITH " + ULO + f" SELECT sample_id, config, {r('u_lo - 0.2 * abs(u_lo) / 2')} AS q FROM ulo")
 def n02(spark, sf):
     from siftwork.operators.quota import penalised
 
-    d = u_lo(spark, sf).where("config = 'AD-b64'").withColumn("mu", F.col("u_lo")).withColumn("sigma", F.abs("u_lo") / 2)
+    d = u_lo(spark, sf).withColumn("mu", F.col("u_lo")).withColumn("sigma", F.abs("u_lo") / 2)
     return rounded(penalised(d, 0.2).select("sample_id", "config", "q"), "q")
 
 

@@ -13,6 +13,7 @@ from siftwork.plans import views as X
 from siftwork.plans.catalog import query
 
 r = T.r
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]  # fixed values of the events table
 RES = "WITH " + T.RESULTS
 
 
@@ -44,9 +45,9 @@ def s01(spark, sf):
     return rounded(costs(spark, sf).select("run_no", "gpu_hours"), "gpu_hours")
 
 
-@query("s06_cost_by_stage", HOURS + " SELECT run_id, " + ", ".join(f"{r(f'sum(h) FILTER (WHERE stage = {chr(39)}{s}{chr(39)})')} AS {s}" for s in ("view", "click", "signup")) + " FROM ce GROUP BY 1")
+@query("s06_cost_by_stage", HOURS + " SELECT run_id, " + ", ".join(f"{r(f'sum(h) FILTER (WHERE stage = {chr(39)}{s}{chr(39)})')} AS {s}" for s in EVENT_TYPES) + " FROM ce GROUP BY 1")
 def s06(spark, sf):
-    return rounded(C.by_stage(costs(spark, sf), "run_id", ["view", "click", "signup"]), "view", "click", "signup")
+    return rounded(C.by_stage(costs(spark, sf), "run_id", EVENT_TYPES), *EVENT_TYPES)
 
 
 @query("g10_pivot", RES + " SELECT method, " + ", ".join(f"{r(f'avg(metric) FILTER (WHERE config = {c})')} AS c{c}" for c in range(5)) + " FROM results WHERE budget = 0.1 GROUP BY 1")
@@ -88,10 +89,10 @@ def g14(spark, sf):
     return rounded(R.mean_and_spread(d, ["alpha"]), "mean", "std")
 
 
-@query("g15_level_by_mode", RES + " SELECT 'L' || seed AS level, " + ", ".join(f"{r(f'avg(metric) FILTER (WHERE method = {chr(39)}{m}{chr(39)})')} AS mode_{m}" for m in ("view", "click", "signup")) + " FROM results GROUP BY 1")
+@query("g15_level_by_mode", RES + " SELECT 'L' || seed AS level, " + ", ".join(f"{r(f'avg(metric) FILTER (WHERE method = {chr(39)}{m}{chr(39)})')} AS mode_{m}" for m in EVENT_TYPES) + " FROM results GROUP BY 1")
 def g15(spark, sf):
     d = X.results(spark, sf).withColumn("level", F.concat(F.lit("L"), F.col("seed").cast("string")))
-    return rounded(R.pivot_mean(d, "level", "method", ["view", "click", "signup"], prefix="mode_"), "mode_view", "mode_click", "mode_signup")
+    return rounded(R.pivot_mean(d, "level", "method", EVENT_TYPES, prefix="mode_"), *[f"mode_{m}" for m in EVENT_TYPES])
 
 
 @query("g16_mean_by_key_path", RES + f" SELECT method, 'L' || seed AS level, {r('avg(metric)')} AS mean FROM results GROUP BY ALL")
@@ -230,11 +231,11 @@ def t19(spark, sf):
     return R.mark_best(R.dispersion(X.results(spark, sf)), ["config"]).select("method", "config", "best")
 
 
-@query("t20_tier_gaps", RES + f", x AS (SELECT *, CASE WHEN config < 2 THEN 'L0' WHEN config < 4 THEN 'L1' ELSE 'L2' END AS tier, CASE WHEN config = 4 THEN 'signup' ELSE 'click' END AS reference FROM results), p AS (SELECT tier, seed, avg(metric) FILTER (WHERE method = 'view') - avg(metric) FILTER (WHERE method = reference) AS g FROM x GROUP BY ALL) SELECT tier, {r('avg(g)')} AS gap, {r('stddev_samp(g)')} AS sd FROM p GROUP BY 1")
+@query("t20_tier_gaps", RES + f", x AS (SELECT *, CASE WHEN config < 2 THEN 'L0' WHEN config < 4 THEN 'L1' ELSE 'L2' END AS tier, CASE WHEN config = 4 THEN 'signup' ELSE 'click' END AS reference FROM results), p AS (SELECT tier, config, seed, avg(metric) FILTER (WHERE method = 'view') - avg(metric) FILTER (WHERE method = reference) AS g FROM x GROUP BY ALL) SELECT tier, config, {r('avg(g)')} AS gap, {r('stddev_samp(g)')} AS sd FROM p GROUP BY 1, 2")
 def t20(spark, sf):
     tier = F.when(F.col("config") < 2, "L0").when(F.col("config") < 4, "L1").otherwise("L2")
     d = X.results(spark, sf).withColumn("tier", tier).withColumn("reference", F.when(F.col("config") == 4, "signup").otherwise("click"))
-    return rounded(R.tier_gaps(d, "view", ["tier"]), "gap", "sd")
+    return rounded(R.tier_gaps(d, "view", ["tier", "config"]), "gap", "sd")
 
 
 @query("t21_stability", RES + " " + " UNION ALL ".join(f"SELECT method, '{a}' AS axis, {r('stddev_samp(m)')} AS spread FROM (SELECT method, {a}, avg(metric) AS m FROM results GROUP BY ALL) GROUP BY 1" for a in ("seed", "budget", "config", "task")))

@@ -57,12 +57,11 @@ def g04(spark, sf):
     return u_lo(spark, sf).select("sample_id", "config", F.round("u_lo", 6).alias("u_lo"))
 
 
-@query("g03_utilities_by_site", "WITH " + ULO + f" SELECT sample_id, config, {r('u_lo')} AS u_lo FROM ulo WHERE config IN ('L-r8-lowlayers', 'AD-b64')")
+@query("g03_utilities_by_site", "WITH " + ULO + f" SELECT sample_id, config, {r('u_lo')} AS u_lo FROM ulo")
 def g03(spark, sf):
     sig = X.signatures(spark, sf)
     task = U.task_signatures(sig, X.sketch(spark, sf).select("sample_id"))
-    w = registry_weights(spark).where(F.col("config").isin("L-r8-lowlayers", "AD-b64"))
-    w = w.select("config", F.posexplode("site_alpha").alias("site", "alpha"))
+    w = registry_weights(spark).select("config", F.posexplode("site_alpha").alias("site", "alpha"))
     return U.utilities_by_site(sig, task, w).select("sample_id", "config", F.round("u_lo", 6).alias("u_lo"))
 
 
