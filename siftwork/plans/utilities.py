@@ -59,9 +59,10 @@ def g04(spark, sf):
 
 @query("g03_utilities_by_site", "WITH " + ULO + f" SELECT sample_id, config, {r('u_lo')} AS u_lo FROM ulo")
 def g03(spark, sf):
-    sig = X.signatures(spark, sf)
+    sig = cut_lineage(X.signatures(spark, sf))
     task = U.task_signatures(sig, X.sketch(spark, sf).select("sample_id"))
-    w = registry_weights(spark).select("config", F.posexplode("site_alpha").alias("site", "alpha"))
+    w = cut_lineage(registry_weights(spark).select("config", "site_alpha"))  # a few rows with costly expressions
+    w = w.select("config", F.posexplode("site_alpha").alias("site", "alpha"))
     return U.utilities_by_site(sig, task, w).select("sample_id", "config", F.round("u_lo", 6).alias("u_lo"))
 
 
