@@ -30,6 +30,7 @@ def instances(spark, sf):
     return C.with_recipe(C.with_layers(d))
 
 
+# fixed values: the registry once more, as the SQL twins need it
 SPEC_VALUES = """specs(spec_no, name, family, modules, modules_key, grp, layer_range, rank, alpha, bottleneck, prefix_len, lr) AS (VALUES
 (0, 'L-r8-qv', 'lora', ['q_proj','v_proj'], 'qv', 'seen', 'all', 8, 16, NULL, NULL, 0.0002::DOUBLE),
 (1, 'L-r16-qkvo', 'lora', ['q_proj','k_proj','v_proj','o_proj'], 'qkvo', 'seen', 'all', 16, 32, NULL, NULL, 0.0002),
@@ -236,6 +237,7 @@ def e15(spark, sf):
     )
 
 
+# fixed values: tiers of configurations, as above
 TIER_SQL = """CASE WHEN name IN ('L-r32-qkvo', 'AD-b16') THEN 'L0' WHEN name IN ('L-r64-all', 'AD-b256', 'L-r8-highlayers') THEN 'L1'
   WHEN name IN ('PRE-l16', 'PT-l32', 'BF') THEN 'L2' ELSE '?' END"""
 
