@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from siftwork.llm.common import STEP_INVERSE, cached_powers, mix, packs, prefix_hash, store
 
-SEED = 12  # bytes of the seed that decides where a string is compared
-UNIT_BYTES = 1 << 22  # text that a task prepares at once
+SEED = 8  # bytes of the seed that decides where a string is compared
+UNIT_BYTES = 1 << 22  # text whose strips a task packs together
+PART_BYTES = 1 << 20  # text that is hashed at once
 BUCKET_BYTES = 1 << 21  # text whose strings meet in one bucket, on average
 BATCH = 1 << 17  # suffixes of a batch
 NTH = 40  # bits of a position; rows that repeat an id are told apart above them
@@ -116,6 +118,26 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[at]
 
 
+def _planes(*arrays: np.ndarray) -> bytes:
+    """int64 arrays of one length, low bytes together: what is small packs well."""
+    return b"".join(a.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays)
+
+
+def _from_planes(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(n, 8, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(n, -1)
+
+
+def _pack_spans(lo: np.ndarray, hi: np.ndarray) -> bytes:
+    return zlib.compress(_planes(np.diff(lo, prepend=0), hi - lo), 1)
+
+
+def _unpack_spans(raw: bytes) -> np.ndarray:
+    start, size = _from_planes(zlib.decompress(raw), 2)
+    lo = np.cumsum(start)
+    return np.stack((lo, lo + size), axis=1)
+
+
 _ROW = "bucket bigint, doc bigint, spans binary, text binary, meta binary"
 
 
@@ -130,7 +152,7 @@ def _prepare(length: int, buckets: int):
         import pyarrow as pa
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=6)
         schema = pa.schema(
             [("bucket", pa.int64()), ("doc", pa.int64()), ("spans", pa.binary()), ("text", pa.binary()), ("meta", pa.binary())]
         )
@@ -161,27 +183,36 @@ def _prepare(length: int, buckets: int):
         sizes = np.array([len(p) for p in pieces], np.int64)
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        row, first, last, seed, total = strips(data, starts, ends, length)
-        if not len(row):
+        made, at = [], 0
+        while at < len(pieces):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + PART_BYTES, "right")))
+            low = starts[at]
+            row, first, last, seed, total = strips(data[low : ends[to - 1]], starts[at:to] - low, ends[at:to] - low, length)
+            if len(row):
+                keys = _substring(total, first, last + length), _substring(total, seed, seed + SEED)
+                made.append((row + at, first + low, last + low, seed + low, *keys))
+            at = to
+        if not made:
             return
+        row, first, last, seed, whole, seed_key = (np.concatenate(c) for c in zip(*made))
+        del made, total
         doc = ids[row]
         place = base[row] + first - starts[row]
-        whole = _substring(total, first, last + length)
         order = np.lexsort((doc, whole))
         w, d = whole[order], doc[order]
         head = _heads(w)
         least = d[head][np.cumsum(head) - 1]
         repeat = np.empty(len(w), bool)
         repeat[order] = d > least
-        bucket = (_substring(total, seed, seed + SEED) % np.uint64(buckets)).astype(np.int64)
+        bucket = (seed_key % np.uint64(buckets)).astype(np.int64)
         columns = [[], [], [], [], []]
         if repeat.any():
             o = np.flatnonzero(repeat)
             o = o[np.lexsort((place[o], doc[o]))]
             cut = np.append(np.flatnonzero(_heads(doc[o])), len(o))
-            spans = np.stack((place[o], place[o] + last[o] - first[o]), axis=1)
+            lo, ids_, hi = place[o], doc[o], place[o] + last[o] - first[o]
             for a, z in zip(cut[:-1], cut[1:]):
-                for c, x in zip(columns, (int(doc[o][a]) % buckets, int(doc[o][a]), spans[a:z].tobytes(), None, None)):
+                for c, x in zip(columns, (int(ids_[a]) % buckets, int(ids_[a]), _pack_spans(lo[a:z], hi[a:z]), None, None)):
                     c.append(x)
         o = np.flatnonzero(~repeat)
         o = o[np.lexsort((doc[o], bucket[o]))]
@@ -189,9 +220,9 @@ def _prepare(length: int, buckets: int):
         for a, z in zip(cut[:-1], cut[1:]):
             s = o[a:z]
             size = last[s] - first[s] + length
-            meta = np.concatenate((np.diff(doc[s], prepend=0), place[s], size, seed[s] - first[s]))
+            meta = _planes(np.diff(doc[s], prepend=0), place[s], size, seed[s] - first[s])
             text = squeeze.compress(_gather(data, first[s], size).tobytes())
-            for c, x in zip(columns, (int(bucket[s[0]]), None, None, text, squeeze.compress(meta.tobytes()))):
+            for c, x in zip(columns, (int(bucket[s[0]]), None, None, text, squeeze.compress(meta))):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -213,7 +244,7 @@ def _match(length: int):
                 docs.append(doc)
                 spans.append(span)
             else:
-                m = np.frombuffer(loose.decompress(meta), np.int64).reshape(4, -1).copy()
+                m = _from_planes(loose.decompress(meta), 4)
                 m[0] = np.cumsum(m[0])
                 metas.append(m)
                 texts.append(np.frombuffer(loose.decompress(text), np.uint8))
@@ -222,10 +253,9 @@ def _match(length: int):
             order = np.lexsort((found[1], found[0]))
             doc, lo, hi = (x[order] for x in found)
             cut = np.append(np.flatnonzero(_heads(doc)), len(doc))
-            both = np.stack((lo, hi), axis=1)
             for a, z in zip(cut[:-1], cut[1:]):
                 docs.append(int(doc[a]))
-                spans.append(both[a:z].tobytes())
+                spans.append(_pack_spans(lo[a:z], hi[a:z]))
         return pa.table({"doc": pa.array(docs, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
     return run
@@ -235,8 +265,13 @@ def _in_bucket(meta: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndar
     """(doc, first, last) of repeated strings among strips (doc, place, size, seed offset; one after the other in data)."""
     doc, place, size, offset = meta
     start = np.cumsum(size) - size
-    total = prefix_hash(data)
-    seed = _substring(total, start + offset, start + offset + SEED)
+    seed, at = np.empty(len(size), np.uint64), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + PART_BYTES)))
+        total = prefix_hash(data[start[at] : start[to - 1] + size[to - 1]])
+        here = start[at:to] - start[at] + offset[at:to]
+        seed[at:to] = _substring(total, here, here + SEED)
+        at = to
     # a seed that one document holds alone cannot match
     order = np.argsort(seed, kind="stable")
     s, d = seed[order], doc[order]
@@ -257,7 +292,9 @@ def _in_bucket(meta: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndar
         z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + BATCH, "right")))
         strip = np.repeat(use[a:z], count[a:z])
         shift = np.arange(len(strip)) - np.repeat(np.cumsum(count[a:z]) - count[a:z], count[a:z])
-        p = start[strip] + shift
+        begin = np.cumsum(size[use[a:z]]) - size[use[a:z]]
+        total = prefix_hash(_gather(data, start[use[a:z]], size[use[a:z]]))
+        p = np.repeat(begin, count[a:z]) + shift
         hit = family.add(_substring(total, p, p + length), doc[strip])
         # runs of hits, cut where a strip ends
         left = hit & (np.concatenate(([True], ~hit[:-1])) | (np.diff(strip, prepend=-1) != 0))
@@ -311,7 +348,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 if not found_here:
                     rows.append((raw, len(raw), 0, 0))
                     continue
-                at = np.concatenate([np.frombuffer(x, np.int64) for x in found_here]).reshape(-1, 2)
+                at = np.concatenate([_unpack_spans(x) for x in found_here])
                 at = at[at[:, 0] >> NTH == nth] & ((1 << NTH) - 1)
                 cover = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(cover, at[:, 0], 1)
