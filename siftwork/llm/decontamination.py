@@ -6,16 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions.text import bind
-from siftwork.llm.common import store
+from siftwork.llm.common import small, store
 
 SHINGLE = 5
 RADIUS = 21  # of 64 bits: four deviations above the mean distance of a pair at a similarity of 0.8
-BROADCAST_ROWS = 200_000  # tables of more rows are joined by a shuffle
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table with a broadcast hint where its counted rows allow it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def words(text: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import WORD, store
+from siftwork.llm.common import WORD, small, store
 
 SLOTS = 16  # bits of the draw that make a slot; a slot holds about a 65,536th of a source
 
@@ -80,7 +80,7 @@ def mix_sources(
         .select(F.col("_s").alias("_es"), F.col("_slot").alias("_edge"), F.col("_before").alias("_base"))
     )
     plan = targets.withColumnRenamed("source", "_s").join(edges, F.col("_s").eqNullSafe(F.col("_es")), "left")
-    at = rows.join(plan.drop("_es"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    at = rows.join(small(store(plan.drop("_es"), "plan")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
     on_edge = F.col("_slot") == F.col("_edge")
