@@ -13,10 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-SLICES = 256  # a power of two
+SLICES = 256  # at least so many slices; a power of two
+MOST_SLICES = 1 << 16
 ROWS_PER_TASK = 1_000_000  # neighbouring slices of a group are joined up to this many rows
 
 
+def slices_for(df: DataFrame, rows_per_task: int) -> int:
+    """Slices that leave about a quarter of a task's rows each, from the counted rows; a power of two."""
+    wanted = 4 * df.count() // max(1, rows_per_task)
+    return min(MOST_SLICES, max(SLICES, 1 << wanted.bit_length()))
+
+
 def _with_slice(df: DataFrame, key: Column, slices: int) -> DataFrame:
     """Add the slice number of ``key``, by binary search over sampled splitters."""
     sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(32 * slices)
@@ -53,7 +60,7 @@ def order_columns(order: list) -> list[Column]:
 def _offsets(sizes: DataFrame, by: list[str], rows_per_task: int) -> DataFrame:
     """Per (group, slice): its window part, the rows before that part, and the group size.
 
-    At most ``SLICES`` rows per group go in, so these windows stay small.
+    One row per slice and group goes in, so these windows stay small.
     """
     w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("_n").over(w.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -77,18 +84,18 @@ def ranked(
     upto: str | None = None,
     name: str = "rn",
     size_name: str | None = None,
-    slices: int = SLICES,
+    slices: int | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """``row_number`` of ``order`` within ``by``.
 
-    ``df`` is read three times (splitters, sizes, ranks): store a costly or nested
-    input first. ``order`` must end in a unique key. With ``upto`` (a column constant within a
+    ``df`` is read four times (rows, splitters, sizes, ranks): store a costly or nested
+    input first. The number of slices follows the counted rows unless it is given. ``order`` must end in a unique key. With ``upto`` (a column constant within a
     group) only ranks <= upto are returned, and parts that start beyond it are
     dropped before anything is sorted.
     """
     keys = order_columns(order)
-    keyed = _with_slice(df, F.struct(*keys), slices)
+    keyed = _with_slice(df, F.struct(*keys), slices or slices_for(df, rows_per_task))
     sizes = keyed.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     joined = keyed.join(_offsets(sizes, by, rows_per_task), [*by, "_slice"])
     if upto:
@@ -110,7 +117,7 @@ def top_k(df: DataFrame, order: list, k, name: str = "rn") -> DataFrame:
 
 
 def value_ranks(
-    df: DataFrame, by: list[str], value: str, slices: int = SLICES, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, by: list[str], value: str, slices: int | None = None, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """One row per distinct (by, value): how many rows lie below, how many tie, group size.
 
@@ -118,7 +125,7 @@ def value_ranks(
     rows is one row from there on.
     """
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    keyed = _with_slice(counts, F.struct(F.col(value)), slices)
+    keyed = _with_slice(counts, F.struct(F.col(value)), slices or slices_for(df, rows_per_task))
     sizes = keyed.groupBy(*by, "_slice").agg(F.sum("_c").alias("_n"))
     inner = W.partitionBy(*by, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return (
@@ -137,3 +144,20 @@ def average_rank(df: DataFrame, by: list[str], value: str, name: str, size_name:
         *([F.col("group_size").alias(size_name)] if size_name else []),
     )
     return df.join(r, [*by, value])
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, **shares: float) -> DataFrame:
+    """Exact quantiles with linear interpolation, one column a share: two order statistics found by rank.
+
+    NULL values count nothing. No task holds all distinct values of a group.
+    """
+    r = value_ranks(df.where(F.col(value).isNotNull()), by, value)
+
+    def at(share: float) -> Column:
+        pos = F.lit(share) * (F.col("group_size") - 1)
+        low = F.max(F.when(F.col("below") <= F.floor(pos), F.col(value)))
+        high = F.max(F.when(F.col("below") <= F.ceil(pos), F.col(value)))
+        part = F.max(pos - F.floor(pos))
+        return low * (1.0 - part) + high * part
+
+    return r.groupBy(*by).agg(*[at(q).alias(n) for n, q in shares.items()])

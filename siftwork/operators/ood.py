@@ -12,6 +12,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.functions.ranks import quantiles
+from siftwork.session import cut_lineage
+
 MAX_DIM = 4096
 
 
@@ -64,7 +67,7 @@ def distances(df: DataFrame, mean: np.ndarray, inverse: np.ndarray, vec: str, id
 
 
 def threshold(d2: DataFrame, quantile: float = 0.95) -> DataFrame:
-    return d2.agg(F.percentile("d2", F.lit(quantile)).alias("threshold"))
+    return quantiles(cut_lineage(d2), [], "d2", threshold=quantile)
 
 
 def fit(df: DataFrame, vec: str, quantile: float = 0.95, ridge: float = 1e-3, id_col: str = "sample_id") -> OODStats:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from siftwork.functions.ranks import average_rank
+from siftwork.functions.ranks import average_rank, quantiles, ranked
 from siftwork.operators import metrics as M
 from siftwork.plans import sqltext as T
 from siftwork.plans import views as X
@@ -61,9 +61,13 @@ def h02(spark, sf):
 
 @query("h05_running_sums", f"WITH s AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_suppkey, l_returnflag, coalesce(sum(n) OVER (PARTITION BY l_returnflag ORDER BY n DESC, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s")
 def h05(spark, sf):
-    s = X.table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("l_returnflag").orderBy(F.desc("n"), "l_suppkey").rowsBetween(W.unboundedPreceding, -1)
-    return s.select("l_suppkey", "l_returnflag", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    s = cut_lineage(X.table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n")))
+    # equal counts: rows that lie before times the count; larger counts: a sum over distinct counts
+    by_count = s.groupBy("l_returnflag", "n").agg((F.sum("n")).alias("of"))  # no more rows than distinct counts
+    larger = W.partitionBy("l_returnflag").orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)
+    above = by_count.withColumn("above", F.coalesce(F.sum("of").over(larger), F.lit(0))).drop("of")
+    r = ranked(s, ["l_returnflag", "n"], ["l_suppkey"]).join(above, ["l_returnflag", "n"])
+    return r.select("l_suppkey", "l_returnflag", (F.col("above") + (F.col("rn") - 1) * F.col("n")).cast("bigint").alias("before"))
 
 
 @query("h06_positional_frames", "SELECT conv_id, turn, lead(role) OVER w AS next_role, first_value(role) OVER w AS first_role, last_value(role) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
@@ -82,12 +86,8 @@ def h06(spark, sf):
 
 @query("h07_exact_quantile", f"SELECT l_returnflag, {r('quantile_cont(l_extendedprice, 0.95)', 4)} AS q95, {r('quantile_cont(l_extendedprice, 0.025)', 4)} AS q025 FROM lineitem GROUP BY 1")
 def h07(spark, sf):
-    # percentile counts distinct values map-side, so repeated values travel once
-    li = X.table(spark, sf, "lineitem")
-    return li.groupBy("l_returnflag").agg(
-        F.round(F.percentile("l_extendedprice", F.lit(0.95)), 4).alias("q95"),
-        F.round(F.percentile("l_extendedprice", F.lit(0.025)), 4).alias("q025"),
-    )
+    q = quantiles(X.table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", q95=0.95, q025=0.025)
+    return q.select("l_returnflag", F.round("q95", 4).alias("q95"), F.round("q025", 4).alias("q025"))
 
 
 query("p01_rank_table", "WITH " + RANKS + f" SELECT method, language, sample_id, {r('rp')} AS rank_pred, {r('rt')} AS rank_truth FROM rk")(

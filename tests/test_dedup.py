@@ -61,3 +61,37 @@ def test_items_inside_the_pool_are_found(spark):
     assert {r["sample_id"] for r in D.gram_overlap(df, items).collect()} == {1, 2}
     assert {r["sample_id"] for r in D.near_items(df, items).collect()} == {1, 2}
     assert {(r["sample_id"], r["kind"]) for r in D.matching_items(df, items).collect()} == {(1, "exact"), (1, "normalised")}
+
+
+def test_items_over_lines(spark):
+    item = "one two three four five six seven\neight nine ten eleven twelve\nthirteen fourteen fifteen sixteen"
+    long = "\n".join(f"line {i} of a long text" for i in range(150_000))
+    rows = [(1, "before\n" + item + "\nafter"), (2, item.replace("\n", " ")), (3, long + "\n" + item.upper()), (4, "line 7 of a long text"), (5, None)]
+    docs = spark.createDataFrame(rows, "sample_id bigint, text string")
+    items = spark.createDataFrame([(1, item), (2, "line 7 of a long text")], "item_id bigint, text string")
+    windows = D.line_windows(docs, items)
+    assert windows.where("sample_id = 1").count() == 5 + 3
+    hits = {tuple(r) for r in D.matching_items(windows, items).distinct().collect()}
+    assert hits == {(1, "exact"), (1, "normalised"), (2, "normalised"), (3, "exact"), (3, "normalised"), (4, "exact"), (4, "normalised")}
+    assert windows.where("sample_id = 3 and n_lines = 3").count() == 150_001
+
+
+def test_shared_folder_is_required_off_local_masters(spark, monkeypatch):
+    import siftwork.session as session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Elsewhere:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Elsewhere())
+    assert session.shared_dir(spark)
