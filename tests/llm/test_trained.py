@@ -66,13 +66,13 @@ def test_model_is_a_distribution_and_equals_weighting(make):
     docs = make([(i, t.decode()) for i, t in enumerate(texts)])
     tree = ct.fit_tree(docs, depth=2)
     for (k, p), (k2, p2) in zip(tree, ct.build_tree(tree_of(texts, 2))):
-        assert (k == k2).all() and np.allclose(p, p2)
+        assert (k == k2).all() and np.allclose(p, p2, atol=1e-6)
     for context in (b"ab", b"zz", b"na"):
         grams = np.array([int.from_bytes(context + bytes([b])) for b in range(256)], np.uint64)
-        assert abs((10 ** ct.log10_bytes(tree, grams)).sum() - 1) < 1e-9
+        assert abs((10 ** ct.log10_bytes(tree, grams)).sum() - 1) < 1e-6
     pruned = ct.build_tree(tree_of(texts, 2, least=3))
     grams = np.array([int.from_bytes(b"br" + bytes([b])) for b in range(256)], np.uint64)
-    assert abs((10 ** ct.log10_bytes(pruned, grams)).sum() - 1) < 1e-9
+    assert abs((10 ** ct.log10_bytes(pruned, grams)).sum() - 1) < 1e-6
 
     # depth 0 of a one-symbol alphabet: the block probability is Krichevsky and Trofimov's
     assert abs(ct.log_kt(np.array([0.0]), np.array([2.0]))[0] - math.log(3 / 8)) < 1e-9
