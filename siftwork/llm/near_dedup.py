@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import lower_bytes, mix, packs, shingle_hashes, store, word_hashes
+from siftwork.llm.common import lower_bytes, mix, packs, shingle_hashes, small, store, word_hashes
 from siftwork.llm.components import components
 
 SLOTS = 192  # values of a signature
 BANDS, ROWS = 38, 5  # a pair shares no band once in 5 billion times at a similarity of 0.85, in 3 million at 0.8
+BLOCK_BYTES = 4 << 20  # sets that meet another block in one task
 ELEMENTS = 100_000  # shingles that are permuted at once; bounds the table of permutations
 
 
@@ -142,7 +144,84 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("v").alias("a"), F.col("words").alias("x"))
     y = sets.select(F.col("v").alias("b"), F.col("words").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    pairs = small(store(pairs.select("a", "b"), "pairs"))
+    return x.join(pairs, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _links_in_block(v: list, comp: list, left: list, right: list, raw: list, percent: int) -> list[tuple[int, int]]:
+    """A link for every two components that a left and a right set tie together; more only where they meet anew."""
+    root = {c: c for c in comp}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    words = [np.frombuffer(r, np.uint64) for r in raw]
+    sizes = np.array([len(w) for w in words])
+    ids = np.unique(np.concatenate(words), return_inverse=True)[1]
+    cut = np.concatenate(([0], np.cumsum(sizes)))
+    others = np.concatenate([ids[cut[k] : cut[k + 1]] for k in right])
+    begin = np.concatenate(([0], np.cumsum(sizes[right])))[:-1]
+    own = np.zeros(int(ids.max()) + 1, np.int32)
+    out = []
+    for i in left:
+        mine = ids[cut[i] : cut[i + 1]]
+        own[mine] = 1
+        both = np.add.reduceat(own[others], begin)
+        own[mine] = 0
+        for k in np.flatnonzero(100 * both >= percent * (sizes[i] + sizes[right] - both)).tolist():
+            x, y = find(comp[i]), find(comp[right[k]])
+            if x != y:
+                root[x] = y
+                out.append((v[i], v[right[k]]))
+    return out
+
+
+def _family_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that are still missing between different components of one family.
+
+    A family is what buckets connect. Families of one component are done. The others are cut into blocks of about
+    BLOCK_BYTES of sets; a task gets two blocks and checks one against the other, so its memory is bounded at any
+    size of a family, and only links that join components leave it.
+    """
+    first = store(members.groupBy("key").agg(F.min("v").alias("a")), "families")
+    ties = members.join(first, "key").select("a", F.col("v").alias("b")).where("a <> b")
+    family = small(store(components(ties), "families")).select(F.col("node").alias("v"), F.col("root").alias("family"))
+    each = store(members.select("v", "comp", "n").distinct().join(family, "v"), "family-members")
+    mixed = each.groupBy("family").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum("n").alias("all")).where("lo < hi")
+    blocks = F.ceil(F.col("all") * 8 / BLOCK_BYTES).cast("int")
+    some = each.join(small(store(mixed.select("family", blocks.alias("blocks")), "open-families")), "family")
+    some = some.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    pairs = some.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = pairs.select("family", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "comp", "v")
+    rows = sets.join(small(store(placed, "placed")), "v").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "v")
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        def groups():
+            key, held = None, []
+            for b in batches:
+                for row in zip(*[b.column(c).to_pylist() for c in ("family", "i", "j", "own", "comp", "v", "words")]):
+                    if row[:3] != key:
+                        if held:
+                            yield key, held
+                        key, held = row[:3], []
+                    held.append(row[3:])
+            if held:
+                yield key, held
+
+        for (_, i, j), held in groups():
+            own, comp, v, raw = map(list, zip(*held))
+            left, right = [k for k, o in enumerate(own) if o == i], [k for k, o in enumerate(own) if o == j]
+            if left and right and len(set(comp)) > 1:
+                found = _links_in_block(v, comp, left, right, raw, percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    return rows.select("family", "i", "j", "own", "comp", "v", "words").mapInArrow(run, "a bigint, b bigint")
 
 
 def most_bits(percent: int) -> int:
@@ -159,7 +238,7 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * most >= percent * (n - most)) & (differ <= most_bits(percent))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Two documents are linked when 100 * intersection >= percent * union of their distinct n-word shingles (A-Z
@@ -173,26 +252,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds
        allows has no link at all and leaves before any pair is made.
     3. Pivot rounds: each vertex proposes one pivot outside its component, the one with which it shares most
        buckets; verified links are contracted. A family of n near copies costs about n checks a round.
-    4. What is left, pairs of one bucket but different components, is checked in full after the same bounds.
+    4. Families (sets that buckets connect) of more than one component are checked in full, two bounded blocks of
+       sets at a time; a task returns only links that join components.
     Every link is confirmed on whole sets. No bucket or group is gathered in one task.
     """
     sk = store(sketch(docs, n), "sketch")
-    groups = sk.where("v IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("id"))
-    one = sk.where("v IS NOT NULL").select("v", F.coalesce("doc_id", F.lit(-1)).alias("_d"), "n_shingles", "bits", "bands")
-    first = one.groupBy("v").agg(F.min("_d").alias("_d"))
-    vertices = one.join(first, ["v", "_d"]).dropDuplicates(["v"])
-    vertices = store(vertices.select("v", "_d", F.col("n_shingles").alias("n"), *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(3)], "bands"), "vertices")
+    # equal sets have equal sketches, so any row's will do
+    per_set = sk.where("v IS NOT NULL").withColumn("_d", F.coalesce("doc_id", F.lit(-1))).groupBy("v")
+    fields = [F.min("doc_id").alias("id"), F.min("_d").alias("_d"), F.first("n_shingles").alias("n")]
+    vertices = per_set.agg(*fields, F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    bits = [F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(SLOTS // 64)]
+    vertices = store(vertices.select("v", "id", "_d", "n", *bits, "bands"), "vertices")
     rows = vertices.select("v", F.explode("bands").alias("key"))
     shared = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi").select("key")
     buckets = store(rows.join(store(shared, "shared-keys"), "key"), "buckets")
-    candidates = store(buckets.select("v").distinct().join(vertices.drop("bands"), "v"), "candidates")
+    candidates = small(store(vertices.drop("bands", "id").join(buckets.select("v"), "v", "left_semi"), "candidates"))
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("_d"), F.col("text").cast("string"))
-    sets = _full_sets(texts.join(candidates.select("_d").distinct(), "_d", "left_semi"), n)
+    sets = _full_sets(texts.join(candidates.select("_d"), "_d", "left_semi"), n)
     sets = store(sets.join(candidates.select("v"), "v", "left_semi").dropDuplicates(["v"]), "sets")
-    own = candidates.join(_alone(sets), "v", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    own = _alone(sets).join(candidates, "v", "right").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
     open_rows = own.where(100 * F.col("shared") >= percent * F.col("n")).select("v", "n", "shared", "b0", "b1", "b2")
-    members = store(buckets.join(open_rows, "v"), "open-buckets")
+    members = store(buckets.join(small(store(open_rows, "open")), "v"), "open-buckets")
 
     labels = None
     fields = ["v", "comp", "n", "shared", "b0", "b1", "b2"]
@@ -200,7 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds
     def labelled() -> DataFrame:
         if labels is None:
             return members.withColumn("comp", F.col("v"))
-        found = members.join(labels.select(F.col("node").alias("v"), "root"), "v", "left")
+        found = members.join(small(labels).select(F.col("node").alias("v"), "root"), "v", "left")
         return found.withColumn("comp", F.coalesce("root", "v")).drop("root")
 
     def contract(pairs: DataFrame) -> tuple[DataFrame | None, bool]:
@@ -208,7 +289,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds
         if links.isEmpty():
             return labels, False
         known = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        return components(known), True
+        return store(components(known), "labels"), True
 
     for r in range(pivot_rounds):
         at = labelled()
@@ -216,21 +297,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds
         pivot = at.groupBy("key").agg(F.min_by(F.struct(*fields), order).alias("p")).select("key", "p.*")
         pivot = store(pivot, "pivots")
         near = at.alias("x").join(pivot.alias("p"), "key").where((F.col("x.comp") != F.col("p.comp")) & _may_link("x", "p", percent))
-        best = near.groupBy(F.col("x.v").alias("a"), F.col("p.v").alias("b")).agg(F.count("*").alias("c"))
+        proposed = near.select(F.col("x.v").alias("a"), F.col("p.v").alias("b")).repartition("a")
+        best = proposed.groupBy("a", "b").agg(F.count("*").alias("c"))
         labels, more = contract(best.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")))
         if not more:
             break
-    at = labelled()
-    rest = at.alias("x").join(at.alias("y"), "key").where(
-        (F.col("x.v") < F.col("y.v")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", percent)
-    )
-    labels, _ = contract(rest.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct())
-
-    if labels is None:
-        whole = groups.select("v", "id")
-    else:
-        named = groups.join(labels.select(F.col("node").alias("v"), "root"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-        whole = named.join(named.groupBy("root").agg(F.min("id").alias("least")), "root").select("v", F.col("least").alias("id"))
-    out = sk.select("doc_id", "n_shingles", "v").join(whole, "v", "left")
+    links = store(_family_links(labelled(), sets, percent), "links")
+    if not links.isEmpty():
+        known = [] if labels is None else [labels.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+        labels = store(components(reduce(DataFrame.unionByName, known, links)), "labels")
+
+    ids = vertices.select("v", "id")
+    if labels is not None:
+        named = ids.join(small(labels).withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+        # only components of several sets need their smallest id
+        tied = labels.join(ids, F.col("node") == F.col("v")).groupBy("root").agg(F.min("id").alias("least"))
+        ids = named.join(small(store(tied, "component-ids")), "root", "left").select("v", F.coalesce("least", "id").alias("id"))
+    out = sk.select("doc_id", "n_shingles", "v").join(ids, "v", "left")
     component = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
