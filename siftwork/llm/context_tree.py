@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siftwork.llm.common import body, lower_bytes, packs, store, word_hashes
 
 DEPTH = 5  # bytes of the longest context
-NODES = 1 << 19  # at most so many nodes of a depth and bit go into the model
+NODES = 1 << 18  # at most so many nodes of a depth and bit go into the model
 FREQUENT = 1 << 20  # at most so many words have their counts broadcast
 CACHE = 1 << 21  # evaluated pairs that a task remembers
 
@@ -106,7 +106,7 @@ def build_tree(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[t
             sofar, left = sofar[up], left[up]
         else:
             sofar, left = np.zeros(len(key)), np.ones(len(key))
-        out.append((key, sofar + left * p))
+        out.append((key, (sofar + left * p).astype(np.float32)))
         sofar, left = sofar + left * stay[d] * p, left * (1 - stay[d])
     return out
 
@@ -126,19 +126,19 @@ def log10_bytes(tree: list[tuple[np.ndarray, np.ndarray]], grams: np.ndarray) ->
             key = ((context[open_] & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | prefix[open_]
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = keys[at] == key
-            one[open_[hit]] = p[at[hit]]
+            one[open_[hit]] = p[at[hit]].astype(float)
             open_ = open_[~hit]
         up = (byte >> np.uint64(7 - i)) & np.uint64(1) == 1
-        total += np.log10(np.where(up, one, 1 - one))
+        total += np.log10(np.maximum(np.where(up, one, 1 - one), 1e-9))
     return total
 
 
 def _as_arrays(df: DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
     """Columns of a bounded table, in the (unsigned) order of the first one."""
-    t = df.toPandas()
-    key = t[columns[0]].to_numpy(np.int64).view(np.uint64)
+    t = df.select(*columns).toArrow()
+    key = t.column(0).to_numpy().view(np.uint64)
     order = np.argsort(key)
-    return key[order], *[t[c].to_numpy(np.int64)[order] for c in columns[1:]]
+    return key[order], *[t.column(c).to_numpy()[order] for c in columns[1:]]
 
 
 def fit_tree(train: DataFrame, depth: int = DEPTH, nodes: int = NODES) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -257,12 +257,15 @@ def score_texts(docs: DataFrame, train: DataFrame, depth: int = DEPTH) -> DataFr
         F.coalesce(F.col("doc_id").cast("bigint"), missing).alias("doc_id"), F.xxhash64(body()).alias("t"), F.col("text").cast("string")
     )
     scored = store(narrow.mapInArrow(score, "doc_id bigint, t bigint, n_tokens bigint, sure bigint, base double, score double, n_bytes bigint"), "scored")
+    tree.destroy()
     left = narrow.mapInArrow(rare, "doc_id bigint, t bigint, w bigint, tf bigint")
     n = F.coalesce("n", F.lit(0))
     joined = left.join(words.where(F.col("n") < least), "w", "left")
     sums = joined.groupBy("doc_id", "t").agg(
         F.sum(F.col("tf") * F.log10(n + 0.5)).alias("more"), F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("found")
     )
+    sums = store(sums, "rare-words")
+    common.destroy()
     copies = scored.groupBy("doc_id", "t").agg(F.count("*").alias("copies"))
     extra = sums.join(copies, ["doc_id", "t"])
     out = scored.join(extra, ["doc_id", "t"], "left")
