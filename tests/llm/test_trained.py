@@ -79,6 +79,29 @@ def test_model_is_a_distribution_and_equals_weighting(make):
     assert abs(ct.log_kt(np.array([1.0]), np.array([1.0]))[0] - math.log(1 / 8)) < 1e-9
 
 
+def test_no_context_is_left_out(make, monkeypatch):
+    """More than 2^18 bytes: rare contexts count all the same, whether their values are broadcast or joined."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.choice(list(b"abcdefgh  "), 40_000)).decode() for _ in range(9)]
+    rows = list(enumerate(texts)) + [(50, "bad zebra"), (51, None), (52, texts[0][:300]), (52, texts[0][:300])]
+    train = make(list(enumerate(texts)))
+    grams, n = np.unique(ct._contexts([lower_bytes(t) for t in texts], 5)[0], return_counts=True)
+    levels = []
+    for d in range(6):
+        g, byte = grams & np.uint64((1 << (8 * d + 8)) - 1), grams & np.uint64(255)
+        node = np.concatenate([g & ~np.uint64(255) | np.uint64(1 << i) | byte >> np.uint64(8 - i) for i in range(8)])
+        bit = np.concatenate([byte >> np.uint64(7 - i) & np.uint64(1) for i in range(8)]).astype(float)
+        key, at = np.unique(node, return_inverse=True)
+        ones, both = np.bincount(at, np.tile(n, 8) * bit), np.bincount(at, np.tile(n, 8))
+        levels.append((key, both - ones, ones))
+    tree = ct.build_tree(levels)
+    want = sorted(ct.log10_bytes(tree, ct._contexts([lower_bytes(t)], 5)[0]).sum() for _, t in rows)
+    for common in (1 << 20, 100):
+        monkeypatch.setattr(ct, "COMMON", common, raising=False)
+        got = sorted(r.score for r in ct.score_texts(make(rows), train).collect())
+        assert np.allclose(got, want, rtol=1e-5), (got, want)
+
+
 def test_deeper_trees_code_better(make):
     docs = make([(i, sentence(i, 200)) for i in range(60)])
     test = make([(100 + i, sentence(500 + i, 100)) for i in range(10)])
