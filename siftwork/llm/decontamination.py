@@ -1,4 +1,4 @@
-"""Benchmark items inside documents: SimHash windows, Hamming blocks, weighted shingles (built-in functions only)."""
+"""Benchmark items inside documents: rare anchors, sliding windows, weighted shingles (built-in functions only)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from siftwork.functions.text import bind
 from siftwork.llm.common import small, store
 
 SHINGLE = 5
-RADIUS = 21  # of 64 bits: four deviations above the mean distance of a pair at a similarity of 0.8
 
 
 def words(text: str) -> Column:
@@ -25,53 +24,31 @@ def gram_length(w: Column, n: int = SHINGLE) -> Column:
     return F.least(F.size(w), F.lit(n))
 
 
-def fingerprint(shingles: Column) -> Column:
-    """64-bit SimHash of an array of (h, weight): bit i is the sign of the weights' sum, signed by bit i of h."""
-
-    def bit(i: Column) -> Column:
-        def signed(acc: Column, s: Column) -> Column:
-            on = F.expr("1L").bitwiseAND(F.call_function("shiftrightunsigned", s.h, i)) == 1
-            return acc + F.when(on, s.weight).otherwise(-s.weight)
-
-        return F.aggregate(shingles, F.lit(0.0), signed) >= 0
-
-    return F.aggregate(
-        F.sequence(F.lit(0), F.lit(63)),
-        F.lit(0).cast("bigint"),
-        lambda acc, i: F.when(bit(i), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i))).otherwise(acc),
-    )
-
-
-def blocks(print_: Column, radius: int = RADIUS) -> Column:
-    """radius + 1 blocks of bits: fingerprints within the radius agree on one block at least."""
-    n = radius + 1
-    parts = []
-    for b in range(n):
-        lo, hi = 64 * b // n, 64 * (b + 1) // n
-        value = F.call_function("shiftrightunsigned", print_, F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-        parts.append(F.struct(F.lit(b).alias("b"), value.alias("v")))
-    return F.array(*parts)
-
-
-def find_items(
-    docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = SHINGLE, radius: int = RADIUS
-) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = SHINGLE) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): where documents hold benchmark items.
 
     ``docs`` (doc_id, text) and ``items`` (item_id, text). Texts are lowered and split at white space; a shingle is
     n words (all words of a shorter item). Its weight is 1 + ln((items + 1) / (items with it + 1)). The similarity
     of an item and a window of as many words is the weight of common shingles over the weight of all.
 
-    1. Windows: an item's anchors are its rarest shingles, as many as a window must share one of to reach the
-       threshold at all; a window is placed where an anchor stands, so none that could match is missed.
-    2. Windows and items get 64-bit SimHash fingerprints; ``radius + 1`` blocks find every item of the window's
-       length within the radius.
-    3. The exact similarity decides; the best window of each (document, item) is returned.
+    1. An item's anchors are its rarest shingles, as many as a window must share one of to reach the threshold at
+       all. Every window that contains an anchor, wherever in the window it stands, is a candidate.
+    2. The weights of a window's shingles, and of those it shares with the item, are running sums over the starts:
+       a shingle counts from where a window first reaches it (or has passed its occurrence before) up to its own
+       place. So every candidate gets its exact similarity; the best of each (document, item) is returned.
 
     A document without a match has no row. NULL or empty texts match nothing; equal rows give one result; rows
     with equal ids and different texts are searched apart; rows without an id are searched too. Other columns are
     not read. Anchors and matched ids are broadcast only up to a counted size.
     """
+    best = _windows(docs, items, threshold, n).groupBy("doc_id", "item_id").agg(
+        F.max_by(F.struct("start", "m", "similarity"), F.struct("similarity", -F.col("start"))).alias("x")
+    )
+    return best.select("doc_id", "item_id", "x.start", F.col("x.m").alias("n_words"), "x.similarity")
+
+
+def _windows(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = SHINGLE) -> DataFrame:
+    """(doc_id, t, item_id, m, start, similarity) of windows that match; t is the hash of the row's text."""
     it = items.select("item_id", words("text").alias("w")).where(F.size("w") > 0).distinct()
     it = it.withColumn("k", gram_length(F.col("w"), n)).withColumn("item", F.xxhash64("item_id", "w"))
     parts = store(
@@ -91,9 +68,8 @@ def find_items(
         weighed.withColumn("anchor", from_here >= threshold * whole * (1 - 1e-9)).withColumn("total", whole), "weighed"
     )
 
-    # every position where the shingle is an anchor of some item
-    spots = parts.select("item", "g", F.col("off").alias("at")).join(weighed.where("anchor").select("item", "g", "k", "m"), ["item", "g"])
-    anchors = small(store(spots.select("k", F.xxhash64("g").alias("h"), "m", "at").distinct(), "anchors"))
+    weighed = weighed.withColumn("h", F.xxhash64("g"))
+    anchors = small(store(weighed.where("anchor").select("k", "h", "item", "m"), "anchors"))
     lengths = [r[0] for r in parts.select("k").distinct().collect()]  # at most n values
     d = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text")
 
@@ -108,41 +84,38 @@ def find_items(
         lengths = [n]
     by_length = d.select("doc_id", "t", F.explode(bind(words("text"), hashes)).alias("x")).select("doc_id", "t", "x.*")
     placed = by_length.select("doc_id", "t", "k", "n", F.posexplode("hs").alias("pos", "h")).join(anchors, ["k", "h"])
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("m")))
-    windows = store(placed.select("doc_id", "t", "k", "m", start.alias("start")).distinct(), "windows")
+    ends = placed.groupBy("doc_id", "t", "item", "k", "m", "n").agg(F.min("pos").alias("a"), F.max("pos").alias("z"))
+    # the first and the last start of a window that has an anchor
+    first = F.greatest(F.lit(0), F.col("a") - F.col("m") + F.col("k"))
+    last = F.least(F.col("z"), F.greatest(F.lit(0), F.col("n") - F.col("m")))
+    pairs = store(ends.select("doc_id", "t", "item", "k", "m", first.alias("lo"), last.alias("hi")), "pairs")
 
-    hit = small(store(windows.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct(), "hits"))
+    hit = small(store(pairs.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct(), "hits"))
     found = d.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left_semi")
     found = found.dropDuplicates(["doc_id", "t"]).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), words("text").alias("w"))
-    cut = windows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")))
-    cut = cut.select("doc_id", "t", "k", "m", "start", F.slice("w", F.col("start") + 1, F.col("m")).alias("w"))
-    cut = cut.withColumn("win", F.xxhash64("doc_id", "t", "m", "start", "k"))
-    k = F.least(F.col("k"), F.size("w"))
-    inside = cut.select("win", "doc_id", "m", "start", F.explode(F.array_distinct(grams(F.col("w"), k))).alias("g"))
-    inside = store(inside.join(df, "g", "left").withColumn("weight", F.coalesce("weight", absent)), "inside")
-
-    def prints(df_: DataFrame, *keys: str) -> DataFrame:
-        shingles = F.sort_array(F.collect_list(F.struct(F.xxhash64("g").alias("h"), "weight")))
-        one = df_.groupBy(*keys).agg(shingles.alias("s"), F.sum("weight").alias("total"))
-        return one.select(*keys, "total", bind(F.col("s"), fingerprint).alias("f"))
-
-    left = store(prints(inside, "win", "doc_id", "m", "start"), "window-prints")
-    right = store(prints(weighed.select("item_id", "item", "m", "g", "weight"), "item_id", "item", "m"), "item-prints")
-    lb = left.select("win", "m", "f", F.explode(blocks(F.col("f"), radius)).alias("x")).select("win", "m", "f", "x.*")
-    rb = right.select("item", "m", F.col("f").alias("rf"), F.explode(blocks(F.col("f"), radius)).alias("x"))
-    rb = rb.select("item", "m", "rf", "x.*")
-    close = lb.join(rb, ["m", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("rf"))) <= radius)
-    pairs = close.select("win", "item").distinct()
-
-    common = pairs.join(inside.select("win", "g", "weight"), "win").join(weighed.select("item", "g"), ["item", "g"])
-    common = common.groupBy("win", "item").agg(F.sum("weight").alias("common"))
-    scored = common.join(left.drop("f"), "win").join(right.select("item", "item_id", F.col("total").alias("of")), "item")
-    similarity = F.col("common") / (F.col("total") + F.col("of") - F.col("common"))
-    kept = scored.withColumn("similarity", F.round(similarity, 9)).where(F.col("similarity") >= threshold)
-    best = kept.groupBy("doc_id", "item_id").agg(
-        F.max_by(F.struct("start", "m", "similarity"), F.struct("similarity", -F.col("start"))).alias("x")
+    near = pairs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")))
+    region = F.slice("w", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("m"))
+    near = near.select("doc_id", "t", "item", "k", "m", "lo", "hi", region.alias("w")).where(F.size("w") >= F.col("k"))
+    each = near.select("doc_id", "t", "item", "k", "m", "lo", "hi", F.posexplode(grams(F.col("w"), F.col("k"))).alias("pos", "g"))
+    each = each.withColumn("pos", F.col("pos") + F.col("lo")).withColumn("h", F.xxhash64("g"))
+    weights = small(store(df.select(F.xxhash64("g").alias("h"), "weight"), "shingle-weights"))
+    own = small(store(weighed.select("item", "h", F.col("weight").alias("common")), "item-shingles"))
+    each = each.drop("g").join(weights, "h", "left").join(own, ["item", "h"], "left")
+    before = F.lag("pos").over(Window.partitionBy("doc_id", "t", "item", "h").orderBy("pos"))
+    start = F.greatest(F.col("lo"), F.col("before") + 1, F.col("pos") - F.col("m") + F.col("k"))
+    w, c = F.coalesce("weight", absent), F.coalesce("common", F.lit(0.0))
+    change = F.array(
+        F.struct(start.alias("start"), w.alias("w"), c.alias("c")), F.struct((F.col("pos") + 1).alias("start"), (-w).alias("w"), (-c).alias("c"))
     )
-    return best.select("doc_id", "item_id", "x.start", F.col("x.m").alias("n_words"), "x.similarity")
+    changes = each.withColumn("before", before).select("doc_id", "t", "item", "m", "hi", F.explode(change).alias("x"))
+    changes = changes.groupBy("doc_id", "t", "item", "m", "hi", "x.start").agg(F.sum("x.w").alias("w"), F.sum("x.c").alias("c"))
+    upto = Window.partitionBy("doc_id", "t", "item").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = changes.select("doc_id", "t", "item", "m", "hi", "start", F.sum("w").over(upto).alias("w"), F.sum("c").over(upto).alias("c"))
+    named = small(store(weighed.groupBy("item", "item_id").agg(F.max("total").alias("of")), "item-totals"))
+    scored = sums.where("start <= hi AND c > 0.5").join(named, "item")
+    similarity = F.round(F.col("c") / (F.col("w") + F.col("of") - F.col("c")), 9)
+    scored = scored.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
+    return scored.select("doc_id", "t", "item_id", "m", "start", "similarity")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

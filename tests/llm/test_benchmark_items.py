@@ -60,6 +60,24 @@ def test_against_all_windows(spark, make, odd_rows):
     assert kept.columns == make(docs).columns
 
 
+def test_anchor_may_stand_anywhere_in_the_window(spark, make):
+    """Halves that are swapped, and edits beside the rare shingles: the item's offset does not tell the start."""
+    q = sentence(60, 100).split(" ")
+    cut = sentence(61, 40).split(" ")
+    items = [(1, " ".join(q)), (2, " ".join(cut)), (3, sentence(62, 20) + " " + sentence(63, 20))]
+    docs = [
+        (1, sentence(1, 60) + " " + " ".join(q[50:] + q[:50]) + " " + sentence(2, 60)),
+        (2, sentence(3, 60) + " " + " ".join(cut[:20] + ["new"] + cut[20:]) + " " + sentence(4, 60)),
+        (3, " ".join(q[70:] + q[:70])),
+        (4, sentence(63, 20) + " " + sentence(62, 20) + " " + sentence(63, 20)),
+        (5, " ".join(q[:30])),
+    ]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = expected(docs, items)
+    assert (1, 1) in want
+    assert {(r.doc_id, r.item_id): r.similarity for r in find_items(make(docs), bench).collect()} == want
+
+
 def test_empty_tables(spark, make):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert find_items(make([(1, sentence(1, 50))]), none).count() == 0
