@@ -6,11 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import store, table
+from siftwork.llm.common import body, store, table
 from siftwork.llm.decontamination import decontaminate
 from siftwork.llm.line_dedup import line_dedup
 from siftwork.llm.mixing import mix_sources
-from siftwork.llm.near_dedup import near_duplicates
+from siftwork.llm.near_dedup import near_duplicate_rows
 from siftwork.llm.quality import fit_rules, labelled_rows, score_quality
 
 ORACLE_SQL = None  # the classifier has no SQL form; the stages are tested against brute force
@@ -34,13 +34,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates (0.8 of five-word shingles)."""
-    found = near_duplicates(docs, percent=80).where("doc_id IS NOT NULL")
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicate_rows(docs, percent=80).where("NOT kept").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64(body()) == F.col("_t"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Rows that hold no benchmark item."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

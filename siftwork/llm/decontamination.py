@@ -119,6 +119,7 @@ def _windows(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents in which an item was found; rows without an id stay only if none of them has one."""
-    bad = find_items(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """``docs`` without the rows in which an item was found; other rows of the same id, or without one, stay."""
+    bad = _windows(docs, items, **options).select(F.col("doc_id").alias("_bad"), F.col("t").alias("_t")).distinct()
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (text == F.col("_t")), "left_anti")

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import lower_bytes, mix, packs, shingle_hashes, small, store, word_hashes
+from siftwork.llm.common import body, lower_bytes, mix, packs, shingle_hashes, small, store, word_hashes
 from siftwork.llm.components import components
 
 SLOTS = 192  # values of a signature
@@ -72,7 +72,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, v, bits, bands): v is the key of the shingle set, NULL for an empty one."""
+    """(doc_id, t, n_shingles, v, bits, bands): t is the hash of the row's text, v is the key of the shingle set, NULL for an empty one."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
@@ -87,11 +87,13 @@ def sketch(docs: DataFrame, n: int = 5) -> DataFrame:
             keys = pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())
             lists = [pa.array([x.tolist() if f else None for x, f in zip(m, full)], pa.list_(pa.int64())) for m in (low, _signed(band_keys(sig)))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), keys, *lists], names=["doc_id", "n_shingles", "v", "bits", "bands"]
+                [b.column("doc_id"), b.column("t"), pa.array(sizes, pa.int64()), keys, *lists],
+                names=["doc_id", "t", "n_shingles", "v", "bits", "bands"],
             )
 
-    schema = "doc_id bigint, n_shingles bigint, v bigint, bits array<bigint>, bands array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, schema)
+    schema = "doc_id bigint, t bigint, n_shingles bigint, v bigint, bits array<bigint>, bands array<bigint>"
+    keyed = docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(body()).alias("t"), F.col("text").cast("string"))
+    return keyed.mapInArrow(run, schema)
 
 
 def _full_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -256,6 +258,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds
        sets at a time; a task returns only links that join components.
     Every link is confirmed on whole sets. No bucket or group is gathered in one task.
     """
+    return near_duplicate_rows(docs, percent, n, pivot_rounds).drop("t")
+
+
+def near_duplicate_rows(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds: int = 2) -> DataFrame:
+    """``near_duplicates`` with t, the hash of the row's text: (doc_id, t) tells rows of one id, or of none, apart."""
     sk = store(sketch(docs, n), "sketch")
     # equal sets have equal sketches, so any row's will do
     per_set = sk.where("v IS NOT NULL").withColumn("_d", F.coalesce("doc_id", F.lit(-1))).groupBy("v")
@@ -313,6 +320,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, pivot_rounds
         # only components of several sets need their smallest id
         tied = labels.join(ids, F.col("node") == F.col("v")).groupBy("root").agg(F.min("id").alias("least"))
         ids = named.join(small(store(tied, "component-ids")), "root", "left").select("v", F.coalesce("least", "id").alias("id"))
-    out = sk.select("doc_id", "n_shingles", "v").join(ids, "v", "left")
+    out = sk.select("doc_id", "t", "n_shingles", "v").join(ids, "v", "left")
     component = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "t", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

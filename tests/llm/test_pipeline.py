@@ -49,6 +49,17 @@ def test_stages(spark, folder):
     assert sorted(map(str, ids["mixing"])) == sorted(str(r.doc_id) for r in cp.run(spark, folder).collect())
 
 
+def test_rows_without_id_or_with_one_id_are_told_apart(spark, make, tmp_path):
+    near, item = sentence(1, 80), sentence(90, 30)
+    rows = [(1, near), (None, near.replace(" ", "  ")), (None, sentence(2, 80)), (7, near + " "), (7, sentence(3, 80)), (7, sentence(4, 20) + " " + item), (None, sentence(5, 20) + " " + item)]
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = cp.near_dedup(spark, make(rows), str(tmp_path)).collect()
+    left = {rows[i] for i in (0, 2, 4, 5, 6)}
+    assert {(r.doc_id, r.text) for r in out} == left and len(out) == 5
+    out = cp.decontamination(spark, make(sorted(left, key=str)), str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in out} == {rows[i] for i in (0, 2, 4)} and len(out) == 3
+
+
 def test_names():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
     assert set(ORACLES) <= set(QUERIES)
