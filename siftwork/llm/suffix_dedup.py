@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.common import STEP_INVERSE, cached_powers, mix, packs, prefix_hash, store
@@ -16,7 +16,6 @@ UNIT_BYTES = 1 << 22  # text whose strips a task packs together
 PART_BYTES = 1 << 20  # text that is hashed at once
 BUCKET_BYTES = 1 << 21  # text whose strings meet in one bucket, on average
 BATCH = 1 << 17  # suffixes of a batch
-NTH = 40  # bits of a position; rows that repeat an id are told apart above them
 NO_ID = np.iinfo(np.int64).max
 SPLIT = 1 << 21  # longer texts are cut into overlapping parts
 
@@ -125,7 +124,8 @@ def _planes(*arrays: np.ndarray) -> bytes:
 
 def _from_planes(raw: bytes, n: int) -> np.ndarray:
     planes = np.frombuffer(raw, np.uint8).reshape(n, 8, -1)
-    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(n, -1)
+    whole = planes.transpose(0, 2, 1).copy()  # one value a plane is contiguous already, and the buffer is read-only
+    return whole.view("<i8").reshape(n, -1)
 
 
 def _pack_spans(lo: np.ndarray, hi: np.ndarray) -> bytes:
@@ -138,7 +138,7 @@ def _unpack_spans(raw: bytes) -> np.ndarray:
     return np.stack((lo, lo + size), axis=1)
 
 
-_ROW = "bucket bigint, doc bigint, spans binary, text binary, meta binary"
+_ROW = "bucket bigint, doc bigint, nth bigint, spans binary, text binary, meta binary"
 
 
 def _prepare(length: int, buckets: int):
@@ -154,7 +154,7 @@ def _prepare(length: int, buckets: int):
 
         squeeze = zstandard.ZstdCompressor(level=6)
         schema = pa.schema(
-            [("bucket", pa.int64()), ("doc", pa.int64()), ("spans", pa.binary()), ("text", pa.binary()), ("meta", pa.binary())]
+            [("bucket", pa.int64()), ("doc", pa.int64()), ("nth", pa.int64()), ("spans", pa.binary()), ("text", pa.binary()), ("meta", pa.binary())]
         )
         for b in packs(batches, UNIT_BYTES):
             ids = np.asarray(b.column("doc_id"))
@@ -164,7 +164,8 @@ def _prepare(length: int, buckets: int):
             for lo, hi in _shares(parts, texts, length):
                 chunk = parts[lo:hi]
                 pieces = [texts[i][at : at + SPLIT + length - 1] for i, at in chunk]
-                yield from _unit(pieces, ids[[i for i, _ in chunk]], np.array([(int(nth[i]) << NTH) + at for i, at in chunk], np.int64), schema, squeeze)
+                at = [i for i, _ in chunk]
+                yield from _unit(pieces, ids[at], nth[at], np.array([at for _, at in chunk], np.int64), schema, squeeze)
 
     def _shares(parts, texts, length):
         at, size = 0, 0
@@ -176,7 +177,7 @@ def _prepare(length: int, buckets: int):
             size += n
         yield at, len(parts)
 
-    def _unit(pieces, ids, base, schema, squeeze):
+    def _unit(pieces, ids, nth, base, schema, squeeze):
         import pyarrow as pa
 
         data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -196,7 +197,7 @@ def _prepare(length: int, buckets: int):
             return
         row, first, last, seed, whole, seed_key = (np.concatenate(c) for c in zip(*made))
         del made, total
-        doc = ids[row]
+        doc, copy = ids[row], nth[row]
         place = base[row] + first - starts[row]
         order = np.lexsort((doc, whole))
         w, d = whole[order], doc[order]
@@ -205,14 +206,15 @@ def _prepare(length: int, buckets: int):
         repeat = np.empty(len(w), bool)
         repeat[order] = d > least
         bucket = (seed_key % np.uint64(buckets)).astype(np.int64)
-        columns = [[], [], [], [], []]
+        columns = [[], [], [], [], [], []]
         if repeat.any():
             o = np.flatnonzero(repeat)
-            o = o[np.lexsort((place[o], doc[o]))]
-            cut = np.append(np.flatnonzero(_heads(doc[o])), len(o))
-            lo, ids_, hi = place[o], doc[o], place[o] + last[o] - first[o]
+            o = o[np.lexsort((place[o], copy[o], doc[o]))]
+            cut = np.append(np.flatnonzero(_heads(doc[o]) | _heads(copy[o])), len(o))
+            lo, hi = place[o], place[o] + last[o] - first[o]
             for a, z in zip(cut[:-1], cut[1:]):
-                for c, x in zip(columns, (int(ids_[a]) % buckets, int(ids_[a]), _pack_spans(lo[a:z], hi[a:z]), None, None)):
+                i, n = int(doc[o[a]]), int(copy[o[a]])
+                for c, x in zip(columns, ((i + n) % buckets, i, n, _pack_spans(lo[a:z], hi[a:z]), None, None)):
                     c.append(x)
         o = np.flatnonzero(~repeat)
         o = o[np.lexsort((doc[o], bucket[o]))]
@@ -220,9 +222,9 @@ def _prepare(length: int, buckets: int):
         for a, z in zip(cut[:-1], cut[1:]):
             s = o[a:z]
             size = last[s] - first[s] + length
-            meta = _planes(np.diff(doc[s], prepend=0), place[s], size, seed[s] - first[s])
+            meta = _planes(np.diff(doc[s], prepend=0), copy[s], place[s], size, seed[s] - first[s])
             text = squeeze.compress(_gather(data, first[s], size).tobytes())
-            for c, x in zip(columns, (int(bucket[s[0]]), None, None, text, squeeze.compress(meta))):
+            for c, x in zip(columns, (int(bucket[s[0]]), None, None, None, text, squeeze.compress(meta))):
                 c.append(x)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -236,34 +238,36 @@ def _match(length: int):
         import pyarrow as pa
         import zstandard
 
-        docs, spans = [], []
+        docs, copies, spans = [], [], []
         loose = zstandard.ZstdDecompressor()
         metas, texts = [], []
-        for doc, span, text, meta in zip(*[table.column(c).to_pylist() for c in ("doc", "spans", "text", "meta")]):
+        for doc, copy, span, text, meta in zip(*[table.column(c).to_pylist() for c in ("doc", "nth", "spans", "text", "meta")]):
             if meta is None:
                 docs.append(doc)
+                copies.append(copy)
                 spans.append(span)
             else:
-                m = _from_planes(loose.decompress(meta), 4)
+                m = _from_planes(loose.decompress(meta), 5)
                 m[0] = np.cumsum(m[0])
                 metas.append(m)
                 texts.append(np.frombuffer(loose.decompress(text), np.uint8))
         if metas:
             found = _in_bucket(np.concatenate(metas, axis=1), np.concatenate(texts), length)
-            order = np.lexsort((found[1], found[0]))
-            doc, lo, hi = (x[order] for x in found)
-            cut = np.append(np.flatnonzero(_heads(doc)), len(doc))
+            order = np.lexsort((found[2], found[1], found[0]))
+            doc, copy, lo, hi = (x[order] for x in found)
+            cut = np.append(np.flatnonzero(_heads(doc) | _heads(copy)), len(doc))
             for a, z in zip(cut[:-1], cut[1:]):
                 docs.append(int(doc[a]))
+                copies.append(int(copy[a]))
                 spans.append(_pack_spans(lo[a:z], hi[a:z]))
-        return pa.table({"doc": pa.array(docs, pa.int64()), "spans": pa.array(spans, pa.binary())})
+        return pa.table({"doc": pa.array(docs, pa.int64()), "nth": pa.array(copies, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
     return run
 
 
-def _in_bucket(meta: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, first, last) of repeated strings among strips (doc, place, size, seed offset; one after the other in data)."""
-    doc, place, size, offset = meta
+def _in_bucket(meta: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(doc, nth, first, last) of repeated strings among strips (doc, nth, place, size, seed offset; one after the other in data)."""
+    doc, copy, place, size, offset = meta
     start = np.cumsum(size) - size
     seed, at = np.empty(len(size), np.uint64), 0
     while at < len(size):
@@ -300,11 +304,11 @@ def _in_bucket(meta: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndar
         left = hit & (np.concatenate(([True], ~hit[:-1])) | (np.diff(strip, prepend=-1) != 0))
         right = hit & (np.concatenate((~hit[1:], [True])) | (np.diff(strip, append=-1) != 0))
         lo, hi = np.flatnonzero(left), np.flatnonzero(right)
-        out.append((doc[strip[lo]], place[strip[lo]] + shift[lo], place[strip[lo]] + shift[hi]))
+        out.append((doc[strip[lo]], copy[strip[lo]], place[strip[lo]] + shift[lo], place[strip[lo]] + shift[hi]))
         a = z
     if not out:
         none = np.empty(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -327,15 +331,14 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     if d.groupBy("_id").count().where("count > 1").isEmpty():
         d = d.withColumn("_nth", F.lit(0).cast("bigint"))
     else:
-        d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text"))).cast("bigint"))
-        d = store(d, "numbered")
+        d = store(d.withColumn("_nth", F.monotonically_increasing_id()), "numbered")  # read back, so a retry sees the same numbers
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     narrow = d.select(F.col("_id").alias("doc_id"), F.col("_nth").alias("nth"), F.col("text").cast("string"))
     packed = narrow.mapInArrow(_prepare(length, buckets), _ROW)
-    found = packed.groupBy("bucket").applyInArrow(_match(length), "doc bigint, spans binary")
-    spans = found.groupBy("doc").agg(F.collect_list("spans").alias("_spans"))
-    both = d.join(spans.withColumnRenamed("doc", "_id"), "_id", "left")
+    found = packed.groupBy("bucket").applyInArrow(_match(length), "doc bigint, nth bigint, spans binary")
+    spans = found.groupBy(F.col("doc").alias("_id"), F.col("nth").alias("_nth")).agg(F.collect_list("spans").alias("_spans"))
+    both = d.join(spans, ["_id", "_nth"], "left")
     names = [*docs.columns, *made]
 
     def cut(batches) -> Iterator:
@@ -343,13 +346,12 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
 
         for b in batches:
             rows = []
-            for text, nth, found_here in zip(*[b.column(c).to_pylist() for c in ("text", "_nth", "_spans")]):
+            for text, found_here in zip(*[b.column(c).to_pylist() for c in ("text", "_spans")]):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if not found_here:
                     rows.append((raw, len(raw), 0, 0))
                     continue
                 at = np.concatenate([_unpack_spans(x) for x in found_here])
-                at = at[at[:, 0] >> NTH == nth] & ((1 << NTH) - 1)
                 cover = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(cover, at[:, 0], 1)
                 np.add.at(cover, at[:, 1] + length, -1)

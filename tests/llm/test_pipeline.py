@@ -38,7 +38,7 @@ def test_stages(spark, folder):
     assert sum(sentence(8080, 12) in t for t in lines.values() if t) == 1
     assert 301 not in ids["near_dedup"] and 6 in ids["near_dedup"]
     assert 302 in ids["near_dedup"] and 302 not in ids["decontamination"]
-    assert set(ids["decontamination"]) == set(ids["near_dedup"]) - {302}
+    assert set(ids["decontamination"]) == set(ids["near_dedup"]) - {90, 302}  # the item is the beginning of document 90, too
     size = Counter()
     for r in left["decontamination"]:
         size[r.source] += len(re.findall(r"\S+", r.text or ""))
@@ -61,5 +61,5 @@ def test_rows_without_id_or_with_one_id_are_told_apart(spark, make, tmp_path):
 
 
 def test_names():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)

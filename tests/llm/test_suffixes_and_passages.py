@@ -60,9 +60,20 @@ def test_family_keeps_few_levels():
     assert len(sizes) <= 8 and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
-def test_planes_round_trip():
-    a = np.array([0, 5, -3, 1 << 50], np.int64)
-    assert (sd._from_planes(sd._planes(a, a[::-1].copy()), 2) == np.stack((a, a[::-1]))).all()
+@pytest.mark.parametrize("n", [1, 2, 4])
+def test_planes_round_trip(n):
+    a = np.array([0, 5, -3, 1 << 50], np.int64)[:n]
+    out = sd._from_planes(sd._planes(a, a[::-1].copy()), 2)
+    assert (out == np.stack((a, a[::-1]))).all()
+    out[0] = 7  # a copy, whatever the number of values
+
+
+def test_more_buckets_than_strips(make, monkeypatch):
+    monkeypatch.setattr(sd, "BUCKET_BYTES", 200)
+    rows = [(i, sentence(i % 17, 30)) for i in range(20)] + [(None, sentence(3, 30)), (None, sentence(99, 30)), (4, sentence(4, 30)), (4, sentence(98, 30))]
+    out = sd.remove_repeats(make(rows))
+    got = sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()], key=repr)
+    assert got == expected(rows)
 
 
 def brute_chain(x, y, k, gap):
