@@ -21,5 +21,5 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-for _module in ("rows", "groups", "models"):
+for _module in ("rows", "groups", "models", "audits"):
     importlib.import_module(f"siftwork.llm.queries_{_module}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siftwork.llm.common import id_remainder, table
 from siftwork.llm.context_tree import score_texts
+from siftwork.llm.language_id import fit_languages, identify
 from siftwork.llm.quality import fit_rules, labelled_rows, score_quality
 from siftwork.llm.queries import query
 
@@ -23,3 +24,11 @@ def op1_context_tree(spark, sf_dir):
     out = score_texts(docs, docs.where(~held_out))
     columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     return out.select("doc_id", held_out.alias("held_out"), *columns)
+
+
+@query("op12_language_id")
+def op12_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(5) == 0
+    out = identify(docs.select("doc_id", "text"), fit_languages(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
