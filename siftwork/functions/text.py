@@ -40,11 +40,9 @@ def ngram_hashes(word_array, n: int) -> Column:
 
     def grams(w: Column) -> Column:
         last = F.greatest(F.size(w) - n, F.lit(0))
-        return F.array_distinct(
-            F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
-        )
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(w, i, n))))
 
-    return bind(_c(word_array), grams)
+    return bind(F.transform(_c(word_array), lambda w: F.xxhash64(w)), grams)
 
 
 def jaccard(a, b) -> Column:

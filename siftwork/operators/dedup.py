@@ -1,26 +1,22 @@
 """Exact, normalised and near-duplicate removal, and decontamination.
 
-Keep-first everywhere: a row goes when an earlier row (smaller id) matches it.
-Groups of copies are never gathered: keepers come from a combined ``min`` and are
-joined back on the unique id.
+Keep-first everywhere: of rows that match, and of a component of near duplicates, the
+one with the smallest id stays. Groups of copies are never gathered: keepers come from
+a combined ``min`` and are joined back on the unique id.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftwork.functions import text as TX
-from siftwork.operators.common import skewed_join
+from siftwork.operators.gramfilter import bloom, only_likely
+from siftwork.operators.setjoin import similar_components
 from siftwork.session import cut_lineage
 
-PERMUTATIONS = 128
-BANDS = 32  # 32 bands of 4 rows: a pair at Jaccard 0.8 is missed once in 20 million
 GRAM = 5
 
 
@@ -41,90 +37,27 @@ def removed_equal(df: DataFrame, key: Column, id_col: str = "sample_id") -> Data
 # ------------------------------------------------------------- near duplicates
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def _band_keys(grams: pd.Series) -> pd.Series:
-    """Band keys of the 128-permutation MinHash of each hash set."""
-    rng = np.random.default_rng(7)
-    a = rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
-    b = rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
-    fold = rng.integers(1, 2**63, (1, PERMUTATIONS // BANDS), dtype=np.uint64) | np.uint64(1)
-    out = []
-    for g in grams:
-        h = np.asarray(g, dtype=np.int64).view(np.uint64)
-        low = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
-        for at in range(0, len(h), 4096):  # whole text, bounded memory
-            part = h[at : at + 4096]
-            mixed = a[:, None] * part[None, :] + b[:, None]
-            mixed ^= mixed >> np.uint64(29)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            np.minimum(low, mixed.min(axis=1), out=low)
-        rows = low.reshape(BANDS, -1) * fold
-        key = np.bitwise_xor.reduce(rows ^ (rows >> np.uint64(31)), axis=1)
-        key = key * np.uint64(2 * BANDS + 1) + np.arange(BANDS, dtype=np.uint64)
-        out.append(key.view(np.int64))
-    return pd.Series(out)
-
-
 def gram_sets(df: DataFrame, text: str, id_col: str = "sample_id", n: int = GRAM) -> DataFrame:
     """(id, grams) of the rows that have at least one word."""
     return df.where(TX.has_word(text)).select(id_col, TX.ngram_hashes(TX.words(text), n).alias("grams"))
 
 
-def _bands(sets: DataFrame, id_col: str) -> DataFrame:
-    return sets.select(
-        F.col(id_col), F.size("grams").alias("n"), F.explode(_band_keys("grams")).alias("bucket")
-    )
+def near_components(df: DataFrame, text: str, id_col: str = "sample_id", threshold: float = 0.8) -> DataFrame:
+    """(id, component) of the rows with a word: the smallest id that links of Jaccard >= threshold over word 5-grams lead to.
 
+    See ``setjoin.similar_components``: exact, by prefix filter and star contraction.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("_text"))
 
-def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact check of (y, x) pairs. x may repeat without bound, hence the salted join."""
-    right = sets.select(F.col("id").alias("x"), F.col("grams").alias("gx"))
-    left = sets.select(F.col("id").alias("y"), F.col("grams").alias("gy"))
-    both = skewed_join(pairs, right, "x").join(left, "y")
-    return both.where(TX.jaccard("gy", "gx") >= threshold).select("y", "x")
+    def sets_of(ids: DataFrame | None) -> DataFrame:
+        return gram_sets(rows if ids is None else rows.join(ids, "id", "left_semi"), "_text", "id")
 
+    return similar_components(sets_of, threshold).withColumnRenamed("id", id_col)
 
-def near_duplicates(
-    df: DataFrame, text: str, id_col: str = "sample_id", threshold: float = 0.8, rounds: int = 2
-) -> DataFrame:
-    """Ids of rows with an earlier row at Jaccard >= threshold over word 5-grams.
 
-    1. Equal gram sets collapse to their first id, so copies cost one aggregation.
-    2. In every MinHash bucket each row is checked against the first row only: a
-       bucket of n near-copies costs n checks, not n * n. This repeats with the
-       first row still open.
-    3. Rows that are still open are checked against all earlier rows of their
-       buckets, which makes the result complete.
-    """
-    raw = gram_sets(df, text, id_col).select(F.col(id_col).alias("id"), "grams")
-    sig = F.md5(F.concat_ws(",", F.transform(F.array_sort("grams"), lambda g: g.cast("string"))))
-    sets = cut_lineage(raw.withColumn("sig", sig))  # texts are read and cut into grams once
-    firsts = sets.groupBy("sig").agg(F.min("id").alias("id")).select("id")
-    copies = sets.select("id").join(firsts, "id", "left_anti")
-    keys = sets.join(firsts, "id", "left_semi").select("id", F.size("grams").alias("n"), _band_keys("grams").alias("keys"))
-    bands = cut_lineage(keys).select("id", "n", F.explode("keys").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("bucket")
-    members = cut_lineage(bands.join(shared, "bucket", "left_semi"))
-    close = F.least("ny", "nx") >= F.lit(threshold) * F.greatest("ny", "nx")
-    gone = []
-    open_ = members
-    for _ in range(rounds):
-        pivots = open_.groupBy("bucket").agg(F.min_by(F.struct(F.col("id").alias("x"), F.col("n").alias("nx")), "id").alias("p"))
-        stars = skewed_join(
-            open_.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny")),
-            pivots.select("bucket", "p.x", "p.nx"),
-            "bucket",
-        )
-        stars = stars.where((F.col("x") < F.col("y")) & close).select("y", "x").distinct()
-        hit = cut_lineage(_similar(stars, sets, threshold).select(F.col("y").alias("id")).distinct())
-        gone.append(hit)
-        open_ = open_.join(hit, "id", "left_anti")
-    rest = open_.select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"))
-    earlier = members.select("bucket", F.col("id").alias("x"), F.col("n").alias("nx"))
-    pairs = rest.join(earlier, "bucket").where((F.col("x") < F.col("y")) & close).select("y", "x").distinct()
-    gone.append(_similar(pairs, sets, threshold).select(F.col("y").alias("id")))
-    found = reduce(DataFrame.unionByName, gone).distinct()
-    return found.unionByName(copies).select(F.col("id").alias(id_col))
+def near_duplicates(df: DataFrame, text: str, id_col: str = "sample_id", threshold: float = 0.8) -> DataFrame:
+    """Ids of rows that are not the first of their component of near duplicates."""
+    return near_components(df, text, id_col, threshold).where(F.col(id_col) != F.col("component")).select(id_col)
 
 
 def dedup_stages(df: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -191,31 +124,34 @@ def matching_items(df: DataFrame, items: DataFrame, text: str = "text", item_tex
     )
 
 
-def gram_overlap(df: DataFrame, items: DataFrame, text: str = "text", n: int = 13, threshold: float = 0.5) -> DataFrame:
-    """(sample_id, item_id, jaccard) with n-gram Jaccard >= threshold.
+def _shared_grams(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(id, item_id, jaccard) of the sets (id, grams) and item sets (item_id, grams) that reach the threshold.
 
-    Only grams that occur in an item leave the scan. The equi-join on the gram is
-    pre-filtered by that semi-join, and counts combine before the shuffle.
+    Grams that no item has are dropped inside the scan by a Bloom filter over the items' grams, and so is a row whose
+    remaining grams are less than ``threshold`` of all of its own (its similarity to any item is below that share).
+    What is left is joined on the gram; counts are exact.
     """
-    docs = gram_sets(df, text, "sample_id", n).withColumn("nd", F.size("grams"))
-    its = gram_sets(items, "text", "item_id", n).withColumn("ni", F.size("grams"))
-    d = docs.select("sample_id", "nd", F.explode("grams").alias("gram"))
-    i = its.select("item_id", "ni", F.explode("grams").alias("gram"))
-    hits = d.join(i, "gram").groupBy("sample_id", "item_id", "nd", "ni").agg(F.count(F.lit(1)).alias("inter"))
+    its = cut_lineage(items.withColumn("ni", F.size("grams")))
+    grams = its.select("item_id", "ni", F.explode("grams").alias("gram"))
+    some = only_likely(docs.withColumn("nd", F.size("grams")), "grams", bloom(grams))
+    some = some.where((F.size("grams") > 0) & (F.size("grams") >= F.lit(threshold) * F.col("nd")))
+    hits = some.select("id", "nd", F.explode("grams").alias("gram")).join(grams, "gram")
+    hits = hits.groupBy("id", "item_id", "nd", "ni").agg(F.count(F.lit(1)).alias("inter"))
     j = F.col("inter") / (F.col("nd") + F.col("ni") - F.col("inter"))
-    return hits.withColumn("jaccard", j).where(F.col("jaccard") >= threshold).select("sample_id", "item_id", "jaccard")
+    return hits.withColumn("jaccard", j).where(F.col("jaccard") >= threshold).select("id", "item_id", "jaccard")
+
+
+def gram_overlap(df: DataFrame, items: DataFrame, text: str = "text", n: int = 13, threshold: float = 0.5) -> DataFrame:
+    """(sample_id, item_id, jaccard) with n-gram Jaccard >= threshold; only grams that an item has leave the scan."""
+    docs = gram_sets(df, text, "sample_id", n).withColumnRenamed("sample_id", "id")
+    return _shared_grams(docs, gram_sets(items, "text", "item_id", n), threshold).withColumnRenamed("id", "sample_id")
 
 
 def near_items(df: DataFrame, items: DataFrame, text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """(sample_id, item_id) at 5-gram Jaccard >= threshold, found by MinHash bands and verified exactly."""
-    docs = gram_sets(df, text, "sample_id").select(F.col("sample_id").alias("id"), "grams")
-    its = gram_sets(items, "text", "item_id").select(F.col("item_id").alias("x"), F.col("grams").alias("gx"))
-    db = _bands(docs, "id").select("bucket", F.col("id").alias("y"), F.col("n").alias("ny"))
-    ib = _bands(its.withColumnRenamed("gx", "grams"), "x").select("bucket", "x", F.col("n").alias("nx"))
-    close = F.least("ny", "nx") >= F.lit(threshold) * F.greatest("ny", "nx")
-    pairs = db.join(ib, "bucket").where(close).select("y", "x").distinct()
-    both = skewed_join(pairs, its, "x").join(docs.select(F.col("id").alias("y"), F.col("grams").alias("gy")), "y")
-    return both.where(TX.jaccard("gy", "gx") >= threshold).select(F.col("y").alias("sample_id"), F.col("x").alias("item_id"))
+    """(sample_id, item_id) at 5-gram Jaccard >= threshold, exactly."""
+    docs = gram_sets(df, text, "sample_id").withColumnRenamed("sample_id", "id")
+    found = _shared_grams(docs, gram_sets(items, "text", "item_id"), threshold)
+    return found.select(F.col("id").alias("sample_id"), "item_id")
 
 
 def backfill(removed: DataFrame, reserve: DataFrame, seed: int = 0, bucket: str = "source") -> DataFrame:

@@ -38,25 +38,40 @@ def grams_cte(name, source, id_col, text, n):
 
 
 def near_cte(sets, out):
-    """Rows with an earlier row at exact Jaccard >= 0.8."""
+    """Rows that are not the first of their component of links of exact Jaccard >= 0.8 (needs WITH RECURSIVE)."""
     return f"""{out}_g AS (SELECT sample_id, len(grams) AS n, unnest(grams) AS g FROM {sets}),
 {out}_p AS (SELECT a.sample_id AS y, b.sample_id AS x, any_value(a.n) AS ny, any_value(b.n) AS nx, count(*) AS inter
-  FROM {out}_g a JOIN {out}_g b ON a.g = b.g AND b.sample_id < a.sample_id GROUP BY 1, 2),
-{out} AS (SELECT DISTINCT y AS sample_id FROM {out}_p WHERE inter::DOUBLE / (ny + nx - inter) >= 0.8)"""
+  FROM {out}_g a JOIN {out}_g b ON a.g = b.g AND b.sample_id <> a.sample_id GROUP BY 1, 2),
+{out}_l AS (SELECT y, x FROM {out}_p WHERE inter::DOUBLE / (ny + nx - inter) >= 0.8),
+{out}_r AS (SELECT DISTINCT y AS a, y AS b FROM {out}_l UNION SELECT r.a, l.x FROM {out}_r r JOIN {out}_l l ON l.y = r.b),
+{out}_c AS (SELECT a AS sample_id, min(b) AS component FROM {out}_r GROUP BY 1),
+{out} AS (SELECT sample_id FROM {out}_c WHERE component <> sample_id)"""
 
 
 @query(
     "b03_near_duplicates",
-    "WITH " + grams_cte("sets", "(SELECT doc_id AS sample_id, text FROM documents)", "sample_id", "text", 5) + ", " + near_cte("sets", "near") + " SELECT sample_id FROM near",
+    "WITH RECURSIVE " + grams_cte("sets", "(SELECT doc_id AS sample_id, text FROM documents)", "sample_id", "text", 5) + ", " + near_cte("sets", "near") + " SELECT sample_id FROM near",
 )
 def b03(spark, sf):
     docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id"), "text")
     return D.near_duplicates(docs, "text")
 
 
+@query(
+    "b03_near_components",
+    "WITH RECURSIVE "
+    + grams_cte("sets", "(SELECT doc_id AS sample_id, text FROM documents)", "sample_id", "text", 5)
+    + ", "
+    + near_cte("sets", "near")
+    + " SELECT s.sample_id, coalesce(c.component, s.sample_id) AS component FROM sets s LEFT JOIN near_c c ON c.sample_id = s.sample_id",
+)
+def b03_components(spark, sf):
+    return D.near_components(_docs(spark, sf), "text")
+
+
 @query(
     "b04_dedup_statistics",
-    "WITH "
+    "WITH RECURSIVE "
     + T.POOL_TEXT
     + f""", s0 AS (SELECT sample_id, {HASH} AS h, {NORM} AS nf, instruction || ' ' || response AS text FROM pool_text),
 s1 AS (SELECT * FROM s0 QUALIFY row_number() OVER (PARTITION BY h ORDER BY sample_id) = 1),

@@ -6,6 +6,9 @@ import re
 import pytest
 
 from siftwork.operators import dedup as D
+from siftwork.operators import setjoin as S
+from siftwork.operators.gramfilter import bloom, only_likely
+from siftwork.operators.graph import components
 
 
 def grams(text, n=5):
@@ -38,12 +41,84 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_near_duplicates_match_brute_force(spark, texts, rounds):
+def linked(texts, threshold=0.8):
+    """{id: smallest id reachable} by comparing all pairs."""
     sets = {i: grams(t) for i, t in texts}
-    want = {y for y in sets if any(x < y and jaccard(sets[x], sets[y]) >= 0.8 for x in sets)}
-    got = [r["sample_id"] for r in D.near_duplicates(spark.createDataFrame(texts, "sample_id bigint, text string"), "text", rounds=rounds).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    name = {i: i for i in sets}
+    again = True
+    while again:
+        again = False
+        for x in sets:
+            for y in sets:
+                if name[x] < name[y] and jaccard(sets[x], sets[y]) >= threshold:
+                    name[y], again = name[x], True
+    return name
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_near_components_match_brute_force(spark, texts, threshold, monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 300)
+    df = spark.createDataFrame(texts + [(990, None), (991, " ,")], "sample_id bigint, text string").repartition(5)
+    got = {r["sample_id"]: r["component"] for r in D.near_components(df, "text", threshold=threshold).collect()}
+    want = linked(texts, threshold)
+    assert got == want
+    gone = [r["sample_id"] for r in D.near_duplicates(df, "text", threshold=threshold).collect()]
+    assert sorted(gone) == [i for i in sorted(want) if want[i] != i]
+
+
+@pytest.mark.parametrize("pivots", [0, 1, 2])
+def test_chains_and_hubs_are_whole_without_pivots_too(spark, pivots):
+    r = random.Random(2)
+    sets = []
+    for i in range(60):  # a drifting chain: neighbours are similar, ends are not
+        sets.append((i, list(range(3 * i, 3 * i + 40))))
+    sets += [(100 + i, sorted({*range(1000, 1030), *r.sample(range(2000, 2400), 2)})) for i in range(40)]  # a family around one core
+    sets += [(200 + i, r.sample(range(5000, 9000), 20)) for i in range(20)] + [(300, sets[0][1]), (301, [7])]
+    df = spark.createDataFrame([(i, list(map(int, g))) for i, g in sets], "id bigint, grams array<bigint>")
+    got = {r["id"]: r["component"] for r in S.similar_components(lambda ids: df if ids is None else df.join(ids, "id", "left_semi"), 0.8, pivots).collect()}
+    name = {i: i for i, _ in sets}
+    for _ in sets:
+        for x, a in sets:
+            for y, b in sets:
+                if name[x] < name[y] and jaccard(set(a), set(b)) >= 0.8:
+                    name[y] = name[x]
+    assert got == name
+    none = df.limit(0)
+    assert S.similar_components(lambda ids: none, 0.8, pivots).count() == 0
+
+
+def test_components_of_links(spark):
+    r = random.Random(4)
+    links = [(r.randrange(80), r.randrange(80)) for _ in range(45)] + [(500, 500 + i) for i in range(200)] + [(900 + i, 901 + i) for i in range(30)] + [(7, 7), (2000, 2000)]
+    name = {v: v for pair in links for v in pair}
+    for _ in range(60):
+        for a, b in links:
+            name[a] = name[b] = min(name[a], name[b])
+    got = components(spark.createDataFrame(links, "a bigint, b bigint"))
+    assert {x["id"]: x["component"] for x in got.collect()} == name
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_filter_keeps_every_item_gram_and_few_others(spark):
+    r = random.Random(1)
+    known = [r.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    other = [r.randrange(-(1 << 63), 1 << 63) for _ in range(40_000)]
+    made = bloom(spark.createDataFrame([(g,) for g in known], "gram bigint"))
+    df = spark.createDataFrame([(1, known), (2, other), (3, [])], "id bigint, grams array<bigint>")
+    left = {x["id"]: x["grams"] for x in only_likely(df, "grams", made).collect()}
+    assert left[1] == known and left[3] == [] and len(left[2]) < 400
+    assert only_likely(df, "grams", None) is df
+
+
+def test_no_filter_beyond_its_bound(spark, monkeypatch):
+    from siftwork.operators import gramfilter as G
+
+    item = " ".join(f"q{i}" for i in range(40))
+    df = spark.createDataFrame([(1, item), (2, item + " tail"), (3, "nothing in common")], "sample_id bigint, text string")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    monkeypatch.setattr(G, "MOST_BITS", 64)
+    assert bloom(items.selectExpr("explode(split(text, ' ')) AS gram")) is None
+    assert {x["sample_id"] for x in D.near_items(df, items).collect()} == {1, 2}
 
 
 def test_stages_cover_every_row_once(spark, texts):
