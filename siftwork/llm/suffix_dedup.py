@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from siftwork.llm.common import STEP_INVERSE, cached_powers, mix, packs, prefix_hash, store
 
@@ -338,16 +339,20 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     packed = narrow.mapInArrow(_prepare(length, buckets), _ROW)
     found = packed.groupBy("bucket").applyInArrow(_match(length), "doc bigint, nth bigint, spans binary")
     spans = found.groupBy(F.col("doc").alias("_id"), F.col("nth").alias("_nth")).agg(F.collect_list("spans").alias("_spans"))
-    both = d.join(spans, ["_id", "_nth"], "left")
+    small = StructType([*[f for f in d.schema if f.name != "text"], StructField("_packed", BinaryType())])
+    both = d.mapInArrow(_squeezed(small.names), small).join(spans, ["_id", "_nth"], "left")
     names = [*docs.columns, *made]
 
     def cut(batches) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
+        loose = zstandard.ZstdDecompressor()
         for b in batches:
-            rows = []
-            for text, found_here in zip(*[b.column(c).to_pylist() for c in ("text", "_spans")]):
-                raw = (text or "").encode("utf-8", "surrogatepass")
+            rows, texts = [], []
+            for packed, found_here in zip(*[b.column(c).to_pylist() for c in ("_packed", "_spans")]):
+                raw = b"" if packed is None else loose.decompress(packed)
+                texts.append(None if packed is None else raw)
                 if not found_here:
                     rows.append((raw, len(raw), 0, 0))
                     continue
@@ -358,15 +363,28 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 gone = np.cumsum(cover[:-1]) > 0
                 kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 rows.append((kept, len(raw), int(gone.sum()), len(_runs(gone)[0])))
-            made_columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))] if rows else []
             if rows:
-                plain = [b.column(i) for i, c in enumerate(b.schema.names) if c not in ("_id", "_nth", "_spans")]
-                yield pa.RecordBatch.from_arrays(plain + made_columns, names=names)
-
-    from pyspark.sql.types import BinaryType, LongType, StructType
+                held = {"text": pa.array(texts, pa.binary()).view(pa.string())}
+                held |= dict(zip(made, (pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64())))))
+                yield pa.RecordBatch.from_arrays([held[c] if c in held else b.column(c) for c in names], names=names)
 
     schema = StructType(list(docs.schema))
     for name in made:
         schema = schema.add(name, BinaryType() if name == "kept" else LongType())
     return both.mapInArrow(cut, schema)
 
+
+def _squeezed(names: list[str]):
+    """Rows with their texts packed, so that the join with the spans moves less."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            packed = pa.array([None if t is None else squeeze.compress(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if c == "_packed" else b.column(c) for c in names], names=names)
+
+    return run
