@@ -73,14 +73,14 @@ def truth(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def sketch_source(spark: SparkSession, sf: str) -> DataFrame:
-    good = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("sample_id"))
+def sketch_source(spark: SparkSession, sf: str, quality: int = 1) -> DataFrame:
+    good = table(spark, sf, "labels").where(F.col("quality") == quality).select(F.col("doc_id").alias("sample_id"))
     return pool(spark, sf).join(good, "sample_id", "left_semi")
 
 
-def sketch(spark: SparkSession, sf: str, n: int = 32, seed: int = 0) -> DataFrame:
+def sketch(spark: SparkSession, sf: str, n: int = 32, seed: int = 0, quality: int = 1) -> DataFrame:
     # at most n rows, used several times by every query that has a task: stored once
-    return cut_lineage(sketch_members(sketch_source(spark, sf), n=n, seed=seed))
+    return cut_lineage(sketch_members(sketch_source(spark, sf, quality), n=n, seed=seed))
 
 
 def deltas(spark: SparkSession, sf: str) -> DataFrame:
