@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from siftwork.functions import vectors as V
 from siftwork.operators import clusters as CL
-from siftwork.operators import selectors as S
-from siftwork.operators.quota import select_by_quota
-from siftwork.operators.common import resolve_budget
+from siftwork.operators import ood as O
+from siftwork.operators.common import attach
 from siftwork.plans import sqltext as T
 from siftwork.plans import views as X
 from siftwork.plans.catalog import query
+from siftwork.plans.models import D2, _stored_sql, given_inverse, stored_model, task_table
 from siftwork.plans.reports import costs, rounded
-from siftwork.plans.selection import QUOTA, cosine_scored, sketch_query
-from siftwork.session import scratch_path
+from siftwork.session import cut_lineage, scratch_path
 from siftwork.streaming import jobs as J
 
 r = T.r
@@ -62,38 +63,54 @@ def w02(spark, sf):
 @query("w03_streaming_ingest", "WITH " + T.POOL_TEXT + " SELECT DISTINCT substr(sha256(instruction || chr(31) || response || chr(31) || coalesce(source, '')), 1, 16) AS sample_id FROM pool_text")
 def w03(spark, sf):
     path = scratch_path(spark, "pool-log")
-    rows = X.pool_text(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("sample_id")))
-    rows.select("instruction", "response", "source", "ts").write.json(path)
-    s = J.read_stream(spark, path, "instruction string, response string, source string, ts timestamp")
+    rows = X.pool_text(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("sample_id") * 3600))
+    rows.select("instruction", "response", "source", "ts").repartition(3).write.json(path)
+    s = J.read_stream(spark, path, "instruction string, response string, source string, ts timestamp", files_per_batch=1)
     return J.ingest(s, scratch_path(spark, "w03")).select("sample_id")
 
 
+SHARE, BIN = 0.1, 0.01
+APPLY = _stored_sql(f"SELECT sample_id, mu, greatest(z, 0) + ln(1 + exp(-abs(z))) + 0.001 AS sigma FROM st WHERE config = 'AD-b64' AND '$task' = 'good'")
+
+
 @query(
     "w04_streaming_selection",
-    "WITH " + QUOTA + ", " + T.budgets_sql("alloc_in") + """, cut AS (SELECT rk.cluster_id, min(round(score, 9)) AS cutoff FROM rk JOIN budgets USING (cluster_id) WHERE rn <= b GROUP BY 1),
-ce AS (SELECT cluster_id AS c, list(v ORDER BY i) AS m FROM (SELECT cluster_id, i, avg(joint[i]) AS v FROM pool, range(1, 65) AS d(i) GROUP BY ALL) GROUP BY 1),
-nc AS (SELECT sample_id, c AS cluster_id FROM pool, ce QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY round(list_dot_product(joint, joint) - 2 * list_dot_product(joint, m) + list_dot_product(m, m), 9), c) = 1)
-SELECT sample_id, nc.cluster_id, coalesce(round(score, 9) >= cutoff, false) AS keep FROM nc JOIN (SELECT sample_id, score FROM cosine) USING (sample_id) LEFT JOIN cut USING (cluster_id)""",
+    "WITH " + D2 + """, ce AS (SELECT cluster_id AS c, list(v ORDER BY i) AS m FROM (SELECT cluster_id, i, avg(joint[i]) AS v FROM pool, range(1, 65) AS d(i) GROUP BY ALL) GROUP BY 1),
+nc AS (SELECT sample_id, c AS cluster_id FROM pool, ce QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY round(list_dot_product(joint, joint) - 2 * list_dot_product(joint, m) + list_dot_product(m, m), 9), c) = 1),
+"""
+    + f"""sc AS ({APPLY}),
+rows_ AS (SELECT sc.sample_id, cluster_id, mu, sigma, floor((mu - 0.2 * sigma) / {BIN})::BIGINT AS bin,
+  CASE WHEN sc.sample_id IN (SELECT doc_id FROM labels) THEN 0 WHEN sc.sample_id % 2 = 0 THEN 1 ELSE 2 END AS batch FROM sc JOIN nc USING (sample_id)),
+hist AS (SELECT b.batch, r.cluster_id, r.bin, count(*) AS n FROM rows_ r JOIN (VALUES (1), (2)) b(batch) ON r.batch < b.batch GROUP BY ALL),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY batch, cluster_id ORDER BY bin DESC) AS above, sum(n) OVER (PARTITION BY batch, cluster_id) AS seen FROM hist),
+cut AS (SELECT batch, cluster_id, coalesce(min(bin) FILTER (WHERE above <= seen * {SHARE}::DOUBLE), max(bin) + 1) AS edge FROM cum GROUP BY ALL)
+SELECT sample_id, r.cluster_id, {r('mu')} AS mu, {r('sigma')} AS sigma, d2 > (SELECT quantile_cont(d2, 0.95) FROM dd) AS is_ood, coalesce(bin >= edge, false) AS keep, r.batch - 1 AS batch_no
+FROM rows_ r JOIN dd USING (sample_id) LEFT JOIN cut ON cut.batch = r.batch AND cut.cluster_id = r.cluster_id WHERE r.batch > 0""",
 )
 def w04(spark, sf):
-    pool = X.pool_vectors(spark, sf)
-    q = sketch_query(spark, sf)
-    scored = cosine_scored(spark, sf).withColumn("q", F.round("score", 9))
-    from siftwork.functions import vectors as V
-    from siftwork.session import cut_lineage
-
-    picked = select_by_quota(scored.withColumn("q", F.col("score")), resolve_budget(pool, 0.10))
-    cut = cut_lineage(picked.groupBy("cluster_id").agg(F.min(F.round("q", 9)).alias("cutoff")))
+    """Labelled rows stand for the last batch selection; the others come in two batches."""
+    pool = X.pool_vectors(spark, sf).select("sample_id", "joint", "cluster_id")
     centres = cut_lineage(V.vector_mean(pool, "joint", ["cluster_id"], "centre"))
-    path = scratch_path(spark, "new-rows")
-    pool.select("sample_id", "joint").repartition(2).write.json(path)
-    s = J.read_stream(spark, path, "sample_id bigint, joint array<double>", files_per_batch=1)
+    triples, conditions = task_table(spark, sf)
+    one = conditions.where("config = 'AD-b64' AND task = 'good'").select("z_p", "z_t")
+    model = stored_model()
+    mean = np.array(V.vector_mean(pool, "joint").head()["mean"])
+    limit = O.threshold(O.distances(pool, mean, given_inverse(), "joint")).head()["threshold"]
 
     def score(batch):
-        return S.cosine_scores(batch, q).withColumn("q", F.round("score", 9)).drop("score")
+        d = model.score(attach(batch.withColumnRenamed("joint", "z_x"), one)).withColumnRenamed("z_x", "joint")
+        far = O.distances(batch, mean, given_inverse(), "joint").select("sample_id", (F.col("d2") > F.lit(limit)).alias("is_ood"))
+        return d.select("sample_id", "joint", "mu", "sigma").join(far, "sample_id")
 
     def assign(batch):
-        return CL.assign(batch, centres).drop("distance").join(batch.select("sample_id", "q"), "sample_id")
+        return batch.join(CL.assign(batch, centres).drop("distance"), "sample_id").drop("joint")
 
-    out = J.apply_selection(s, scratch_path(spark, "w04"), score, assign, cut)
-    return out.select("sample_id", "cluster_id", "keep")
+    known = X.table(spark, sf, "labels").select(F.col("doc_id").alias("sample_id"))
+    first = assign(score(pool.select("sample_id", "joint").join(known, "sample_id", "left_semi")))
+    path = scratch_path(spark, "new-rows")
+    new = pool.select("sample_id", "joint").join(known, "sample_id", "left_anti")
+    for odd in (0, 1):
+        new.where(F.col("sample_id") % 2 == odd).coalesce(1).write.mode("append").json(path)
+    s = J.read_stream(spark, path, "sample_id bigint, joint array<double>", files_per_batch=1)
+    out = J.apply_selection(s, scratch_path(spark, "w04"), score, assign, first.withColumn("q", F.col("mu") - 0.2 * F.col("sigma")), SHARE, BIN)
+    return rounded(out.select("sample_id", F.col("cluster_id").cast("bigint").alias("cluster_id"), "mu", "sigma", "is_ood", "keep", F.col("batch_id").cast("int").alias("batch_no")), "mu", "sigma")

@@ -32,6 +32,78 @@ def test_running_aggregates_equal_the_batch(spark, tmp_path):
     assert got == {r["k"]: (round(r["m"], 9), r["n"]) for r in b.collect()}
 
 
+def again(target):
+    """Let the last micro-batch look as if it had failed before it was recorded."""
+    commits = target / "state" / "commits"
+    last = max(int(p.name) for p in commits.iterdir() if p.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (commits / name).unlink(missing_ok=True)
+
+
+def write_batches(spark, folder, batches, schema):
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(folder)
+
+
+def test_running_aggregates_over_batches_and_retries(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    batches = [[(int(k), float(v) if v < 1e6 + 2 else float("nan")) for k, v in zip(rng.integers(0, 4, 30), 1e6 + rng.normal(size=30))] for _ in range(4)]
+    batches[2] = [(9, float("nan"))] + batches[2]
+    write_batches(spark, str(tmp_path / "r"), batches, "k bigint, metric double")
+
+    def run():
+        s = J.read_stream(spark, str(tmp_path / "r"), "k bigint, metric double", files_per_batch=1)
+        return {r["k"]: (r["mean"], r["std"], r["n"]) for r in J.result_aggregates(s, str(tmp_path / "o"), ["k"]).collect()}
+
+    first = run()
+    for k in range(4):
+        v = np.array([x for b in batches for i, x in b if i == k and not np.isnan(x)])
+        assert first[k][2] == len(v) and abs(first[k][0] - v.mean()) < 1e-8 and abs(first[k][1] - v.std()) < 1e-6
+    assert first[9] == (None, 0.0, 0)
+    assert sorted(p.name for p in (tmp_path / "o" / "table").iterdir() if p.is_dir()) == ["batch=2", "batch=3"]
+    again(tmp_path / "o")
+    assert run() == first
+
+
+def test_ingest_finds_copies_days_apart_and_survives_a_retry(spark, tmp_path):
+    schema = "instruction string, response string, source string, ts timestamp"
+    text = "instruction string, response string, source string, ts string"
+    batches = [
+        [("a", "1", "s", "2024-01-01 00:00:05"), ("a", "1", "s", "2024-01-01 00:00:01"), ("b", "1", None, "2024-01-01 00:00:00")],
+        [("a", "1", "s", "2024-01-09 00:00:00"), ("c", "1", "s", "2024-01-09 00:00:00")],
+        [("c", "1", "s", "2024-02-09 00:00:00"), ("b", "1", None, "2024-02-09 00:00:00"), ("d", None, "s", "2024-02-09 00:00:00")],
+    ]
+    write_batches(spark, str(tmp_path / "in"), batches, text)
+
+    def run():
+        s = J.read_stream(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+        return sorted((r["instruction"], str(r["ts"])) for r in J.ingest(s, str(tmp_path / "o")).collect())
+
+    want = [("a", "2024-01-01 00:00:01"), ("b", "2024-01-01 00:00:00"), ("c", "2024-01-09 00:00:00"), ("d", "2024-02-09 00:00:00")]
+    assert run() == want
+    again(tmp_path / "o")
+    assert run() == want
+
+
+def test_cutoffs_move_from_batch_to_batch(spark, tmp_path):
+    first = spark.createDataFrame([(1, q / 10) for q in range(10)] + [(2, 0.5)], "cluster_id int, q double")
+    # share 0.2 of ten rows: two may reach the edge, so it is 0.8; forty rows above move it up
+    batches = [[(i, 1, 0.95) for i in range(40)] + [(100, 1, 0.75), (101, 2, 0.4), (102, 3, 9.0)], [(200, 1, 0.85), (201, 1, 1.5), (202, 3, 9.5)]]
+    write_batches(spark, str(tmp_path / "in"), batches, "sample_id bigint, cluster_id int, q0 double")
+
+    def run():
+        s = J.read_stream(spark, str(tmp_path / "in"), "sample_id bigint, cluster_id int, q0 double", files_per_batch=1)
+        score = lambda b: b.withColumn("mu", F.col("q0")).withColumn("sigma", F.lit(0.0)).withColumn("is_ood", F.lit(False))
+        out = J.apply_selection(s, str(tmp_path / "o"), score, lambda b: b, first, share=0.2, width=0.1)
+        return {r["sample_id"]: r["keep"] for r in out.collect()}
+
+    got = run()
+    assert got[0] and not got[100] and not got[101] and not got[102]  # no row of cluster 3 came before
+    assert not got[200] and got[201]  # 0.85 would have reached the first cut-off
+    again(tmp_path / "o")
+    assert run() == got
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = np.random.default_rng(0)
