@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{N}]+"  # fixed pattern
-LANGUAGE_PREFIX = 512  # the language rule looks at this many characters by definition
 
 
 def _c(x) -> Column:
@@ -55,12 +54,16 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1.0).otherwise(0.0)
 
 
-def text_stats(instruction="instruction", response="response") -> dict[str, Column]:
-    """The model-free slots of the difficulty vector, by name."""
+def text_stats(instruction="instruction", response="response", language_prefix: int | None = None) -> dict[str, Column]:
+    """The model-free slots of the difficulty vector, by name.
+
+    The language rule reads the whole text, or its first ``language_prefix`` characters.
+    """
     i, r = _c(instruction), _c(response)
     li, lr = F.length(i), F.length(r)
     low = F.lower(r)
-    head = F.substring(F.concat(i, F.lit(" "), r), 1, LANGUAGE_PREFIX)
+    head = F.concat(i, F.lit(" "), r)
+    head = F.substring(head, 1, language_prefix) if language_prefix else head
     cjk = head.rlike(r"[一-鿿]")
     ascii_only = head.rlike(r"\A[\x00-\x7F]*\z")
     return {

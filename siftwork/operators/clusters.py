@@ -12,7 +12,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_CENTRE_VALUES = 50_000_000  # 400 MB of doubles on a task
+from siftwork.operators.neighbours import CHUNK, cells
+
+TASK_VALUES = 1 << 20  # 8 MB of centres go to every task; larger tables meet the rows in blocks
 
 
 def n_clusters(n_rows: int, k: int | None = None) -> int:
@@ -45,10 +47,14 @@ def centres(spark, model: KMeansModel) -> DataFrame:
 
 
 def assign(df: DataFrame, centre_table: DataFrame, vec: str = "joint", id_type: str = "bigint") -> DataFrame:
-    """Nearest given centre per row by a matrix product per Arrow batch; ties to the smallest id."""
+    """(sample_id, cluster_id, distance): the nearest given centre per row; ties to the smallest id.
+
+    A centre table of at most TASK_VALUES values travels to the rows. A larger one is dealt to blocks that meet
+    blocks of rows; each cell passes on a row's nearest centre, and the least (distance, id) of all cells counts.
+    """
     size = centre_table.agg(F.sum(F.size("centre")).alias("n")).head()["n"] or 0
-    if size > MAX_CENTRE_VALUES:
-        raise ValueError("the centre table is too large to hold on a task; use a fitted model's transform")
+    if size > TASK_VALUES:
+        return _assign_by_blocks(df, centre_table, vec, id_type)
     rows = centre_table.orderBy("cluster_id").collect()
     ids = np.array([r["cluster_id"] for r in rows], dtype=np.int32)
     c = np.array([r["centre"] for r in rows], dtype=np.float64)
@@ -64,3 +70,35 @@ def assign(df: DataFrame, centre_table: DataFrame, vec: str = "joint", id_type:
             yield pd.DataFrame({"sample_id": pdf["sample_id"], "cluster_id": ids[best], "distance": np.sqrt(d2[np.arange(len(best)), best])})
 
     return df.select("sample_id", vec).mapInPandas(run, f"sample_id {id_type}, cluster_id int, distance double")
+
+
+def _matrix(table) -> np.ndarray:
+    v = table.column("vec").combine_chunks()
+    return np.asarray(v.flatten()).reshape(len(v), -1)
+
+
+def _nearest(rows, centres):
+    """The nearest centre of a cell for each of its rows, in squared distance."""
+    import pyarrow as pa
+
+    ids, least, sample = np.empty(0, np.int32), np.empty(0), rows.column("sample_id").combine_chunks()
+    if rows.num_rows and centres.num_rows:
+        order = np.argsort(np.asarray(centres.column("item")), kind="stable")
+        c = _matrix(centres)[order]
+        c2, name = (c * c).sum(axis=1), np.asarray(centres.column("item"))[order]
+        for at in range(0, rows.num_rows, CHUNK):
+            x = _matrix(rows.slice(at, CHUNK))
+            d2 = np.round(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + c2, 0), 9)
+            best = d2.argmin(axis=1)
+            ids, least = np.append(ids, name[best]), np.append(least, d2[np.arange(len(x)), best])
+    else:
+        sample = sample.slice(0, 0)
+    return pa.table({"sample_id": sample, "cluster_id": pa.array(ids, pa.int32()), "d2": pa.array(least, pa.float64())})
+
+
+def _assign_by_blocks(df: DataFrame, centre_table: DataFrame, vec: str, id_type: str) -> DataFrame:
+    one = F.lit(0).alias("key")
+    items = centre_table.select(one, F.col("cluster_id").cast("int").alias("cluster_id"), F.col("centre").alias(vec))
+    found = cells(df.select(one, "sample_id", vec), items, vec, "cluster_id", _nearest, f"sample_id {id_type}, cluster_id int, d2 double")
+    best = found.groupBy("sample_id").agg(F.min(F.struct("d2", "cluster_id")).alias("b"))
+    return best.select("sample_id", "b.cluster_id", F.sqrt("b.d2").alias("distance"))

@@ -22,7 +22,7 @@ def _matrix(table) -> np.ndarray:
     return _unit(np.asarray(v.flatten()).reshape(len(v), -1))
 
 
-def _cells(pool: DataFrame, items: DataFrame, vec: str, item_col: str, run, schema: str) -> DataFrame:
+def cells(pool: DataFrame, items: DataFrame, vec: str, item_col: str, run, schema: str) -> DataFrame:
     """``run`` over every block of items of a ``key`` together with every block of the key's pool rows.
 
     Blocks follow the counted rows and the width, so no task holds more than two bounded blocks, however many rows
@@ -107,14 +107,14 @@ def nearest_rows(pool: DataFrame, items: DataFrame, k: int = 20, vec: str = "joi
     passes on the k best of each of its items. The pool is read once for its size and once for its vectors.
     """
     one = F.lit(0).alias("key")
-    found = _cells(pool.select(one, "sample_id", vec), items.select(one, item_col, vec), vec, item_col, _best(k), "item bigint, sample_id bigint, cosine double")
+    found = cells(pool.select(one, "sample_id", vec), items.select(one, item_col, vec), vec, item_col, _best(k), "item bigint, sample_id bigint, cosine double")
     return _ranked(found, k, item_col)
 
 
 def rows_near_items(pool: DataFrame, items: DataFrame, threshold: float, vec: str = "joint", item_col: str = "item_id") -> DataFrame:
     """Pool ids whose best cosine to any item reaches the threshold; one row per pool row at most."""
     one = F.lit(0).alias("key")
-    found = _cells(pool.select(one, "sample_id", vec), items.select(one, item_col, vec), vec, item_col, _reaching(threshold), "sample_id bigint, cosine double")
+    found = cells(pool.select(one, "sample_id", vec), items.select(one, item_col, vec), vec, item_col, _reaching(threshold), "sample_id bigint, cosine double")
     return found.groupBy("sample_id").agg(F.max("cosine").alias("cosine"))
 
 
@@ -177,5 +177,5 @@ def probable_rows(
         return d.select(F.explode("keys").alias("key"), F.col("id").alias(id_col), F.col("vec").alias(vec))
 
     schema = "item bigint, sample_id bigint, cosine double"
-    found = _cells(keyed(pool, "sample_id", 1), keyed(items, item_col, probes), vec, item_col, _best(k), schema)
+    found = cells(keyed(pool, "sample_id", 1), keyed(items, item_col, probes), vec, item_col, _best(k), schema)
     return _ranked(found.distinct(), k, item_col)

@@ -21,7 +21,7 @@ MAX_DIM = 4096
 @dataclass
 class OODStats:
     mean: np.ndarray
-    inverse: np.ndarray
+    whitening: np.ndarray
     threshold: float
 
 
@@ -53,15 +53,24 @@ def mean_and_covariance(df: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray
     return mean, np.array([r["row"] for r in rows]) / max(m["n"] - 1, 1)
 
 
-def distances(df: DataFrame, mean: np.ndarray, inverse: np.ndarray, vec: str, id_col: str = "sample_id") -> DataFrame:
-    """Squared Mahalanobis distance per row."""
+def whitening(cov: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+    """The inverse of the Cholesky factor of ``cov + ridge * I``, solved column by column against the triangle."""
+    factor = np.linalg.cholesky(cov + np.eye(len(cov)) * ridge)
+    out = np.zeros_like(factor)
+    for i in range(len(factor)):
+        out[i] = (np.eye(len(factor))[i] - factor[i, :i] @ out[:i]) / factor[i, i]
+    return out
+
+
+def distances(df: DataFrame, mean: np.ndarray, whiten: np.ndarray, vec: str, id_col: str = "sample_id") -> DataFrame:
+    """Squared Mahalanobis distance per row: the squared length of the whitened difference to the mean."""
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf[vec].to_numpy()).astype(np.float64) - mean
-                yield pd.DataFrame({id_col: pdf[id_col], "d2": np.einsum("nd,nd->n", x @ inverse, x)})
+                yield pd.DataFrame({id_col: pdf[id_col], "d2": ((x @ whiten.T) ** 2).sum(axis=1)})
 
     return df.select(id_col, vec).mapInPandas(run, f"{id_col} {id_type}, d2 double")
 
@@ -72,12 +81,12 @@ def threshold(d2: DataFrame, quantile: float = 0.95) -> DataFrame:
 
 def fit(df: DataFrame, vec: str, quantile: float = 0.95, ridge: float = 1e-3, id_col: str = "sample_id") -> OODStats:
     mean, cov = mean_and_covariance(df, vec)
-    inverse = np.linalg.inv(cov + np.eye(len(mean)) * ridge)
-    t = threshold(distances(df, mean, inverse, vec, id_col), quantile).head()["threshold"]
-    return OODStats(mean, inverse, float(t))
+    whiten = whitening(cov, ridge)
+    t = threshold(distances(df, mean, whiten, vec, id_col), quantile).head()["threshold"]
+    return OODStats(mean, whiten, float(t))
 
 
 def flag(df: DataFrame, stats: OODStats, vec: str, id_col: str = "sample_id") -> DataFrame:
     """(id, d2, is_ood); strictly above the threshold."""
-    d = distances(df, stats.mean, stats.inverse, vec, id_col)
+    d = distances(df, stats.mean, stats.whitening, vec, id_col)
     return d.withColumn("is_ood", F.col("d2") > F.lit(stats.threshold))

@@ -376,33 +376,35 @@ def r01(spark, sf):
     return d.select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.round(F.col("s") / (m - 1), 6).alias("cov"))
 
 
-def given_inverse(d: int = 64) -> np.ndarray:
-    i = np.arange(d)
-    return np.exp(-np.abs(i[:, None] - i[None, :]).astype(float))
-
-
 def d2_rows(spark, sf):
+    """Squared distances under the pool's own mean and covariance (with 1e-3 on the diagonal)."""
     p = X.pool_vectors(spark, sf)
-    mean = np.array(V.vector_mean(p, "joint").head()["mean"])
-    return O.distances(p, mean, given_inverse(), "joint")
+    mean, cov = O.mean_and_covariance(p, "joint")
+    return O.distances(p, mean, O.whitening(cov), "joint")
 
 
+# the inverse by elimination on [covariance | identity]
 D2 = T.POOL + """, mu AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(joint[i]) AS m FROM pool, range(1, 65) AS d(i) GROUP BY i)),
+cv AS (SELECT i, list(s + CASE WHEN i = j THEN 1e-3 ELSE 0 END ORDER BY j) || list_transform(range(1, 65), lambda k: CASE WHEN i = k THEN 1.0 ELSE 0.0 END::DOUBLE) AS row
+  FROM (SELECT i, j, covar_samp(joint[i], joint[j]) AS s FROM pool, range(1, 65) AS a(i), range(1, 65) AS b(j) GROUP BY ALL) GROUP BY i),
+gj AS (SELECT 1 AS k, list(row ORDER BY i) AS m FROM cv UNION ALL
+  SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda x: x / row[k]) ELSE list_transform(row, lambda x, j: x - row[k] * m[k][j] / m[k][k]) END) FROM gj WHERE k <= 64),
+iv AS (SELECT list_transform(m, lambda row: row[65:128]) AS v FROM gj WHERE k = 65),
 cx AS (SELECT sample_id, list_transform(range(1, 65), lambda i: joint[i] - m[i]) AS x FROM pool, mu),
-dd AS (SELECT sample_id, sum(x[i] * x[j] * exp(-abs(i - j))) AS d2 FROM cx, range(1, 65) AS a(i), range(1, 65) AS b(j) GROUP BY 1)"""
+dd AS (SELECT sample_id, list_dot_product(x, list_transform(v, lambda row: list_dot_product(row, x))) AS d2 FROM cx, iv)"""
 
 
-@query("r02_mahalanobis", "WITH " + D2 + f" SELECT sample_id, {r('d2')} AS d2 FROM dd")
+@query("r02_mahalanobis", "WITH RECURSIVE " + D2 + f" SELECT sample_id, {r('d2', 5)} AS d2 FROM dd")
 def r02(spark, sf):
-    return rounded(d2_rows(spark, sf), "d2")
+    return d2_rows(spark, sf).select("sample_id", F.round("d2", 5).alias("d2"))
 
 
-@query("r03_threshold", "WITH " + D2 + f" SELECT {r('quantile_cont(d2, 0.95)')} AS threshold FROM dd")
+@query("r03_threshold", "WITH RECURSIVE " + D2 + f" SELECT {r('quantile_cont(d2, 0.95)', 5)} AS threshold FROM dd")
 def r03(spark, sf):
-    return rounded(O.threshold(d2_rows(spark, sf)), "threshold")
+    return O.threshold(d2_rows(spark, sf)).select(F.round("threshold", 5).alias("threshold"))
 
 
-@query("r04_outlier_flags", "WITH " + D2 + " SELECT sample_id, d2 > (SELECT quantile_cont(d2, 0.95) FROM dd) AS is_ood FROM dd")
+@query("r04_outlier_flags", "WITH RECURSIVE " + D2 + " SELECT sample_id, d2 > (SELECT quantile_cont(d2, 0.95) FROM dd) AS is_ood FROM dd")
 def r04(spark, sf):
     d = cut_lineage(d2_rows(spark, sf))
     return d.select("sample_id", (F.col("d2") > O.threshold(d).scalar()).alias("is_ood"))

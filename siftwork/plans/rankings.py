@@ -165,17 +165,17 @@ def p09(spark, sf):
 # ------------------------------------------------------------------- sets
 
 MEMBERS = T.DELTAS + """, mx AS (SELECT task_id, peft_id, sample_id, max(delta_raw) AS d FROM deltas GROUP BY ALL),
-mem AS (SELECT task_id, peft_id AS config, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id, peft_id ORDER BY d DESC, sample_id) AS rn FROM mx) WHERE rn <= 500)"""
+mem AS (SELECT task_id, peft_id AS config, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id, peft_id ORDER BY d DESC, sample_id) AS rn, count(*) OVER (PARTITION BY task_id, peft_id) AS n FROM mx) WHERE rn <= greatest(1, round_even(0.1 * n, 0)))"""
 JAC = """sz AS (SELECT task_id, config, count(*) AS n FROM mem GROUP BY ALL),
 jc AS (SELECT a.task_id, a.config AS "left", b.config AS "right", coalesce(i.inter, 0) AS inter, a.n AS na, b.n AS nb FROM sz a JOIN sz b USING (task_id)
   LEFT JOIN (SELECT x.task_id, x.config AS l, y.config AS rr, count(*) AS inter FROM mem x JOIN mem y USING (task_id, sample_id) GROUP BY ALL) i ON i.task_id = a.task_id AND i.l = a.config AND i.rr = b.config)"""
 
 
 def top_members(spark, sf):
-    """The 500 rows with the largest delta per (task, config)."""
+    """The tenth of the rows with the largest delta per (task, config), one at least."""
     d = X.deltas(spark, sf).groupBy("task_id", F.col("peft_id").alias("config"), "sample_id").agg(F.max("delta_raw").alias("d"))
-    rn = F.row_number().over(W.partitionBy("task_id", "config").orderBy(F.desc("d"), "sample_id"))
-    return d.withColumn("rn", rn).where("rn <= 500").select("task_id", "config", "sample_id")
+    top = ranked(cut_lineage(d), ["task_id", "config"], ["-d", "sample_id"], size_name="_n")
+    return top.where(F.col("rn") <= F.greatest(F.lit(1.0), F.bround(F.col("_n") * F.lit(0.1)))).select("task_id", "config", "sample_id")
 
 
 for _name in ("j01_jaccard", "j02_overlap_matrix"):

@@ -210,15 +210,14 @@ def t22(spark, sf):
     return rounded(P.jackknife_correlation(cut_lineage(p), "left", "right", "distance", "difference"), "lo", "hi")
 
 
-@query("t23_top_k_rank_agreement", "WITH " + LESS_SETS + """, un AS (SELECT DISTINCT a.config AS l, b.config AS rr, s.sample_id FROM (SELECT DISTINCT config FROM sel) a JOIN (SELECT DISTINCT config FROM sel) b ON a.config < b.config JOIN sel s ON s.config = a.config OR s.config = b.config
-    WHERE a.config IN ('AD-b64', 'BF', 'L-r8-mlp') AND b.config IN ('AD-b64', 'BF', 'L-r8-mlp')),
+@query("t23_top_k_rank_agreement", "WITH " + LESS_SETS + """, un AS (SELECT DISTINCT a.config AS l, b.config AS rr, s.sample_id FROM (SELECT DISTINCT config FROM sel) a JOIN (SELECT DISTINCT config FROM sel) b ON a.config < b.config JOIN sel s ON s.config = a.config OR s.config = b.config),
 ps AS (SELECT l || '|' || rr AS o, round(x.u_lo, 9) AS d, round(y.u_lo, 9) AS e FROM un JOIN ulo x ON x.config = l AND x.sample_id = un.sample_id JOIN ulo y ON y.config = rr AND y.sample_id = un.sample_id), """
     + RANK_PT.format(k="o", p="PARTITION BY o", s="ps") + f" SELECT o AS pair, {r('corr(rx, ry)')} AS rho, count(*) AS n FROM prk GROUP BY 1")
 def t23(spark, sf):
-    """Spearman on the union of two top sets, for three configurations of different families."""
-    names = ["AD-b64", "BF", "L-r8-mlp"]
-    u = u_lo(spark, sf).where(F.col("config").isin(names)).withColumn("u", F.round("u_lo", 9))
-    s = less_sets(spark, sf).where(F.col("config").isin(names)).select("config", "sample_id", F.lit(True).alias("top"))
+    """Spearman on the union of two top sets, for every pair of configurations."""
+    names = sorted(x[0] for x in REG.SPECS)
+    u = u_lo(spark, sf).withColumn("u", F.round("u_lo", 9))
+    s = less_sets(spark, sf).select("config", "sample_id", F.lit(True).alias("top"))
     d = u.join(s, ["config", "sample_id"], "left")
     w = d.groupBy("sample_id").pivot("config", names).agg(F.first("u").alias("u"), F.max("top").alias("top"))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from siftwork.functions import vectors as V
@@ -12,7 +11,7 @@ from siftwork.operators.common import attach
 from siftwork.plans import sqltext as T
 from siftwork.plans import views as X
 from siftwork.plans.catalog import query
-from siftwork.plans.models import D2, _stored_sql, given_inverse, stored_model, task_table
+from siftwork.plans.models import D2, _stored_sql, stored_model, task_table
 from siftwork.plans.reports import costs, rounded
 from siftwork.session import cut_lineage, scratch_path
 from siftwork.streaming import jobs as J
@@ -75,7 +74,7 @@ APPLY = _stored_sql(f"SELECT sample_id, mu, greatest(z, 0) + ln(1 + exp(-abs(z))
 
 @query(
     "w04_streaming_selection",
-    "WITH " + D2 + """, ce AS (SELECT cluster_id AS c, list(v ORDER BY i) AS m FROM (SELECT cluster_id, i, avg(joint[i]) AS v FROM pool, range(1, 65) AS d(i) GROUP BY ALL) GROUP BY 1),
+    "WITH RECURSIVE " + D2 + """, ce AS (SELECT cluster_id AS c, list(v ORDER BY i) AS m FROM (SELECT cluster_id, i, avg(joint[i]) AS v FROM pool, range(1, 65) AS d(i) GROUP BY ALL) GROUP BY 1),
 nc AS (SELECT sample_id, c AS cluster_id FROM pool, ce QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY round(list_dot_product(joint, joint) - 2 * list_dot_product(joint, m) + list_dot_product(m, m), 9), c) = 1),
 """
     + f"""sc AS ({APPLY}),
@@ -94,12 +93,11 @@ def w04(spark, sf):
     triples, conditions = task_table(spark, sf)
     one = conditions.where("config = 'AD-b64' AND task = 'good'").select("z_p", "z_t")
     model = stored_model()
-    mean = np.array(V.vector_mean(pool, "joint").head()["mean"])
-    limit = O.threshold(O.distances(pool, mean, given_inverse(), "joint")).head()["threshold"]
+    stats = O.fit(pool, "joint")
 
     def score(batch):
         d = model.score(attach(batch.withColumnRenamed("joint", "z_x"), one)).withColumnRenamed("z_x", "joint")
-        far = O.distances(batch, mean, given_inverse(), "joint").select("sample_id", (F.col("d2") > F.lit(limit)).alias("is_ood"))
+        far = O.flag(batch, stats, "joint").select("sample_id", "is_ood")
         return d.select("sample_id", "joint", "mu", "sigma").join(far, "sample_id")
 
     def assign(batch):

@@ -21,8 +21,8 @@ STATS = """st AS (SELECT sample_id, ln(1 + length(instruction)) AS len_instr, ln
   (contains(lower(response), 'step') OR contains(lower(response), 'let''s think'))::INT::DOUBLE AS has_steps,
   (contains(response, '```') OR contains(response, 'def '))::INT::DOUBLE AS has_code,
   contains(instruction, '?')::INT::DOUBLE AS has_question,
-  (NOT regexp_matches(left(instruction || ' ' || response, 512), '[\\x{4e00}-\\x{9fff}]') AND regexp_full_match(left(instruction || ' ' || response, 512), '(?s)[\\x00-\\x7F]*'))::INT::DOUBLE AS lang_en,
-  regexp_matches(left(instruction || ' ' || response, 512), '[\\x{4e00}-\\x{9fff}]')::INT::DOUBLE AS lang_zh FROM pool_text)"""
+  (NOT regexp_matches((instruction || ' ' || response), '[\\x{4e00}-\\x{9fff}]') AND regexp_full_match((instruction || ' ' || response), '(?s)[\\x00-\\x7F]*'))::INT::DOUBLE AS lang_en,
+  regexp_matches((instruction || ' ' || response), '[\\x{4e00}-\\x{9fff}]')::INT::DOUBLE AS lang_zh FROM pool_text)"""
 NAMES = "len_instr len_resp len_total ratio has_steps has_code has_question lang_en lang_zh".split()
 
 
@@ -202,22 +202,23 @@ def c14(spark, sf):
     return s.select("sample_id", F.col("layer").cast("bigint").alias("layer"), *[F.round(c, 6).alias(c) for c in cols])
 
 
-@query("c15_masked_pooling", "WITH " + TOKVEC + f" SELECT sample_id, (i - 1)::BIGINT AS slot, {r('avg(attn[i])')} AS v FROM tw, range(1, 9) AS d(i) WHERE layer = 3 AND (mask = 1 OR any_on = 0) GROUP BY ALL")
+@query("c15_masked_pooling", "WITH " + TOKVEC + f" SELECT sample_id, layer::BIGINT AS layer, (i - 1)::BIGINT AS slot, {r('avg(attn[i])')} AS v FROM tw, range(1, 9) AS d(i) WHERE mask = 1 OR any_on = 0 GROUP BY ALL")
 def c15(spark, sf):
-    m = K.pool_mean(token_vectors(spark, sf).where("layer = 3"), ["sample_id"], "attn").select("sample_id", F.posexplode("pooled").alias("slot", "v"))
-    return m.select("sample_id", F.col("slot").cast("bigint").alias("slot"), F.round("v", 6).alias("v"))
+    m = K.pool_mean(token_vectors(spark, sf), ["sample_id", "layer"], "attn").select("sample_id", "layer", F.posexplode("pooled").alias("slot", "v"))
+    return m.select("sample_id", F.col("layer").cast("bigint").alias("layer"), F.col("slot").cast("bigint").alias("slot"), F.round("v", 6).alias("v"))
 
 
 @query(
     "c24_other_pooling",
-    "WITH " + TOKVEC + f""" SELECT sample_id, 'last' AS kind, {r('max_by(attn[1], pos)')} AS head FROM tw WHERE layer = 3 GROUP BY ALL
-UNION ALL SELECT sample_id, 'weighted', {r('sum(attn[1] * (pos + 1)) / sum(pos + 1)')} FROM tw WHERE layer = 3 GROUP BY ALL""",
+    "WITH " + TOKVEC + f""" SELECT sample_id, layer::BIGINT AS layer, 'last' AS kind, {r('max_by(attn[1], pos)')} AS head FROM tw GROUP BY ALL
+UNION ALL SELECT sample_id, layer::BIGINT, 'weighted', {r('sum(attn[1] * (pos + 1)) / sum(pos + 1)')} FROM tw GROUP BY ALL""",
 )
 def c24(spark, sf):
-    t = token_vectors(spark, sf).where("layer = 3")
-    last = K.pool_last(t, ["sample_id"], "attn").select("sample_id", F.lit("last").alias("kind"), F.round(F.col("pooled")[0], 6).alias("head"))
-    w = K.pool_weighted(t.withColumn("w", F.col("pos") + 1), ["sample_id"], "w", "attn")
-    return last.unionByName(w.select("sample_id", F.lit("weighted").alias("kind"), F.round(F.col("pooled")[0], 6).alias("head")))
+    t = token_vectors(spark, sf).withColumn("layer", F.col("layer").cast("bigint"))
+    by = ["sample_id", "layer"]
+    last = K.pool_last(t, by, "attn").select(*by, F.lit("last").alias("kind"), F.round(F.col("pooled")[0], 6).alias("head"))
+    w = K.pool_weighted(t.withColumn("w", F.col("pos") + 1), by, "w", "attn")
+    return last.unionByName(w.select(*by, F.lit("weighted").alias("kind"), F.round(F.col("pooled")[0], 6).alias("head")))
 
 
 @query(

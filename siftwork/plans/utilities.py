@@ -143,7 +143,7 @@ def g17(spark, sf):
     return U.rank_normalised(u, "u", ["config"], "u_rank").select("sample_id", "config", F.round("u_rank", 6).alias("u_rank"))
 
 
-PHI = "phi AS (SELECT site, i, j, sqrt(-2.0 * ln(('0x' || substr(k, 1, 8))::BIGINT / 4294967296.0::DOUBLE + 1e-12)) * cos(2.0 * pi() * (('0x' || substr(k, 9, 8))::BIGINT / 4294967296.0::DOUBLE)) / sqrt(8.0) AS v FROM (SELECT s.site, i, j, md5('0:' || s.site || ':' || i || ':' || j) AS k FROM (VALUES (0), (5), (9)) AS s(site), range(0, 8) AS a(i), range(0, 64) AS b(j)))"
+PHI = "phi AS (SELECT site, i, j, sqrt(-2.0 * ln(('0x' || substr(k, 1, 8))::BIGINT / 4294967296.0::DOUBLE + 1e-12)) * cos(2.0 * pi() * (('0x' || substr(k, 9, 8))::BIGINT / 4294967296.0::DOUBLE)) / sqrt(8.0) AS v FROM (SELECT s.site, i, j, md5('0:' || s.site || ':' || i || ':' || j) AS k FROM range(0, 24) AS s(site), range(0, 8) AS a(i), range(0, 64) AS b(j)))"
 
 
 @query(
@@ -157,14 +157,14 @@ SELECT sample_id, site::BIGINT AS site, i::BIGINT AS slot, {r('x / greatest(sqrt
 )
 def c16(spark, sf):
     p = X.pool_vectors(spark, sf)
-    v = p.select("sample_id", F.col("joint").alias("v"), F.explode(F.array(F.lit(0), F.lit(5), F.lit(9))).alias("site"))
-    g = U.project(v, U.projection_rows(spark, [0, 5, 9], 8, 64)).select("sample_id", "site", F.posexplode("g").alias("slot", "x"))
+    v = p.select("sample_id", F.col("joint").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(X.N_SITES - 1))).alias("site"))
+    g = U.project(v, cut_lineage(U.projection_rows(spark, list(range(X.N_SITES)), 8, 64))).select("sample_id", "site", F.posexplode("g").alias("slot", "x"))
     return g.select("sample_id", F.col("site").cast("bigint").alias("site"), F.col("slot").cast("bigint").alias("slot"), F.round("x", 6).alias("g"))
 
 
 @query("c16_projection_wide")
 def c16_wide(spark, sf):
     p = X.pool_vectors(spark, sf)
-    v = p.select("sample_id", F.col("joint").alias("v"), F.explode(F.array(F.lit(0), F.lit(5))).alias("site"))
+    v = p.select("sample_id", F.col("joint").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(X.N_SITES - 1))).alias("site"))
     g = U.project_wide(v, d_proj=16)
     return g.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.norm("g")), 6).alias("norm"))
