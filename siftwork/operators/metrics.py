@@ -12,6 +12,7 @@ from siftwork.functions.ids import hash_index
 from siftwork.functions.ranks import average_rank, ranked, value_ranks
 
 TOP = 100
+SLICES_MOST = 1024  # slices of a side, besides values with a slice of their own; the table of counts is this squared
 N_PAIRS = 5000
 
 
@@ -56,7 +57,7 @@ def signed_pairs(x: np.ndarray, y: np.ndarray) -> int:
 def _sliced(df: DataFrame, by: list[str], col: str, out: str, rows_per_task: int) -> DataFrame:
     """Slice number of each value in value order; a value with many rows gets a slice of its own."""
     v = value_ranks(df, by, col)
-    size = F.greatest(F.lit(rows_per_task), F.ceil(F.col("group_size") / 256))
+    size = F.greatest(F.lit(rows_per_task), F.ceil(F.col("group_size") / SLICES_MOST))
     heavy = F.col("ties") >= size
     number = 2 * F.floor(F.col("below") / size) + heavy.cast("int")
     v = v.select(*by, col, number.cast("int").alias(out), heavy.alias(f"{out}_one"), F.col("ties").alias(f"{out}_ties"))
@@ -66,7 +67,7 @@ def _sliced(df: DataFrame, by: list[str], col: str, out: str, rows_per_task: int
 def kendall_tau(df: DataFrame, by: list[str], name: str = "kendall_tau", rows_per_task: int = 500_000) -> DataFrame:
     """Tau-b by exact pair counts, without pairing rows.
 
-    Both columns are cut into at most 514 slices. Pairs in different slices on both
+    Both columns are cut into at most 2 * SLICES_MOST + 2 slices. Pairs in different slices on both
     sides come from the slice-by-slice table of counts; pairs that share a slice are
     counted inside it. A slice of one repeated value has no untied pair, so it is
     never gathered, and every other slice holds at most 2 * size rows.

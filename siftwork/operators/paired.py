@@ -69,19 +69,35 @@ def bootstrap(cells: DataFrame, order: list[str], resamples: int = 10_000, seed:
     )
 
 
-def exact_bootstrap(cells: DataFrame, key: str, max_cells: int = 6) -> DataFrame:
-    """All n^n resamples of a group of at most ``max_cells`` cells, as digits of a counter."""
+MOST_CELLS = 15  # 15^15 resamples still are a 64-bit count
+
+
+def exact_bootstrap(cells: DataFrame, key: str) -> DataFrame:
+    """All n^n resamples of a group of n cells (MOST_CELLS at most), each multiset of cells once with its number of orders.
+
+    How often each cell is drawn is decided cell by cell; a multiset's orders are n! over the factorials of its counts,
+    which the percentiles take as frequencies. C(2n - 1, n) rows stand for n^n.
+    """
     g = cells.groupBy(key).agg(F.sort_array(F.collect_list("diff")).alias("d")).withColumn("n", F.size("d"))
-    g = g.withColumn(
-        "n", F.when(F.col("n") <= max_cells, F.col("n")).otherwise(F.raise_error(F.lit(f"more than {max_cells} cells")).cast("int"))
-    )
-    total = F.pow("n", "n").cast("bigint")
-    e = g.select(key, "d", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), total - 1)).alias("code"))
-    digit = lambda i: F.pmod(F.floor(F.col("code") / F.pow(F.col("n"), i)), F.col("n")).cast("int")
-    mean = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda s, i: s + F.get("d", digit(i))) / F.col("n")
-    m = e.select(key, mean.alias("m"))
+    g = g.withColumn("n", F.when(F.col("n") <= MOST_CELLS, F.col("n")).otherwise(F.raise_error(F.lit(f"more than {MOST_CELLS} cells")).cast("int")))
+    most = g.agg(F.max("n")).head()[0] or 0
+    e = g.select(key, "d", "n", F.col("n").alias("left"), F.lit(0.0).alias("s"), F.factorial("n").alias("ways"))
+    for i in range(most):
+        drawn = F.when(F.col("n") <= i, F.array(F.lit(0))).when(F.col("n") == i + 1, F.array("left")).otherwise(F.sequence(F.lit(0), F.col("left")))
+        e = e.select("*", F.explode(drawn).alias("c"))
+        e = e.select(
+            key,
+            "d",
+            "n",
+            (F.col("left") - F.col("c")).alias("left"),
+            (F.col("s") + F.col("c") * F.coalesce(F.get("d", F.lit(i)), F.lit(0.0))).alias("s"),
+            F.expr("ways div factorial(c)").alias("ways"),
+        )
+        if i == 3:
+            e = e.repartition(key, "left", "s")  # from here on a group is many tasks
+    m = e.select(key, (F.col("s") / F.col("n")).alias("m"), "ways")
     return m.groupBy(key).agg(
-        F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.count(F.lit(1)).alias("n_resamples")
+        F.percentile("m", F.lit(0.025), F.col("ways")).alias("lo"), F.percentile("m", F.lit(0.975), F.col("ways")).alias("hi"), F.sum("ways").alias("n_resamples")
     )
 
 

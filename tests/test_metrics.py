@@ -52,3 +52,19 @@ def test_overlap_counts(spark):
     rows = [("a", i) for i in range(10)] + [("b", i) for i in range(5, 15)] + [("c", 99)]
     o = M.overlap(spark.createDataFrame(rows, "config string, sample_id int")).toPandas().set_index(["left", "right"])["jaccard"]
     assert o["a", "a"] == 1 and o["a", "b"] == pytest.approx(5 / 15) and o["a", "c"] == 0
+
+
+def test_exact_bootstrap_counts_every_resample(spark):
+    import itertools
+
+    import numpy as np
+
+    from siftwork.operators import paired as P
+
+    groups = {"a": [0.5, -1.0, 2.0, 0.25, 3.0], "b": [1.5], "c": [2.0, 2.0, -1.0], "d": [float(i * i % 7) for i in range(9)]}
+    df = spark.createDataFrame([(k, v) for k, d in groups.items() for v in d], "k string, diff double")
+    got = {r.k: (r.lo, r.hi, r.n_resamples) for r in P.exact_bootstrap(df, "k").collect()}
+    for k in "abc":
+        m = [np.mean(x) for x in itertools.product(groups[k], repeat=len(groups[k]))]
+        assert got[k][2] == len(m) and np.allclose(got[k][:2], np.percentile(m, [2.5, 97.5]))
+    assert got["d"][2] == 9**9 and got["d"][0] < np.mean(groups["d"]) < got["d"][1]

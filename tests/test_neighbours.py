@@ -67,3 +67,27 @@ def test_recall_of_the_bucketed_form(tables):
     got = [(r.item_id, r.sample_id, r.cosine) for r in N.probable_rows(p, q, 10).collect()]
     assert all(abs(sims[s, i] - c) < 1e-8 for i, s, c in got)
     assert len(want & {(i, s) for i, s, _ in got}) >= 0.95 * len(want)
+
+
+def test_assignment_by_blocks_is_the_same(tables, monkeypatch):
+    from siftwork.operators import clusters as C
+
+    _, _, p, q = tables
+    centres = q.selectExpr("CAST(item_id AS INT) AS cluster_id", "joint AS centre").unionByName(q.limit(3).selectExpr("CAST(item_id + 100 AS INT) AS cluster_id", "joint AS centre"))
+    whole = {r.sample_id: (r.cluster_id, r.distance) for r in C.assign(p, centres).collect()}
+    for name, value in (("POOL_VALUES", 900), ("ITEM_VALUES", 70), ("CHUNK", 13)):
+        monkeypatch.setattr(N, name, value)
+    monkeypatch.setattr(C, "TASK_VALUES", 8)
+    assert {r.sample_id: (r.cluster_id, r.distance) for r in C.assign(p, centres).collect()} == whole and len(whole) == 700
+
+
+def test_distances_under_the_own_covariance(tables):
+    from siftwork.operators import ood as O
+
+    pool, _, p, _ = tables
+    mean, cov = O.mean_and_covariance(p, "joint")
+    assert np.allclose(cov, np.cov(pool.T)) and np.allclose(mean, pool.mean(axis=0))
+    got = {r.sample_id: r.d2 for r in O.distances(p, mean, O.whitening(cov), "joint").collect()}
+    inverse = np.linalg.inv(np.cov(pool.T) + 1e-3 * np.eye(8))
+    want = np.einsum("nd,de,ne->n", pool - mean, inverse, pool - mean)
+    assert all(abs(got[i] - d) < 1e-6 * max(1, d) for i, d in enumerate(want))
