@@ -2,9 +2,11 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import xxhash
 from samples import sentence
 
-from siftwork.llm.decontamination import decontaminate, find_items
+from siftwork.llm.decontamination import RADIUS, decontaminate, find_items, near_prints
 
 
 def words(t):
@@ -84,3 +86,45 @@ def test_empty_tables(spark, make):
     assert decontaminate(make([(1, sentence(1, 50))]), none).count() == 1
     some = spark.createDataFrame([(1, sentence(50, 30))], "item_id bigint, text string")
     assert find_items(make([]), some).count() == 0
+
+
+def test_blocks_find_every_print_within_the_radius(spark):
+    r = np.random.default_rng(8)
+    items = [(i, int(x)) for i, x in enumerate(r.integers(-(1 << 63), 1 << 63, 30))]
+    windows = []
+    for w in range(600):
+        i, f = items[w % 30]
+        flipped = r.choice(64, int(r.integers(0, 40)), replace=False)
+        g = (f & (1 << 64) - 1) ^ sum(1 << int(b) for b in flipped)
+        windows.append((w, i, g - (1 << 64) if g >> 63 else g, len(flipped)))
+    left = spark.createDataFrame([x[:3] for x in windows], "window bigint, item bigint, f bigint")
+    got = {x.window: x.distance for x in near_prints(left, spark.createDataFrame(items, "item bigint, print bigint")).collect()}
+    assert got == {w: d for w, _, _, d in windows if d <= RADIUS} and 0 < len(got) < 600
+
+
+def simhash(shingles, weight):
+    total = np.zeros(64, np.int64)
+    for g in shingles:
+        h = xxhash.xxh64_intdigest(" ".join(g).encode(), seed=42)
+        total += math.floor(weight(g) * (1 << 20) + 0.5) * np.array([1 if h >> b & 1 else -1 for b in range(64)])
+    return sum(1 << b for b in range(64) if total[b] >= 0)
+
+
+def test_distances_and_the_share_that_blocks_find(spark, make):
+    """Edited items at similarities from 0.8 up: the distance is the prints' own, and blocks find them."""
+    r = np.random.default_rng(9)
+    items, docs = [(i, sentence(500 + i, 60)) for i in range(40)], []
+    for i, t in items:
+        w = t.split(" ")
+        w[int(r.integers(3, 57))] = "edited"
+        docs.append((i, sentence(900 + i, 25) + " " + " ".join(w) + " " + sentence(1200 + i, 25)))
+    out = find_items(make(docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(x.doc_id, x.item_id): x.similarity for x in out} == expected(docs, items)
+    df = Counter(g for _, t in items for g in grams(words(t), 5))
+    weight = lambda g: 1 + math.log((len(items) + 1) / (df.get(g, 0) + 1))
+    texts, by = dict(docs), dict(items)
+    for x in out:
+        w = words(texts[x.doc_id])[x.start : x.start + x.n_words]
+        d = bin(simhash(grams(w, 5), weight) ^ simhash(grams(words(by[x.item_id]), 5), weight)).count("1")
+        assert x.distance == (d if d <= RADIUS else None)
+    assert len(out) >= 36 and sum(x.distance is not None for x in out) >= 0.9 * len(out)
