@@ -112,7 +112,10 @@ def difficulty(spark, sf):
 SLOTS = ", ".join(f"coalesce({s}, 0)" for s in TX.DIFFICULTY_SLOTS)
 
 
-@query("c07_difficulty_vector", "WITH " + BIGRAMS + ", " + STATS + f" SELECT sample_id, {r('d[i]', 5)} AS v, (i - 1)::BIGINT AS slot FROM (SELECT st.sample_id, [{SLOTS}]::DOUBLE[] AS d FROM st LEFT JOIN ms USING (sample_id)), range(1, 17) AS x(i)")
+DIFFICULTY = "WITH " + BIGRAMS + ", " + STATS + f" SELECT sample_id, {r('d[i]', 5)} AS v, (i - 1)::BIGINT AS slot FROM (SELECT st.sample_id, [{SLOTS}]::DOUBLE[] AS d FROM st LEFT JOIN ms USING (sample_id)), range(1, 17) AS x(i)"
+
+
+@query("c07_difficulty_vector", DIFFICULTY)
 def c07(spark, sf):
     d = difficulty(spark, sf).select("sample_id", F.posexplode("d_x").alias("slot", "v"))
     return d.select("sample_id", F.col("slot").cast("bigint").alias("slot"), F.round("v", 5).alias("v"))
@@ -137,14 +140,6 @@ for _n, _c in (("k04_loss", "loss_mean"), ("k05_perplexity", "ppl")):
     )
 
 
-@query("c08_feature_vector", "WITH " + T.POOL + ", " + STATS + f", z AS (SELECT sample_id, list_concat(joint, [len_instr, len_resp, len_total, ratio]::DOUBLE[]) AS z FROM pool JOIN st USING (sample_id)) SELECT sample_id, len(z)::BIGINT AS width, {r('list_sum(z)')} AS total FROM z")
-def c08(spark, sf):
-    d = X.pool_vectors(spark, sf).join(stats(spark, sf), "sample_id")
-    z = F.concat("joint", F.array(*NAMES[:4]))
-    d = d.select("sample_id", z.alias("z"))
-    return d.select("sample_id", F.size("z").cast("bigint").alias("width"), F.round(V.total("z"), 6).alias("total"))
-
-
 @query("c09_text_embedding")
 def c09(spark, sf):
     """TF-IDF text vectors, L2-normalised; reports counts and norms per language."""
@@ -182,8 +177,7 @@ def token_vectors(spark, sf):
     return d.withColumn("resid", F.zip_with("attn", "mlp", lambda x, y: x + y))
 
 
-@query(
-    "c14_layer_stats",
+LAYER_STATS = (
     "WITH "
     + TOKVEC
     + f""", t1 AS (SELECT *, sqrt(list_dot_product(attn, attn)) AS na, list_transform([0, 1, 2, 3], lambda b: sqrt(attn[2 * b + 1] ** 2 + attn[2 * b + 2] ** 2)) AS bn FROM tw WHERE mask = 1 OR any_on = 0),
@@ -194,14 +188,38 @@ ag AS (SELECT sample_id, layer, avg(na) AS norm_attn, avg(sqrt(list_dot_product(
   -sum(na / greatest(tn, 1e-8) * ln(na / greatest(tn, 1e-8) + 1e-12)) AS attn_entropy, avg(list_var_pop(bn)) AS head_norm_var, avg(list_avg(list_transform(mlp, lambda x: abs(x)))) AS mlp_mean_abs FROM t2 GROUP BY ALL)
 SELECT ag.sample_id, ag.layer::BIGINT AS layer, {r('norm_attn')} AS norm_attn, {r('norm_mlp')} AS norm_mlp, {r('norm_resid')} AS norm_resid, {r('attn_entropy')} AS attn_entropy, {r('head_norm_var')} AS head_norm_var,
   {r('mlp_mean_abs')} AS mlp_mean_abs, {r('token_var')} AS token_var, {r('list_dot_product(f, l) / greatest(sqrt(list_dot_product(f, f)) * sqrt(list_dot_product(l, l)), 1e-8)')} AS first_last
-FROM ag JOIN mv USING (sample_id, layer) JOIN fl USING (sample_id, layer)""",
+FROM ag JOIN mv USING (sample_id, layer) JOIN fl USING (sample_id, layer)"""
 )
+
+
+@query("c14_layer_stats", LAYER_STATS)
 def c14(spark, sf):
     s = K.layer_stats(token_vectors(spark, sf), ["sample_id", "layer"], head_blocks=4)
     cols = [c for c in s.columns if c not in ("sample_id", "layer")]
     return s.select("sample_id", F.col("layer").cast("bigint").alias("layer"), *[F.round(c, 6).alias(c) for c in cols])
 
 
+LAYERS = (3, 7)
+
+
+@query(
+    "c08_feature_vector",
+    f"""SELECT sample_id, (64 + 16 + 8 * {len(LAYERS)})::BIGINT AS width, round(j + d + a, 5) + 0.0::DOUBLE AS total, round(d, 5) + 0.0::DOUBLE AS difficulty, round(a, 6) + 0.0::DOUBLE AS layers
+FROM (WITH {T.POOL} SELECT sample_id, list_sum(joint) AS j FROM pool) JOIN (SELECT sample_id, sum(v) AS d FROM ({DIFFICULTY}) GROUP BY 1) USING (sample_id)
+JOIN (SELECT sample_id, sum(norm_attn + norm_mlp + norm_resid + attn_entropy + head_norm_var + mlp_mean_abs + token_var + first_last) AS a FROM ({LAYER_STATS}) GROUP BY 1) USING (sample_id)""",
+)
+def c08(spark, sf):
+    """z_x: the joint vector, the 16 difficulty slots, and eight statistics of every layer."""
+    s = c14(spark, sf)
+    names = [c for c in s.columns if c not in ("sample_id", "layer")]
+    a = s.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("layer", F.array(*names).alias("v")))).alias("r"))
+    a = a.select("sample_id", F.flatten(F.transform("r", lambda x: x.v)).alias("a_x"))
+    d = difficulty(spark, sf).select("sample_id", F.transform("d_x", lambda x: F.round(x, 5)).alias("d_x"))
+    z = X.pool_vectors(spark, sf).join(d, "sample_id").join(a, "sample_id").withColumn("z", F.concat("joint", "d_x", "a_x"))
+    total = [F.round(V.total(c), n).alias(name) for c, n, name in (("z", 5, "total"), ("d_x", 5, "difficulty"), ("a_x", 6, "layers"))]
+    return z.select("sample_id", F.size("z").cast("bigint").alias("width"), *total)
+
+
 @query("c15_masked_pooling", "WITH " + TOKVEC + f" SELECT sample_id, layer::BIGINT AS layer, (i - 1)::BIGINT AS slot, {r('avg(attn[i])')} AS v FROM tw, range(1, 9) AS d(i) WHERE mask = 1 OR any_on = 0 GROUP BY ALL")
 def c15(spark, sf):
     m = K.pool_mean(token_vectors(spark, sf), ["sample_id", "layer"], "attn").select("sample_id", "layer", F.posexplode("pooled").alias("slot", "v"))
