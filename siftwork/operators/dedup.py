@@ -49,8 +49,8 @@ def near_components(df: DataFrame, text: str, id_col: str = "sample_id", thresho
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("_text"))
 
-    def sets_of(ids: DataFrame | None) -> DataFrame:
-        return gram_sets(rows if ids is None else rows.join(ids, "id", "left_semi"), "_text", "id")
+    def sets_of(ids: DataFrame | None, how: str) -> DataFrame:
+        return gram_sets(rows if ids is None else rows.join(ids, "id", how), "_text", "id")
 
     return similar_components(sets_of, threshold).withColumnRenamed("id", id_col)
 

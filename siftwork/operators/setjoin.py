@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from siftwork.functions import text as TX
 from siftwork.operators.common import skewed_join
 from siftwork.operators.graph import components
-from siftwork.session import cut_lineage
+from siftwork.session import cut_lineage, stored
 
 COUNTERS = 1 << 18  # elements are counted in so many cells; the order only balances, results do not depend on it
 CELLS = 1 << 12  # counters that are added up together
@@ -100,6 +100,31 @@ def _prefixes(counts, threshold: float):
     return run
 
 
+def _repeated(batches) -> Iterator:
+    """Rows of a sorted range whose element another row of it has; the range's first and last element may go on outside."""
+    import pyarrow as pa
+
+    held, first, carried = None, None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
+        g = np.asarray(table.column("gram"))
+        first = g[0] if first is None else first
+        keep = np.zeros(len(g), bool)
+        same = g[1:] == g[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        keep |= g == first
+        keep[0] |= carried
+        # the last row waits for what follows it
+        carried = bool(keep[-1])
+        yield from table.slice(0, len(g) - 1).filter(pa.array(keep[:-1])).to_batches()
+        held = table.slice(len(g) - 1).combine_chunks().to_batches()[0]
+    if held is not None:
+        yield held
+
+
 def element_counts(sets: DataFrame) -> np.ndarray:
     """Counters of all elements of ``grams``, added up by Spark; 2 MB whatever the input."""
     rows = sets.select("grams").mapInArrow(_counts, "part bigint, counts binary").groupBy("part").applyInArrow(_add, "part bigint, counts binary")
@@ -113,10 +138,11 @@ def prefix_index(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, n, pos, gram): the prefix elements that at least two of the ``sets`` (id, grams) share."""
     counts = sets.sparkSession.sparkContext.broadcast(element_counts(sets))
     kind = dict(sets.dtypes)["id"]
-    index = sets.select("id", "grams").mapInArrow(_prefixes(counts, threshold), f"id {kind}, n bigint, pos bigint, gram bigint")
-    index = cut_lineage(index)
-    shared = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("gram")
-    return cut_lineage(skewed_join(index, shared, "gram"))
+    schema = f"id {kind}, n bigint, pos bigint, gram bigint"
+    index = stored(sets.select("id", "grams").mapInArrow(_prefixes(counts, threshold), schema), "prefixes")
+    # sorted ranges of (element, set): an element that very many sets hold is several ranges
+    ranges = index.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id")
+    return stored(ranges.mapInArrow(_repeated, schema), "prefix-index")
 
 
 def _possible(threshold: float) -> Column:
@@ -133,37 +159,39 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return cut_lineage(both.where(TX.jaccard("gy", "gx") >= threshold).select("y", "x"))
 
 
-def similar_components(sets_of: Callable[[DataFrame | None], DataFrame], threshold: float = 0.8, pivots: int = 2) -> DataFrame:
+def similar_components(sets_of: Callable[[DataFrame | None, str], DataFrame], threshold: float = 0.8, pivots: int = 1) -> DataFrame:
     """(id, component) of every set: the smallest id among all sets that links of Jaccard >= threshold lead to.
 
-    ``sets_of(ids)`` gives (id, grams) of the rows in ``ids`` (of all rows for None), grams being distinct hashes;
-    ids are unique, and rows without elements are left out. Sets are cut anew from the rows where they are needed,
+    ``sets_of(ids, how)`` gives (id, grams) of the rows joined with ``ids`` by a left_semi or left_anti join (of all
+    rows for None), grams being distinct hashes; ids are unique, and rows without elements are left out. Sets are cut anew from the rows where they are needed,
     because they are larger than what they are cut from.
 
     1. Equal sets become one vertex, so copies cost one aggregation.
-    2. Sets that share a prefix element are compared with the first, then with the last set of that element, and
-       linked sets become one component: a family of n similar sets costs n checks.
+    2. Sets that share a prefix element are compared with the first set of that element (with two ``pivots`` also
+       with the last), and linked sets become one component: a family of n similar sets costs n checks.
     3. Sets of one prefix element that still lie in different components are compared pair by pair, which makes the
        result complete. Size and position rule out most pairs before any set is fetched.
     """
-    everything = sets_of(None)
+    everything = sets_of(None, "left_semi")
     kind = dict(everything.dtypes)["id"]
-    sigs = cut_lineage(everything.mapInArrow(_signatures, f"id {kind}, n bigint, sig binary"))
+    sigs = stored(everything.mapInArrow(_signatures, f"id {kind}, n bigint, sig binary"), "signatures")
     firsts = sigs.groupBy("n", "sig").agg(F.min("id").alias("vertex")).withColumn("key", F.concat("sig", F.encode(F.col("n").cast("string"), "utf-8")))
-    firsts = cut_lineage(firsts.select("key", "vertex"))
+    firsts = stored(firsts.select("key", "vertex"), "vertices")
     keyed = sigs.select("id", F.concat("sig", F.encode(F.col("n").cast("string"), "utf-8")).alias("key"))
-    member_of = skewed_join(keyed, firsts, "key").select("id", "vertex")
-    index = prefix_index(sets_of(firsts.select(F.col("vertex").alias("id"))), threshold)
-    sets = cut_lineage(sets_of(index.select("id").distinct()))  # only what shares a prefix element
+    member_of = stored(skewed_join(keyed, firsts, "key").select("id", "vertex"), "members")
+    copies = stored(member_of.where("id <> vertex").select("id"), "copies")
+    index = prefix_index(sets_of(copies, "left_anti"), threshold)
+    shared = stored(index.select("id").distinct(), "sharing")
+    sets = stored(sets_of(shared, "left_semi"), "sets")  # only what shares a prefix element
 
     def side(d: DataFrame, name: str) -> DataFrame:
         return d.select("gram", F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("pos").alias(f"p{name}"), *[F.col("comp").alias(f"c{name}")][: "comp" in d.columns])
 
     def labelled() -> DataFrame:
         comps = cut_lineage(components(links, "y", "x"))
-        named = cut_lineage(index.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"))
+        named = stored(index.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "labelled")
         spread = named.groupBy("gram").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("gram")
-        return cut_lineage(skewed_join(named, spread, "gram"))  # elements whose sets lie in several components
+        return stored(skewed_join(named, spread, "gram"), "open")  # elements whose sets lie in several components
 
     links, open_ = None, index
     for i in range(pivots):

@@ -75,7 +75,7 @@ def test_chains_and_hubs_are_whole_without_pivots_too(spark, pivots):
     sets += [(100 + i, sorted({*range(1000, 1030), *r.sample(range(2000, 2400), 2)})) for i in range(40)]  # a family around one core
     sets += [(200 + i, r.sample(range(5000, 9000), 20)) for i in range(20)] + [(300, sets[0][1]), (301, [7])]
     df = spark.createDataFrame([(i, list(map(int, g))) for i, g in sets], "id bigint, grams array<bigint>")
-    got = {r["id"]: r["component"] for r in S.similar_components(lambda ids: df if ids is None else df.join(ids, "id", "left_semi"), 0.8, pivots).collect()}
+    got = {r["id"]: r["component"] for r in S.similar_components(lambda ids, how: df if ids is None else df.join(ids, "id", how), 0.8, pivots).collect()}
     name = {i: i for i, _ in sets}
     for _ in sets:
         for x, a in sets:
@@ -84,7 +84,18 @@ def test_chains_and_hubs_are_whole_without_pivots_too(spark, pivots):
                     name[y] = name[x]
     assert got == name
     none = df.limit(0)
-    assert S.similar_components(lambda ids: none, 0.8, pivots).count() == 0
+    assert S.similar_components(lambda ids, how: none, 0.8, pivots).count() == 0
+
+
+def test_only_repeated_elements_leave_a_range():
+    import pyarrow as pa
+
+    r = random.Random(3)
+    g = sorted(r.randrange(120) for _ in range(150))
+    rows = [pa.RecordBatch.from_pydict({"id": list(range(i, i + n)), "gram": g[i : i + n]}) for i, n in ((0, 1), (1, 40), (41, 1), (42, 1), (43, 107))]
+    left = [x for b in S._repeated(iter(rows)) for x in b.column("id").to_pylist()]
+    assert left == [i for i, x in enumerate(g) if g.count(x) > 1 or x in (g[0], g[-1])]
+    assert list(S._repeated(iter([]))) == []
 
 
 def test_components_of_links(spark):
@@ -170,3 +181,16 @@ def test_shared_folder_is_required_off_local_masters(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Elsewhere())
     assert session.shared_dir(spark)
+
+
+def test_scratch_tables_go_when_asked(spark):
+    import os
+
+    import siftwork.session as session
+
+    session.drop_scratch(spark)
+    out = session.stored(spark.range(5), "kept-until-dropped")
+    paths = [f.removeprefix("file:") for f in out.inputFiles()]
+    assert out.count() == 5 and all(os.path.exists(f.replace("//", "/", 1)) for f in paths)
+    assert session.drop_scratch(spark) == 1 and not any(os.path.exists(f.replace("//", "/", 1)) for f in paths)
+    assert session.drop_scratch(spark) == 0
