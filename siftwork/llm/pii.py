@@ -13,12 +13,22 @@ from siftwork.llm.common import packs
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")  # fixed order of kinds
 SECRET_CUES = ("token", "api_key", "apikey", "api-key", "secret", "password", "passwd", "key")
 ACCOUNT_CUES = ("iban", "account", "acct", "ssn")
+# fixed formats: what begins like this is a secret by its shape, without a cue
+SECRET_SHAPES = {
+    "AKIA": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "AIza": r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z])",
+    "ghp_": r"ghp_[0-9A-Za-z]{36,}",
+    "sk-": r"sk-[0-9A-Za-z-]{20,}",
+    "xox": r"xox[abprs]-[0-9A-Za-z-]{10,}",
+    "eyJ": r"eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
+    "-----BEGIN ": r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[^-]{1,8000}-----END [A-Z ]{0,40}PRIVATE KEY-----",
+}
 SCHEMES = ("http", "https", "ftp", "ftps", "sftp", "ssh", "git", "file")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LABELS = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9.]+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # groups begin whole and give nothing back: linear in long digits
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
@@ -29,6 +39,9 @@ _ACCOUNT = re.compile(r"[ \t]*(?:no\.?|number|nr\.?)?[ \t:=#\"']*([0-9](?:[ -]?[
 _SSN = re.compile(r"[ \t:=#\"']*([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9])")
 
 
+_SHAPES = {begin: re.compile(shape) for begin, shape in SECRET_SHAPES.items()}
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -68,6 +81,8 @@ def automaton():
         for cue in cues:
             for form in {cue, cue.upper(), cue.capitalize()}:
                 a.add_word(form, (kind, len(cue)))
+    for begin in SECRET_SHAPES:
+        a.add_word(begin, (begin, len(begin)))
     a.make_automaton()
     return a
 
@@ -98,6 +113,10 @@ def find_spans(text: str, anchors) -> list[tuple[str, int, int]]:
                 number = _digits(m.group())
                 if 12 <= len(number) <= 19 and luhn(number):
                     found.append((at, KINDS.index("card"), m.end()))
+        elif what in _SHAPES:
+            m = _SHAPES[what].match(text, at)
+            if m and not (at and text[at - 1].isalnum()):
+                add("secret", at, m.end())
         elif what == "email":
             start = at
             while start > free["email"] and text[start - 1] in _LOCAL:

@@ -24,7 +24,8 @@ def op2_pii(spark, sf_dir):
     def count(kind):
         return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
 
-    return found.select("doc_id", *[count(k) for k in base], F.sha2(listed(base), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
+    counts = [*[count(k) for k in KINDS[4:]], F.size("spans").cast("bigint").alias("n_spans")]
+    return found.select("doc_id", *[count(k) for k in base], F.sha2(listed(base), 256).alias("base_sha256"), listed(KINDS).alias("spans"), *counts)
 
 
 OP4 = r"""
