@@ -16,7 +16,7 @@ SEED = 8  # bytes of the seed that decides where a string is compared
 UNIT_BYTES = 1 << 22  # text whose strips a task packs together
 PART_BYTES = 1 << 20  # text that is hashed at once
 BUCKET_BYTES = 1 << 21  # text whose strings meet in one bucket, on average
-BATCH = 1 << 17  # suffixes of a batch
+BATCH = 1 << 18  # suffixes of a batch
 NO_ID = np.iinfo(np.int64).max
 SPLIT = 1 << 21  # longer texts are cut into overlapping parts
 
@@ -35,11 +35,11 @@ class SuffixFamily:
 
     def add(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Add a batch (docs ascending, not below earlier ones); whether each suffix repeats a smaller document's."""
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         k, d = keys[order], docs[order]
         head = _heads(k)
         group = np.cumsum(head) - 1
-        key, first = k[head], d[head].copy()
+        key, first = k[head], np.minimum.reduceat(d, np.flatnonzero(head))
         known = np.zeros(len(key), bool)
         for level, owner in self.levels:
             at = np.minimum(np.searchsorted(level, key), len(level) - 1)
@@ -99,9 +99,14 @@ def strips(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int)
     return row[begin], first[begin], last, seed[begin], total
 
 
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate(([False], flags, [False])).astype(np.int8))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+def merged(spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs of bytes that strings cover; a span is the first and last start of strings."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    start, end = spans[:, 0], np.maximum.accumulate(spans[:, 1] + length)
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > end[:-1]
+    at = np.flatnonzero(new)
+    return start[at], end[np.append(at[1:], len(start)) - 1]
 
 
 def _heads(v: np.ndarray) -> np.ndarray:
@@ -200,10 +205,10 @@ def _prepare(length: int, buckets: int):
         del made, total
         doc, copy = ids[row], nth[row]
         place = base[row] + first - starts[row]
-        order = np.lexsort((doc, whole))
+        order = np.argsort(whole)
         w, d = whole[order], doc[order]
         head = _heads(w)
-        least = d[head][np.cumsum(head) - 1]
+        least = np.minimum.reduceat(d, np.flatnonzero(head))[np.cumsum(head) - 1]
         repeat = np.empty(len(w), bool)
         repeat[order] = d > least
         bucket = (seed_key % np.uint64(buckets)).astype(np.int64)
@@ -278,7 +283,7 @@ def _in_bucket(meta: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndar
         seed[at:to] = _substring(total, here, here + SEED)
         at = to
     # a seed that one document holds alone cannot match
-    order = np.argsort(seed, kind="stable")
+    order = np.argsort(seed)
     s, d = seed[order], doc[order]
     head = _heads(s)
     group = np.cumsum(head) - 1
@@ -356,13 +361,9 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 if not found_here:
                     rows.append((raw, len(raw), 0, 0))
                     continue
-                at = np.concatenate([_unpack_spans(x) for x in found_here])
-                cover = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(cover, at[:, 0], 1)
-                np.add.at(cover, at[:, 1] + length, -1)
-                gone = np.cumsum(cover[:-1]) > 0
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                rows.append((kept, len(raw), int(gone.sum()), len(_runs(gone)[0])))
+                start, end = merged(np.concatenate([_unpack_spans(x) for x in found_here]), length)
+                kept = b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)]))
+                rows.append((kept, len(raw), int((end - start).sum()), len(start)))
             if rows:
                 held = {"text": pa.array(texts, pa.binary()).view(pa.string())}
                 held |= dict(zip(made, (pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64())))))
