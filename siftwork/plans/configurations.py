@@ -16,7 +16,7 @@ r = T.r
 
 def instances(spark, sf):
     """Configurations instantiated by the part table: spec, backbone and recipe by its columns."""
-    p = X.table(spark, sf, "part").select(
+    p = X.dealt(X.table(spark, sf, "part").select("p_partkey", "p_size")).select(
         F.col("p_partkey").alias("config"),
         (F.col("p_partkey") % 17).alias("spec_no"),
         (F.col("p_size") % 4).cast("bigint").alias("model_no"),
