@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import vectors as V
 from siftwork.functions.ranks import value_ranks
+from siftwork.functions.text import bind
 
 
 def task_signatures(signatures: DataFrame, members: DataFrame, keys=("site",)) -> DataFrame:
@@ -82,7 +83,9 @@ def projection_rows(spark, sites: list[int], d_proj: int, d_model: int, seed: in
 def project(vectors: DataFrame, phi: DataFrame, vec: str = "v") -> DataFrame:
     """Project with a given table and L2-normalise (floor 1e-8)."""
     d = vectors.join(F.broadcast(phi), "site")
-    return d.withColumn("g", V.unit(F.transform("phi", lambda row: V.dot(row, F.col(vec))))).drop("phi")
+    # bound: the norm is taken once of each slot's value, which would be computed anew for every use
+    g = bind(F.transform("phi", lambda row: V.dot(row, F.col(vec))), V.unit)
+    return d.withColumn("g", g).drop("phi")
 
 
 def project_wide(vectors: DataFrame, d_proj: int = 256, seed: int = 0, vec: str = "v", id_type: str = "bigint") -> DataFrame:

@@ -156,7 +156,7 @@ PHI = "phi AS (SELECT site, i, j, sqrt(-2.0 * ln(('0x' || substr(k, 1, 8))::BIGI
 SELECT sample_id, site::BIGINT AS site, i::BIGINT AS slot, {r('x / greatest(sqrt(sum(x * x) OVER (PARTITION BY sample_id, site)), 1e-8)')} AS g FROM pr""",
 )
 def c16(spark, sf):
-    p = X.pool_vectors(spark, sf)
+    p = X.dealt(X.pool_vectors(spark, sf))
     v = p.select("sample_id", F.col("joint").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(X.N_SITES - 1))).alias("site"))
     g = U.project(v, cut_lineage(U.projection_rows(spark, list(range(X.N_SITES)), 8, 64))).select("sample_id", "site", F.posexplode("g").alias("slot", "x"))
     return g.select("sample_id", F.col("site").cast("bigint").alias("site"), F.col("slot").cast("bigint").alias("slot"), F.round("x", 6).alias("g"))
@@ -164,7 +164,7 @@ def c16(spark, sf):
 
 @query("c16_projection_wide")
 def c16_wide(spark, sf):
-    p = X.pool_vectors(spark, sf)
+    p = X.dealt(X.pool_vectors(spark, sf))
     v = p.select("sample_id", F.col("joint").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(X.N_SITES - 1))).alias("site"))
     g = U.project_wide(v, d_proj=16)
     return g.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(V.norm("g")), 6).alias("norm"))
