@@ -63,8 +63,11 @@ def w02(spark, sf):
 def w03(spark, sf):
     path = scratch_path(spark, "pool-log")
     rows = X.pool_text(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("sample_id") * 3600))
-    rows.select("instruction", "response", "source", "ts").repartition(3).write.json(path)
-    s = J.read_stream(spark, path, "instruction string, response string, source string, ts timestamp", files_per_batch=1)
+    # three batches; the files follow the size of the documents and the cores
+    parts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").rdd.getNumPartitions()
+    each = -(-max(parts, spark.sparkContext.defaultParallelism) // 3)
+    rows.select("instruction", "response", "source", "ts").repartition(3 * each).write.json(path)
+    s = J.read_stream(spark, path, "instruction string, response string, source string, ts timestamp", files_per_batch=each)
     return J.ingest(s, scratch_path(spark, "w03")).select("sample_id")
 
 
