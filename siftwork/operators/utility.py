@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwork.functions import vectors as V
 from siftwork.functions.ranks import value_ranks
-from siftwork.functions.text import bind
 
 
 def task_signatures(signatures: DataFrame, members: DataFrame, keys=("site",)) -> DataFrame:
@@ -81,11 +81,38 @@ def projection_rows(spark, sites: list[int], d_proj: int, d_model: int, seed: in
 
 
 def project(vectors: DataFrame, phi: DataFrame, vec: str = "v") -> DataFrame:
-    """Project with a given table and L2-normalise (floor 1e-8)."""
-    d = vectors.join(F.broadcast(phi), "site")
-    # bound: the norm is taken once of each slot's value, which would be computed anew for every use
-    g = bind(F.transform("phi", lambda row: V.dot(row, F.col(vec))), V.unit)
-    return d.withColumn("g", g).drop("phi")
+    """Project with a given table (site, phi) and L2-normalise (floor 1e-8): one matrix product per site and Arrow batch.
+
+    The table is bounded by the site grid. A vector that is NULL, has NULLs or another width gives NULLs; rows of other
+    sites have no row.
+    """
+    tables = {r["site"]: np.array(r["phi"], np.float64) for r in phi.select("site", "phi").collect()}
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            column = b.column(vec)
+            length = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+            holed = np.zeros(b.num_rows, bool)
+            holed[pc.list_parent_indices(column).to_numpy(zero_copy_only=False)[pc.list_flatten(column).is_null().to_numpy(zero_copy_only=False)]] = True
+            for s, m in tables.items():
+                at = np.flatnonzero(pc.fill_null(pc.equal(b.column("site"), s), False).to_numpy(zero_copy_only=False))
+                if not len(at):
+                    continue
+                good = (length[at] == m.shape[1]) & ~holed[at]
+                x = pc.list_flatten(column.take(pa.array(at[good]))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, m.shape[1])
+                g = np.zeros((len(at), len(m)))
+                y = x @ m.T
+                g[good] = y / np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-8)
+                values = pa.array(g.ravel(), mask=np.repeat(~good, len(m)))
+                made = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(m), pa.int32()), values)
+                part = b.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, "g"])
+
+    schema = T.StructType([*vectors.schema.fields, T.StructField("g", T.ArrayType(T.DoubleType()))])
+    return vectors.mapInArrow(run, schema)
 
 
 def project_wide(vectors: DataFrame, d_proj: int = 256, seed: int = 0, vec: str = "v", id_type: str = "bigint") -> DataFrame:

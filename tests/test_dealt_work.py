@@ -48,3 +48,11 @@ def test_ingest_reads_batches_of_many_files(spark, tables, tmp_path, monkeypatch
     assert out.count() == out.distinct().count() == 40
     assert len(glob.glob(str(tmp_path / "scratch-pool-log" / "part-*"))) >= spark.sparkContext.defaultParallelism
     assert len(glob.glob(str(tmp_path / "scratch-w03" / "rows" / "batch_id=*"))) == 3
+
+
+def test_projection_of_odd_vectors(spark):
+    phi = spark.createDataFrame([(0, [[1.0, 0.0], [0.0, 1.0]]), (1, [[0.0, 2.0], [0.0, 0.0]])], "site int, phi array<array<double>>")
+    rows = [(1, 0, [3.0, 4.0]), (2, 1, [3.0, 4.0]), (3, 0, None), (4, 0, [1.0, None]), (5, 0, [1.0]), (6, 7, [1.0, 1.0]), (7, None, [1.0, 1.0]), (None, 0, [0.0, 0.0])]
+    v = spark.createDataFrame(rows, "sample_id bigint, site int, v array<double>").coalesce(1)
+    got = {r["sample_id"]: r["g"] for r in U.project(v, phi).collect()}
+    assert got == {1: [0.6, 0.8], 2: [1.0, 0.0], 3: [None] * 2, 4: [None] * 2, 5: [None] * 2, None: [0.0, 0.0]}
