@@ -8,25 +8,26 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import body, lower_bytes, packs, shingle_hashes, small, store, word_hashes
+from siftwork.llm.common import STEP, STEP_INVERSE, body, cached_powers, lower_bytes, mix, packs, shingle_hashes, small, store, word_hashes
 
 K = 5  # words of a seed
 WINDOW = 12  # of so many seeds in a row the one with the smallest hash is kept
+DENSE_K, DENSE_WINDOW = 4, 6  # of the seeds for what those leave apart
 GAP = 0.08  # cost of a word between two matches; a match of K words pays for 62
 MIN_WORDS = 50
 IDENTITY = 0.8
-REACH = 2 * (K + WINDOW)  # words beyond a chain's ends that the alignment may add
+REACH = 34  # words beyond a chain's ends that the alignment may add
 
 
-def seeds_of(words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, position) of the minimizers of each text: two texts that share K + WINDOW - 1 words share one."""
+def seeds_of(words: np.ndarray, start: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, position) of the minimizers of each text: two texts that share k + window - 1 words share one."""
     docs, places, hashes = [], [], []
     for i in range(len(start) - 1):
         w = words[start[i] : start[i + 1]]
-        if len(w) < K + WINDOW - 1:
+        if len(w) < k + window - 1:
             continue
-        h = shingle_hashes(w, K)
-        low = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+        h = shingle_hashes(w, k)
+        low = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1)
         at = np.unique(low)
         docs.append(np.full(len(at), i))
         places.append(at)
@@ -112,10 +113,27 @@ def _extend(a: np.ndarray, b: np.ndarray, drop: int = 6) -> tuple[int, int]:
     return (at + 1, int((~same[: at + 1]).sum())) if total[at] > 0 else (0, 0)
 
 
-def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K) -> tuple[int, int, int, int, int]:
+def _extend_gapped(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Words of a, words of b and edits of the best extension along both arrays, words left out of one included."""
+    a, b = a[:REACH], b[:REACH]
+    step = np.arange(len(b) + 1)
+    rows = [step]
+    for w in a:
+        new = np.empty_like(step)
+        new[0] = rows[-1][0] + 1
+        new[1:] = np.minimum(rows[-1][:-1] + (b != w), rows[-1][1:] + 1)
+        rows.append(np.minimum.accumulate(new - step) + step)
+    edits = np.stack(rows)
+    # a matched word of both adds 1, an edit takes 2
+    i, j = np.unravel_index(np.argmax(np.add.outer(np.arange(len(a) + 1), step) - 5 * edits), edits.shape)
+    return int(i), int(j), int(edits[i, j])
+
+
+def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K, gapped: bool = False) -> tuple[int, int, int, int, int]:
     """(start, end, start, end, edits) of a chain's passage in both word arrays; x, y are its matches.
 
-    Between matches the words are aligned by edit distance; both ends are extended word by word.
+    Between matches the words are aligned by edit distance; both ends are extended word by word, where they are
+    ``gapped`` also past words that only one side has.
     """
     edits = 0
     i, j = int(x[0]), int(y[0])  # up to here both are aligned
@@ -126,11 +144,22 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K
             edits += abs((p - i) - (q - j))
         i, j = p + k, q + k
     i, j = int(x[-1]) + k, int(y[-1]) + k
-    right, wrong = _extend(a[i:], b[j:])
-    edits += wrong
-    left, wrong = _extend(a[: int(x[0])][::-1], b[: int(y[0])][::-1])
-    edits += wrong
-    return int(x[0]) - left, i + right, int(y[0]) - left, j + right, edits
+    ends = (a[i:], b[j:]), (a[: int(x[0])][::-1], b[: int(y[0])][::-1])
+    if gapped:
+        (right, right_b, wrong), (left, left_b, more) = (_extend_gapped(*e) for e in ends)
+    else:
+        (right, wrong), (left, more) = (_extend(*e) for e in ends)
+        right_b, left_b = right, left
+    return int(x[0]) - left, i + right, int(y[0]) - left_b, j + right_b, edits + wrong + more
+
+
+def passage(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, min_words: int, identity: float, k: int = K) -> tuple[int, int, int, int, int] | None:
+    """The alignment of a chain if it is long and alike enough; what falls short gets a second try with gapped ends."""
+    for gapped in (False, True):
+        s, e, t, u, edits = align(a, b, x, y, k, gapped)
+        if e - s >= min_words and 1 - edits / (e - s) >= identity:
+            return s, e, t, u, edits
+    return None
 
 
 def _seeds(docs: DataFrame) -> DataFrame:
@@ -139,10 +168,13 @@ def _seeds(docs: DataFrame) -> DataFrame:
 
         for b in packs(batches):
             ids = np.asarray(b.column("doc_id"))
-            h, doc, at = seeds_of(*word_hashes([lower_bytes(t) for t in b.column("text").to_pylist()]))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[doc]), pa.array(at)], names=["h", "doc", "pos"])
+            cut = word_hashes([lower_bytes(t) for t in b.column("text").to_pylist()])
+            for dense, size in ((False, (K, WINDOW)), (True, (DENSE_K, DENSE_WINDOW))):
+                h, doc, at = seeds_of(*cut, *size)
+                made = [h.view(np.int64), ids[doc], at, np.full(len(h), dense)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["h", "doc", "pos", "dense"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h bigint, doc bigint, pos bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "h bigint, doc bigint, pos bigint, dense boolean")
 
 
 def _preceding(seeds: DataFrame) -> DataFrame:
@@ -177,7 +209,106 @@ def _preceding(seeds: DataFrame) -> DataFrame:
     return inner.unionByName(over.select(F.col("first.doc").alias("doc"), F.col("b.doc").alias("other"), F.col("first.pos").alias("pos"), F.col("b.pos").alias("at")))
 
 
-def _chained(links: DataFrame, min_words: int) -> DataFrame:
+def runs_of(h: np.ndarray, doc: np.ndarray, pos: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, index, last index) of the runs of seeds (sorted by document and position) that begin within ``span`` words.
+
+    A run begins at any seed whose followers come without a gap; its hash is one of its seeds and their distances.
+    """
+    number = np.cumsum(np.diff(doc, prepend=doc[:1]) != 0)
+    at = number << 32 | pos
+    piece = np.cumsum(np.diff(at, prepend=at[:1]) > DENSE_WINDOW)
+    last = np.searchsorted(at, at + span, "right") - 1
+    i = np.flatnonzero((piece == piece[last]) & (pos[last] - pos > span - DENSE_WINDOW))
+    size = int(pos.max(initial=0)) + 1
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h.view(np.uint64)) * cached_powers(STEP, size)[pos], out=total[1:])
+    return mix((total[last[i] + 1] - total[i]) * cached_powers(STEP_INVERSE, size)[pos[i]]), i, last[i]
+
+
+def _runs(seeds: DataFrame, span: int) -> DataFrame:
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        def out(rows):
+            h, i, j = runs_of(*rows, span)
+            made = [h.view(np.int64), rows[1][i], rows[2][i], rows[2][j] + DENSE_K]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["h", "doc", "pos", "to"])
+
+        held = np.empty((3, 0), np.int64)
+        for b in batches:
+            held = np.concatenate((held, np.stack([np.asarray(b.column(c)) for c in ("h", "doc", "pos")])), axis=1)
+            new = np.flatnonzero(np.diff(held[1])) + 1
+            if len(new):
+                yield out(held[:, : new[-1]])
+                held = held[:, new[-1] :]
+        if held.shape[1]:
+            yield out(held)
+
+    ordered = seeds.repartition("doc").sortWithinPartitions("doc", "pos")
+    return ordered.mapInArrow(run, "h bigint, doc bigint, pos bigint, to bigint")
+
+
+def _windows(areas: DataFrame, d: DataFrame, n: int) -> DataFrame:
+    """(h, doc, pos): the runs of n words in the areas lo..hi of each document."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for doc, text, lo, hi in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "lo", "hi")]):
+                words = word_hashes([lower_bytes(text)])[0]
+                if len(words) < n:
+                    continue
+                edge = np.zeros(len(words) + 1, np.int64)
+                np.add.at(edge, np.clip(lo, 0, len(words)), 1)
+                np.add.at(edge, np.clip(hi, 0, len(words)), -1)
+                whole = np.cumsum(np.concatenate(([0], np.cumsum(edge)[:-1] > 0)))
+                at = np.flatnonzero(whole[n:] - whole[:-n] == n)
+                h = shingle_hashes(words, n)[at]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), doc)), pa.array(at)], names=["h", "doc", "pos"])
+
+    lists = areas.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("lo", "hi")).alias("areas"))  # parts of one document
+    asked = d.join(lists, "doc_id").select("doc_id", "text", F.col("areas.lo").alias("lo"), F.col("areas.hi").alias("hi"))
+    return asked.mapInArrow(run, "h bigint, doc bigint, pos bigint")
+
+
+def _first_holders(seeds: DataFrame) -> DataFrame:
+    """(h, other, at): the smallest document of each seed that at least two hold, and where it has it first."""
+    first = seeds.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last"))
+    return first.where("f.doc < last").select("h", F.col("f.doc").alias("other"), F.col("f.pos").alias("at"))
+
+
+def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``shared`` (h, doc, pos, to, other, at) without a passage over pos..to that leads to a smaller holder of h.
+
+    Where no holder of h but the first is left, all passages over it lead to the first.
+    """
+    later = shared.where("doc > other")
+    over = found.select(F.col("doc_id").alias("doc"), F.col("other_id").alias("holder"), F.col("start").alias("s"), F.col("end").alias("e"))
+    over = later.join(over, "doc").where("s <= pos AND e >= to").select("h", "doc", "pos", "holder")
+    held = shared.select("h", F.col("doc").alias("holder")).distinct()
+    closed = over.join(held, ["h", "holder"], "left_semi").select("h", "doc", "pos").distinct()
+    return later.join(closed, ["h", "doc", "pos"], "left_anti")
+
+
+def _links_apart(seeds: DataFrame, d: DataFrame, found: DataFrame, min_words: int) -> DataFrame:
+    """(doc, other, pos, at) that tie what the passages ``found`` leave apart: each run of ``min_words`` equal words to its first holder.
+
+    Any such run of words holds a run of seeds of a known span. The words around runs of seeds that are apart are
+    looked at one by one, in all documents that hold them.
+    """
+    runs = store(_runs(seeds, max(0, min_words - DENSE_K - 2 * (DENSE_WINDOW - 1))), "runs")
+    shared = store(runs.join(store(_first_holders(runs), "first-runs"), "h"), "shared-runs")
+    apart = store(_apart(shared, found).select("h").distinct(), "runs-apart")
+    room = 2 * DENSE_WINDOW  # a run of seeds begins and ends so near to the ends of the words that hold it
+    areas = shared.join(apart, "h", "left_semi").select("doc", (F.col("pos") - room).alias("lo"), (F.col("to") + room).alias("hi"))
+    windows = store(_windows(areas, d, min_words), "windows")
+    shared = store(windows.join(_first_holders(windows), "h").withColumn("to", F.col("pos") + min_words), "shared-windows")
+    steps = F.array(*[F.lit(i).cast("bigint") for i in sorted({*range(0, min_words - DENSE_K, 2 * DENSE_K), max(0, min_words - DENSE_K)})])
+    return _apart(shared, found).withColumn("step", F.explode(steps)).selectExpr("doc", "other", "pos + step AS pos", "at + step AS at").distinct()
+
+
+def _chained(links: DataFrame, min_words: int, k: int) -> DataFrame:
     """Chains of each (doc, other) from rows sorted by them: their ends and matches."""
 
     def run(batches) -> Iterator:
@@ -200,10 +331,10 @@ def _chained(links: DataFrame, min_words: int) -> DataFrame:
         for g in groups():
             if g.shape[1] < 2:
                 continue
-            for c in chains(g[2], g[3]):
+            for c in chains(g[2], g[3], k):
                 x, y = g[2][c], g[3][c]
-                if len(c) > 1 and x[-1] - x[0] + K + 2 * REACH >= min_words:
-                    rows.append((int(g[0][0]), int(g[1][0]), int(x[0]), int(x[-1]) + K, int(y[0]), int(y[-1]) + K, np.stack((x, y)).tobytes()))
+                if len(c) > 1 and x[-1] - x[0] + k + 2 * REACH >= min_words:
+                    rows.append((int(g[0][0]), int(g[1][0]), int(x[0]), int(x[-1]) + k, int(y[0]), int(y[-1]) + k, np.stack((x, y)).tobytes()))
             if len(rows) > 2000:
                 yield out(rows)
                 rows = []
@@ -238,31 +369,9 @@ def _slices(wanted: DataFrame) -> DataFrame:
     return wanted.select("chain", "side", "lo", "hi", "text").mapInArrow(run, "chain bigint, side int, words binary")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
-    """(doc_id, other_id, start, end, other_start, other_end, n_words, identity): passages that an earlier document holds.
-
-    Positions are words (A-Z lowered, split at white space), ends exclusive. A passage has ``min_words`` words or more
-    and 1 - edits / words of at least ``identity``. other_id is smaller than doc_id.
-
-    Equal texts are one document: a copy gets one row over its whole text, to the smallest id. Each seed is tied to
-    the smallest document that holds it and to the holder just before, so a passage in n documents makes at most
-    2 n pairs, not n squared; what later holders alone share shows as rows to the first of them and from each to the next. Rows without an id, and NULL or short texts, have no
-    rows. Rows with equal ids count as one document. Other columns are not read.
-    """
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), body().alias("text")).where("doc_id IS NOT NULL")
-    marks = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(3), "text").alias("b")]
-    n_words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
-    keyed = d.select("doc_id", *marks)
-    least = keyed.groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
-    copies = store(keyed.join(store(least, "texts"), ["a", "b"]).where("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
-    copies_hint = small(copies)
-
-    seeds = store(_seeds(d).join(copies_hint.select(F.col("doc_id").alias("doc")), "doc", "left_anti"), "seeds")
-    first = seeds.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("last"))
-    first = store(first.where("f.doc < last").select("h", F.col("f.doc").alias("other"), F.col("f.pos").alias("at")), "first-holders")
-    links = seeds.join(first, "h").where("doc > other").select("doc", "other", "pos", "at")
-    links = links.unionByName(_preceding(seeds.join(first.select("h"), "h", "left_semi"))).distinct()
-    found = _chained(links, min_words).withColumn("chain", F.xxhash64("doc", "other", "x0", "y0", "x1", "y1"))
+def _aligned(links: DataFrame, d: DataFrame, min_words: int, identity: float, k: int = K, least: int = 0) -> DataFrame:
+    """Passages of the pairs that the links (doc, other, pos, at) tie: their chains of ``least`` words or more, aligned on the words of both."""
+    found = _chained(links, min_words, k).where(F.col("x1") - F.col("x0") >= least).withColumn("chain", F.xxhash64("doc", "other", "x0", "y0", "x1", "y1"))
     found = store(found, "chains")
 
     sides = F.array(
@@ -285,10 +394,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
             for doc, other, x0, y0, matches, wa, wb in zip(*cols):
                 x, y = np.frombuffer(matches, np.int64).reshape(2, -1)
                 dx, dy = max(0, x0 - REACH), max(0, y0 - REACH)
-                s, e, t, u, edits = align(np.frombuffer(wa, np.uint64), np.frombuffer(wb, np.uint64), x - dx, y - dy)
-                n = e - s
-                if n >= min_words and 1 - edits / n >= identity:
-                    rows.append((doc, other, s + dx, e + dx, t + dy, u + dy, n, round(1 - edits / n, 6)))
+                got = passage(np.frombuffer(wa, np.uint64), np.frombuffer(wb, np.uint64), x - dx, y - dy, min_words, identity, k)
+                if got:
+                    s, e, t, u, edits = got
+                    rows.append((doc, other, s + dx, e + dx, t + dy, u + dy, e - s, round(1 - edits / (e - s), 6)))
             if rows:
                 kinds = [pa.int64()] * 7 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -296,7 +405,44 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     names = ["doc_id", "other_id", "start", "end", "other_start", "other_end", "n_words", "identity"]
     schema = ", ".join(f"`{n}` bigint" for n in names[:7]) + ", identity double"
     whole = found.join(left, "chain").join(right, "chain")
-    fuzzy = whole.select("doc", "other", "x0", "y0", "matches", "a", "b").mapInArrow(run, schema).distinct()
+    return whole.select("doc", "other", "x0", "y0", "matches", "a", "b").mapInArrow(run, schema)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
+    """(doc_id, other_id, start, end, other_start, other_end, n_words, identity): passages that an earlier document holds.
+
+    Positions are words (A-Z lowered, split at white space), ends exclusive. A passage has ``min_words`` words or more
+    and 1 - edits / words of at least ``identity``. other_id is smaller than doc_id.
+
+    Equal texts are one document: a copy gets one row over its whole text, to the smallest id. Each seed is tied to
+    the smallest document that holds it and to the holder just before, so a passage in n documents makes at most
+    2 n pairs, not n squared. Denser seeds that no such passage covers are tied in the same way, and runs of ``min_words``
+    equal words that are still apart to their first holder, so rows lead from each holder of such a run to every other. Rows without an id, and NULL or short texts,
+    have no rows. Rows with equal ids count as one document. Other columns are not read.
+    """
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), body().alias("text")).where("doc_id IS NOT NULL")
+    marks = [F.xxhash64("text").alias("a"), F.xxhash64(F.lit(3), "text").alias("b")]
+    n_words = F.size(F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " "))
+    keyed = d.select("doc_id", *marks)
+    least = keyed.groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
+    copies = store(keyed.join(store(least, "texts"), ["a", "b"]).where("doc_id > rep").select("doc_id", "rep").distinct(), "copies")
+    copies_hint = small(copies)
+
+    seeds = store(_seeds(d).join(copies_hint.select(F.col("doc_id").alias("doc")), "doc", "left_anti"), "seeds")
+    first = store(_first_holders(seeds), "first-holders")
+    shared = store(seeds.join(first, "h"), "shared-seeds")
+    links = shared.where("NOT dense AND doc > other").select("doc", "other", "pos", "at")
+    links = links.unionByName(_preceding(shared.where("NOT dense").select("h", "doc", "pos"))).distinct()
+    near = store(_aligned(links, d, min_words, identity), "passages")
+
+    dense = shared.where("dense").withColumn("to", F.col("pos") + DENSE_K)
+    apart = store(_apart(dense, near), "seeds-apart")
+    links = apart.select("doc", "other", "pos", "at").unionByName(_preceding(apart.select("h", "doc", "pos"))).distinct()
+    near = store(near.unionByName(_aligned(links, d, min_words, identity, DENSE_K)), "more-passages")
+
+    links = _links_apart(dense.select("h", "doc", "pos"), d, near, min_words)
+    # a run of equal words is a match every few words, so shorter chains are what repeats within it
+    fuzzy = near.unionByName(_aligned(links, d, min_words, identity, DENSE_K, min_words // 2)).distinct()
     zero = F.lit(0).cast("bigint")
     sized = d.join(copies_hint.withColumnRenamed("doc_id", "_c"), F.col("doc_id") == F.col("_c")).withColumn("n", n_words.cast("bigint"))
     same = sized.where(F.col("n") >= min_words).select(

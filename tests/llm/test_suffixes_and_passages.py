@@ -164,3 +164,53 @@ def test_spans_merge_where_they_meet():
         edge = np.diff(cover.astype(int), prepend=0, append=0)
         start, end = sd.merged(spans, 20)
         assert start.tolist() == np.flatnonzero(edge == 1).tolist() and end.tolist() == np.flatnonzero(edge == -1).tolist()
+
+
+def linked(rows, pairs):
+    """Smallest id that the pairs lead to, for each id."""
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_equal_passages_between_short_holders_are_linked(make):
+    """Pieces of 49 words, before and between the holders of a whole passage, hold every seed of it; its holders still meet."""
+    rows = []
+    for n, base in ((50, 0), (58, 100), (90, 200)):
+        words = sentence(900 + n, n).split(" ")
+        pieces = [words[i : i + 49] for i in {*range(0, n - 49, 8), n - 49}]
+        for k in range(3):
+            rows += [(base + 10 * k + i, f"{sentence(base + 300 + 10 * k + i, 25)} {' '.join(p)} {sentence(base + 600 + 10 * k + i, 25)}") for i, p in enumerate(pieces)]
+            rows.append((base + 10 * k + 9, f"{sentence(base + 400 + k, 20)} {' '.join(words)} {sentence(base + 500 + k, 20)}"))
+    label = linked(rows, {(r.doc_id, r.other_id) for r in ps.repeated_passages(make(rows)).collect()})
+    for base in (0, 100, 200):
+        assert len({label[base + 10 * k + 9] for k in range(3)}) == 1, base
+
+
+def test_runs_of_seeds_are_the_same_wherever_they_stand():
+    p = ps.word_hashes([sentence(9, 50).encode()])[0]
+    texts = [sentence(40 + i, 20 + 7 * i) for i in range(3)]
+    whole = [(t + " " + sentence(9, 50) + " " + t).encode() for t in texts]
+    h, doc, pos = ps.seeds_of(*ps.word_hashes(whole), ps.DENSE_K, ps.DENSE_WINDOW)
+    key, i, j = ps.runs_of(h.view(np.int64), doc, pos, 50 - ps.DENSE_K - 2 * (ps.DENSE_WINDOW - 1))
+    inside = [{int(k) for k, a, b in zip(key, i, j) if doc[a] == n and 20 + 7 * n <= pos[a] and pos[b] + ps.DENSE_K <= 70 + 7 * n} for n in range(3)]
+    assert len(p) == 50 and inside[0] & inside[1] & inside[2]
+
+
+@pytest.mark.parametrize("n, every", [(60, 10), (60, 7), (80, 7), (80, 5), (100, 5)])
+def test_recall_of_densely_edited_passages(n, every):
+    """Words replaced, left out or put in at random places, up to one in five: identity 0.8 and more."""
+    r = np.random.default_rng(n * every)
+    found = 0
+    for _ in range(60):
+        p, other = r.integers(0, 1 << 60, (2, n)).astype(np.uint64)
+        q = list(p)
+        for i in sorted(r.choice(n, n // every, replace=False).tolist(), reverse=True):
+            q[i : i + 1] = ([other[i]], [], [q[i], other[i]])[r.integers(0, 3)]
+        texts = [np.concatenate((r.integers(0, 1 << 60, 40).astype(np.uint64), m, r.integers(0, 1 << 60, 40).astype(np.uint64))) for m in (p, np.array(q))]
+        h, doc, pos = ps.seeds_of(np.concatenate(texts), np.cumsum([0, *map(len, texts)]), ps.DENSE_K, ps.DENSE_WINDOW)
+        x, y = np.array([(a, b) for a, s in zip(pos[doc == 0], h[doc == 0]) for b in pos[doc == 1][h[doc == 1] == s]]).reshape(-1, 2).T
+        found += any(len(c) > 1 and ps.passage(*texts, x[c], y[c], 50, 0.8, ps.DENSE_K) is not None for c in (ps.chains(x, y, ps.DENSE_K) if len(x) else []))
+    assert found >= 54, found
