@@ -73,3 +73,17 @@ def test_bigrams_are_stored_packed(spark):
     before = used()
     assert K.token_stats(d).count() == 1000
     assert used() - before < 16 * 299 * 1000
+
+
+def test_bigrams_are_not_stored_and_chunks_follow_no_order_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [f"word{int(x)}" for x in rng.integers(0, 300, 30)], [1] * 30) for i in range(200)]
+    d = spark.createDataFrame(rows, "sample_id bigint, tokens array<string>, mask array<int>")
+    packed, real = [], type(d).mapInArrow
+    monkeypatch.setattr(type(d), "mapInArrow", lambda self, f, schema: packed.append(self) or real(self, f, schema))
+    before = sum(len(fs) for _, _, fs in os.walk(shared_dir(spark).removeprefix("file:")))
+    for ascending in (True, False):
+        assert K.token_stats(d.orderBy("sample_id", ascending=ascending).coalesce(1)).count() == 200
+    assert sum(len(fs) for _, _, fs in os.walk(shared_dir(spark).removeprefix("file:"))) == before
+    first, second = ([r["id"] for r in p.select("id").collect()] for p in packed)
+    assert first == second
