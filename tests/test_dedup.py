@@ -87,6 +87,26 @@ def test_chains_and_hubs_are_whole_without_pivots_too(spark, pivots):
     assert S.similar_components(lambda ids, how: none, 0.8, pivots).count() == 0
 
 
+def test_whole_sets_are_cut_only_for_pairs_that_can_be_similar(spark):
+    """Rows that share two rare grams each, a family, and an id that repeats."""
+    r = random.Random(11)
+    rare = [[f"x{i}-{j}" for j in range(6)] for i in range(10)]
+    texts = [(i, " ".join(rare[i % 10] + [f"w{r.randrange(10**6)}" for _ in range(40)])) for i in range(60)]
+    base = [f"f{j}" for j in range(50)]
+    texts += [(100 + i, " ".join(base + [f"t{i}"])) for i in range(3)] + [(102, " ".join(rare[3] + base[:20]))]
+    rows = spark.createDataFrame(texts, "id bigint, text string")
+    asked = []
+
+    def sets_of(ids, how):
+        if ids is not None and how == "left_semi":
+            asked.append({x["id"] for x in ids.collect()})
+        return D.gram_sets(rows if ids is None else rows.join(ids, "id", how), "text", "id")
+
+    got = {(x["id"], x["component"]) for x in S.similar_components(sets_of).collect()}
+    assert got == {(i, i) for i in range(60)} | {(100, 100), (101, 100), (102, 100)}
+    assert asked and set().union(*asked) == {100, 101, 102}
+
+
 def test_only_repeated_elements_leave_a_range():
     import pyarrow as pa
 
