@@ -182,6 +182,26 @@ def test_items_over_lines(spark):
     assert windows.where("sample_id = 3 and n_lines = 3").count() == 150_001
 
 
+def test_windows_are_cut_only_from_rows_that_hold_an_item_gram(spark, monkeypatch):
+    item = " ".join(f"q{i}" for i in range(12)) + "\n" + " ".join(f"r{i}" for i in range(12))
+    rows = [(1, "head\n" + item.upper() + "\ntail of it"), (2, "nothing in common here\n" * 50), (3, "one two"), (4, "three\n\nOne, two!\nfour"), (5, None), (6, ""), (7, "q0 q1 q2 q3 q4 q5 alone")]
+    docs = spark.createDataFrame(rows, "sample_id bigint, text string")
+    cut, real = [], D.line_windows
+    monkeypatch.setattr(D, "line_windows", lambda df, *a: cut.append({x["sample_id"] for x in df.collect()}) or real(df, *a))
+    items = spark.createDataFrame([(1, item), (2, "one two")], "item_id bigint, text string")
+    assert {tuple(x) for x in D.near_windows(docs, items).collect()} == {(1, 2, 2, 1), (3, 1, 1, 2), (4, 3, 1, 2), (4, 2, 2, 2)}
+    assert {tuple(x) for x in D.near_windows(docs, items.where("item_id = 1")).collect()} == {(1, 2, 2, 1)}
+    assert cut[1] == {1}
+
+
+def test_normal_forms_of_runs_are_those_of_their_lines(spark):
+    rows = [(1, "\u0391\u03a3\n\u0392 x-Y\n\u0130i \ud55c\n\n9.9"), (2, "A\r\nb\n"), (3, "\n")]
+    docs = spark.createDataFrame(rows, "sample_id bigint, text string")
+    items = spark.createDataFrame([(1, "a"), (2, "a\nb"), (3, "a\nb\nc")], "item_id bigint, text string")
+    w = D.line_windows(docs, items).withColumn("whole", D.TX.normal_form("text"))
+    assert w.count() == 5 + 4 + 3 + 3 + 2 + 1 + 2 + 1 and w.where("norm <> whole or norm is null").isEmpty()
+
+
 def test_shared_folder_is_required_off_local_masters(spark, monkeypatch):
     import siftwork.session as session
 
