@@ -164,13 +164,18 @@ def t24(spark, sf):
     return rounded(a.agg(F.avg("spearman").alias("mean_spearman"), F.count(F.lit(1)).alias("n")), "mean_spearman")
 
 
-def less_sets(spark, sf):
-    u = u_lo(spark, sf).withColumn("u", F.round("u_lo", 9))
+def rounded_u_lo(spark, sf):
+    """Utilities, stored: a sketch, the site similarities and the ranks' several passes hang on them."""
+    return cut_lineage(u_lo(spark, sf).withColumn("u", F.round("u_lo", 9)))
+
+
+def less_sets(spark, sf, u=None):
+    u = rounded_u_lo(spark, sf) if u is None else u
     from siftwork.functions.ranks import ranked
     from siftwork.operators.common import resolve_budget
 
     k = resolve_budget(X.pool_vectors(spark, sf), 0.10)
-    return ranked(cut_lineage(u).withColumn("_k", k), ["config"], ["-u", "sample_id"], upto="_k").select("config", "sample_id", "u")
+    return ranked(u.withColumn("_k", k), ["config"], ["-u", "sample_id"], upto="_k").select("config", "sample_id", "u")
 
 
 OVERLAP = LESS_SETS + f""", ov AS (SELECT a.config AS "left", b.config AS "right", count(*) AS inter FROM sel a JOIN sel b USING (sample_id) GROUP BY ALL),
@@ -216,8 +221,8 @@ ps AS (SELECT l || '|' || rr AS o, round(x.u_lo, 9) AS d, round(y.u_lo, 9) AS e
 def t23(spark, sf):
     """Spearman on the union of two top sets, for every pair of configurations."""
     names = sorted(x[0] for x in REG.SPECS)
-    u = u_lo(spark, sf).withColumn("u", F.round("u_lo", 9))
-    s = less_sets(spark, sf).select("config", "sample_id", F.lit(True).alias("top"))
+    u = rounded_u_lo(spark, sf)
+    s = less_sets(spark, sf, u).select("config", "sample_id", F.lit(True).alias("top"))
     d = u.join(s, ["config", "sample_id"], "left")
     w = d.groupBy("sample_id").pivot("config", names).agg(F.first("u").alias("u"), F.max("top").alias("top"))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
