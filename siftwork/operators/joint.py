@@ -1,8 +1,10 @@
 """One model of utility and spread, trained on all four terms of the loss at once.
 
 mu is linear in [1, z_x, z_p, z_t] and the products of their leading entries, sigma is the softplus of a second linear
-form of the same inputs. Every evaluation of loss and gradient is one Spark job over the stored rows; the driver holds
-the two coefficient vectors and the last steps of the descent.
+form of the same inputs. z_p and z_t are those of a few (configuration, task) cells, so within a cell both forms are
+linear in z_x alone: a row costs z_x times its cells, and no row's inputs are laid out in full. Every evaluation of loss
+and gradient is one Spark job over the stored rows; the driver holds the two coefficient vectors and the last steps of
+the descent.
 """
 
 from __future__ import annotations
@@ -15,31 +17,61 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.functions import vectors as V
-from siftwork.functions.text import bind
 from siftwork.operators.model import SIGMA_FLOOR, WEIGHTS
 from siftwork.operators.sampling import rank_pairs
 from siftwork.session import cut_lineage
 
 SLOTS = 32  # partial sums that reach the driver
-ROWS = 4096  # rows whose inputs are laid out at once
+ROWS = 4096  # samples that are stored and worked on as one block
 
 
-def inputs(x, p, t, rank: int) -> Column:
-    """The model's inputs of one row; a part left out is an empty array."""
-    x, p, t = (F.coalesce(F.col(c).cast("array<double>"), F.array().cast("array<double>")) for c in (x, p, t))
+def inputs(x, p, t) -> list[Column]:
+    """z_x, z_p and z_t of one row; a part left out is an empty array."""
+    return [F.coalesce(F.col(c).cast("array<double>"), F.array().cast("array<double>")) for c in (x, p, t)]
 
-    def products(other: Column) -> Column:
-        return F.flatten(F.transform(F.slice(x, 1, rank), lambda a: F.transform(F.slice(other, 1, rank), lambda b: a * b)))
 
-    return F.concat(F.array(F.lit(1.0)), x, p, t, *([products(p), products(t)] if rank else []))
+def _form(x: np.ndarray, p: np.ndarray, t: np.ndarray, rank: int, *coefficients: np.ndarray) -> list[np.ndarray]:
+    """Linear forms of [1, x, p, t, products of x and p, products of x and t] of many rows.
 
-
-def _design(x: np.ndarray, p: np.ndarray, t: np.ndarray, rank: int) -> np.ndarray:
-    """``inputs`` of many rows."""
+    Each row is summed in the same order wherever it stands, so equal rows get equal values.
+    """
     lead = x[:, :rank, None]
-    made = [(lead * o[:, None, :rank]).reshape(len(x), -1) for o in (p, t)] if rank else []
-    return np.concatenate([np.ones((len(x), 1)), x, p, t, *made], axis=1)
+    parts = [x, p, t, *[(lead * o[:, None, :rank]).reshape(len(x), lead.shape[1] * o[:, :rank].shape[1]) for o in (p, t)]]
+    at = np.cumsum([1, *[q.shape[1] for q in parts]])
+    return [w[0] + sum((q * w[i : i + q.shape[1]]).sum(axis=1) for q, i in zip(parts, at)) for w in coefficients]
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a column of arrays, each row's length, and which rows hold a NULL."""
+    values, size = column.flatten(), np.diff(np.asarray(column.offsets))
+    gone = np.zeros(len(column), bool)
+    if values.null_count:
+        gone[np.repeat(np.arange(len(column)), size)[np.asarray(values.is_null().to_numpy(zero_copy_only=False))]] = True
+    return values.to_numpy(zero_copy_only=False).astype(np.float64), size, gone
+
+
+def _scores(rank: int, w: np.ndarray, v: np.ndarray) -> Callable:
+    """[mu, z] of rows of inputs; NULL where an input is NULL or their number is not the model's."""
+
+    def run(x, p, t):
+        import pyarrow as pa
+
+        flat, sizes, gone = zip(*[_lists(c) for c in (x, p, t)])
+        starts = [np.cumsum(n) - n for n in sizes]
+        out, bad = np.zeros((len(x), 2)), np.logical_or.reduce(gone)
+        shapes, kind = np.unique(np.stack(sizes, axis=1), axis=0, return_inverse=True)
+        for k, shape in enumerate(shapes.tolist()):
+            lead = [min(rank, n) for n in shape]
+            some = np.flatnonzero(kind.ravel() == k)
+            if 1 + sum(shape) + lead[0] * (lead[1] + lead[2]) != len(w):
+                bad[some] = True
+                continue
+            parts = [f[at[some][:, None] + np.arange(n)] for f, at, n in zip(flat, starts, shape)]
+            out[some] = np.stack(_form(*parts, rank, w, v), axis=1)
+        offsets = pa.array(np.arange(0, 2 * len(x) + 1, 2, dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=pa.array(bad))
+
+    return run
 
 
 def _softplus(z):
@@ -56,14 +88,13 @@ def _huber(e):
     return np.where(a <= 1, 0.5 * e * e, a - 0.5), np.clip(e, -1, 1)
 
 
-def row_terms(f: np.ndarray, u_lo: np.ndarray, u_hi: np.ndarray, w: np.ndarray, v: np.ndarray, share: dict) -> tuple[float, np.ndarray, np.ndarray]:
-    """Loss and gradients of rows: Huber on the label and on the proxy, and the likelihood of the label.
+def row_slopes(mu: np.ndarray, z: np.ndarray, u_lo: np.ndarray, u_hi: np.ndarray, share: dict) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss of rows and its slopes in mu and z: Huber on the label and on the proxy, and the likelihood of the label.
 
     NaN stands for a missing value; ``share`` weighs each term's sum.
     """
-    mu, z = f @ w, f @ v
     has, known = ~np.isnan(u_hi), ~np.isnan(u_lo)
-    loss, g_mu, g_z = 0.0, np.zeros(len(f)), np.zeros(len(f))
+    loss, g_mu, g_z = 0.0, np.zeros(len(mu)), np.zeros(len(mu))
     for name, target, some in (("reg", u_hi, has), ("proxy", u_lo, known)):
         value, slope = _huber(mu[some] - target[some])
         loss += share[name] * value.sum()
@@ -73,14 +104,25 @@ def row_terms(f: np.ndarray, u_lo: np.ndarray, u_hi: np.ndarray, w: np.ndarray,
     loss += share["unc"] * (0.5 * gap**2 / s**2 + np.log(s)).sum()
     g_mu[has] += share["unc"] * gap / s**2
     g_z[has] += share["unc"] * (1 / s - gap**2 / s**3) * _sigmoid(z[has])
-    return float(loss), g_mu @ f, g_z @ f
+    return float(loss), g_mu, g_z
+
+
+def row_terms(f: np.ndarray, u_lo: np.ndarray, u_hi: np.ndarray, w: np.ndarray, v: np.ndarray, share: dict) -> tuple[float, np.ndarray, np.ndarray]:
+    """``row_slopes`` of rows with inputs f, as gradients in w and v."""
+    loss, g_mu, g_z = row_slopes(f @ w, f @ v, u_lo, u_hi, share)
+    return loss, g_mu @ f, g_z @ f
+
+
+def pair_slopes(z: np.ndarray, share: float) -> tuple[float, np.ndarray]:
+    """Loss of pairs with signed differences z, -log sigmoid(z), and its slopes in z."""
+    return float(share * _softplus(-z).sum()), -share * _sigmoid(-z)
 
 
 def pair_terms(left: np.ndarray, right: np.ndarray, sign: np.ndarray, w: np.ndarray, share: float) -> tuple[float, np.ndarray]:
     """Loss and gradient of pairs: -log sigmoid(sign (mu_left - mu_right))."""
     d = sign[:, None] * (left - right)
-    z = d @ w
-    return float(share * _softplus(-z).sum()), -share * (_sigmoid(-z) @ d)
+    loss, slope = pair_slopes(d @ w, share)
+    return loss, slope @ d
 
 
 @dataclass(frozen=True)
@@ -98,29 +140,72 @@ class Conditions:
         return Conditions(tuple((r.config, r.task) for r in rows), width("z_p"), width("z_t"))
 
 
-def _batches(batches, cond: Conditions, rank: int) -> Iterator[tuple]:
-    """(inputs, u_lo, u_hi) of rows and (inputs, inputs, sign) of pairs, in bounded pieces."""
+    def coefficients(self, w: np.ndarray, width: int, rank: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each cell: the coefficients of x (``width`` rows, a column a cell) and the constant of the form w."""
+        sizes = [1, width, self.p.shape[1], self.t.shape[1]]
+        one, x, p, t, products = np.split(w, np.cumsum(sizes))
+        a = np.repeat(x[:, None], len(self.keys), axis=1)
+        lead = min(rank, width)
+        for o in (self.p[:, :rank], self.t[:, :rank]):
+            made, products = np.split(products, [lead * o.shape[1]])
+            a[:lead] += made.reshape(lead, o.shape[1]) @ o.T
+        return a, one + self.p @ p + self.t @ t
+
+    def folded(self, n: np.ndarray, x: np.ndarray, rank: int) -> np.ndarray:
+        """Weighted sums of all inputs, from each cell's sum of weights (n) and weighted sums of x (a row a cell)."""
+        made = [(x[:, :rank].T @ o[:, :rank]).ravel() for o in (self.p, self.t)]
+        return np.concatenate(([n.sum()], x.sum(axis=0), n @ self.p, n @ self.t, *made))
+
+    def squared(self) -> Conditions:
+        return Conditions(self.keys, self.p**2, self.t**2)
+
+
+PACKED = "pair boolean, n int, width int, x binary, other binary, row binary, cell binary, u_lo binary, u_hi binary"
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Blocks of up to ROWS rows (x, other, cells) of one kind: their numbers as bytes, and the row of each cell."""
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            paired = ~np.asarray(b.column("other").is_null().to_numpy(zero_copy_only=False))
+            for pair in (False, True):
+                chosen = np.flatnonzero(paired == pair)
+                for at in range(0, len(chosen), ROWS):
+                    part = b.take(pa.array(chosen[at : at + ROWS]))
+                    n, cells = part.num_rows, part.column("cells")
+                    flat = cells.flatten()
+                    row = np.repeat(np.arange(n), np.diff(np.asarray(cells.offsets)))
+                    cell, lo, hi = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("cell", "u_lo", "u_hi"))
+                    x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+                    other = part.column("other").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    made = (x, other, row.astype(np.int32), cell.astype(np.int32), lo.astype(np.float64), hi.astype(np.float64))
+                    columns = [pa.array([pair]), pa.array([n], pa.int32()), pa.array([x.shape[1]], pa.int32()), *[pa.array([m.tobytes()], pa.binary()) for m in made]]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    return rows.select("x", "other", "cells").mapInArrow(run, PACKED)
+
+
+def _blocks(batches, wide: bool = True) -> Iterator[tuple]:
+    """(pair, x, other, row, cell, u_lo, u_hi) of the stored blocks; x has no columns where it is not ``wide``."""
     for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            part = b.slice(at, ROWS)
-            cells, n = part.column("cells"), part.num_rows
-            if not n:
-                continue
-            offsets = np.asarray(cells.offsets)
-            flat = cells.flatten()
-            row = np.repeat(np.arange(n), np.diff(offsets))
-            cell, lo, hi = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False)) for c in ("cell", "u_lo", "u_hi"))
-            cell, lo, hi = cell.astype(int), lo.astype(np.float64), hi.astype(np.float64)
-            x = np.asarray(part.column("x").flatten()).reshape(n, -1)
-            pair = ~np.asarray(part.column("other").is_null())[row]
-            for some in np.array_split(np.flatnonzero(~pair), max(1, -(-int((~pair).sum()) // ROWS))):
-                if len(some):
-                    yield "row", _design(x[row[some]], cond.p[cell[some]], cond.t[cell[some]], rank), lo[some], hi[some]
-            if pair.any():
-                some = np.flatnonzero(pair)
-                other = np.array([part.column("other")[int(i)].as_py() for i in row[some]])
-                both = [_design(y, cond.p[cell[some]], cond.t[cell[some]], rank) for y in (x[row[some]], other)]
-                yield "pair", *both, lo[some]
+        for r in range(b.num_rows):
+            pair, n, width = (b.column(c)[r].as_py() for c in ("pair", "n", "width"))
+            x, other, lo, hi = (np.frombuffer(b.column(c)[r].as_buffer(), np.float64) for c in ("x", "other", "u_lo", "u_hi"))
+            row, cell = (np.frombuffer(b.column(c)[r].as_buffer(), np.int32).astype(np.int64) for c in ("row", "cell"))
+            x, other = x.reshape(n, width), other.reshape(n if pair else 0, width)
+            if not wide:
+                x, other = x[:, :0], other[:, :0]
+            yield pair, x, other, row, cell, lo, hi
+
+
+def _cell_sums(weight: np.ndarray, x: np.ndarray, row: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
+    """Each cell's sum of weights, then its weighted sums of x."""
+    g = np.bincount(row * cells + cell, weights=weight, minlength=len(x) * cells).reshape(len(x), cells)
+    return np.concatenate((g.sum(axis=0), (g.T @ x).ravel()))
 
 
 def _partial(work: Callable):
@@ -203,13 +288,11 @@ class JointScorer:
         for c, keep in zip((x, p, t), self.parts):
             if not keep:
                 used = used.withColumn(c, F.array().cast("array<double>"))
-        both = bind(
-            inputs(x, p, t, self.rank),
-            lambda f: F.struct(V.dot(f, F.lit([float(a) for a in self.w])).alias("mu"), V.dot(f, F.lit([float(a) for a in self.v])).alias("z")),
-        )
-        z = F.col("_s.z")
+        made = F.arrow_udf(_scores(self.rank, np.asarray(self.w, np.float64), np.asarray(self.v, np.float64)), "array<double>")
+        both = made(*inputs(x, p, t))
+        z = F.get("_s", 1)
         sigma = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) + F.lit(SIGMA_FLOOR)
-        scored = used.withColumn("_s", both).withColumn("mu", F.col("_s.mu")).withColumn("sigma", sigma)
+        scored = used.withColumn("_s", both).withColumn("mu", F.get("_s", 0)).withColumn("sigma", sigma)
         return scored.select(*[c for c in df.columns if c not in ("mu", "sigma")], "mu", "sigma")
 
     def coefficients(self, spark: SparkSession) -> DataFrame:
@@ -232,7 +315,7 @@ def load(spark: SparkSession, path: str) -> JointScorer:
 
 
 def training_rows(triples: DataFrame, cond: Conditions, pairs_per_bucket: int = 256) -> DataFrame:
-    """One row a sample with its cells, and one row a label pair, stored.
+    """One row a sample with its cells, and one row a label pair, stored in blocks.
 
     ``triples``: sample_id, config, task, z_x, u_lo, u_hi (NULL where unknown). z_x is kept once a sample. Pairs are
     drawn per (config, task) among labelled rows; their number is bounded by cells x ``pairs_per_bucket``.
@@ -250,36 +333,42 @@ def training_rows(triples: DataFrame, cond: Conditions, pairs_per_bucket: int =
     left = rows.select(F.col("sample_id").alias("left_id"), "x")
     right = rows.select(F.col("sample_id").alias("right_id"), F.col("x").alias("other"))
     pairs = drawn.select("left_id", "right_id", F.array(sign).alias("cells")).join(left, "left_id").join(right, "right_id")
-    return cut_lineage(rows.select("x", "other", "cells").unionByName(pairs.select("x", "other", "cells")))
+    return cut_lineage(_packed(rows.select("x", "other", "cells").unionByName(pairs.select("x", "other", "cells"))))
 
 
-def _moments(cond: Conditions, rank: int) -> Callable:
-    """Rows, labels, proxies and pairs, then sums and squares of the inputs."""
+def _moments(cells: int, wide: bool) -> Callable:
+    """Rows, labels, proxies and pairs, then each cell's rows and its sums of x and of its squares."""
 
     def work(batches):
         total = None
-        for kind, f, a, b in _batches(batches, cond, rank):
-            if kind == "pair":
-                one = np.concatenate(([0, 0, 0, len(f)], np.zeros(2 * f.shape[1])))
-            else:
-                one = np.concatenate(([len(f), (~np.isnan(b)).sum(), (~np.isnan(a)).sum(), 0], f.sum(axis=0), (f * f).sum(axis=0)))
-            total = one if total is None else total + one
+        for pair, x, _, row, cell, lo, hi in _blocks(batches, wide):
+            one = np.ones(len(row))
+            counts = [0, 0, 0, len(row)] if pair else [len(row), (~np.isnan(hi)).sum(), (~np.isnan(lo)).sum(), 0]
+            sums = [_cell_sums(one * (not pair), f, row, cell, cells) for f in (x, x * x)]
+            made = np.concatenate((counts, sums[0], sums[1][cells:]))
+            total = made if total is None else total + made
         return total
 
     return work
 
 
-def _gradient(cond: Conditions, rank: int, w: np.ndarray, v: np.ndarray, share: dict) -> Callable:
+def _gradient(a: np.ndarray, a0: np.ndarray, c: np.ndarray, c0: np.ndarray, share: dict, wide: bool) -> Callable:
+    """Loss, and each cell's sums of slopes and of x times them; a, a0 make mu of x in each cell, c, c0 make z."""
+    cells, half = len(a0), len(a0) * (1 + len(a))
+
     def work(batches):
-        total = np.zeros(1 + 2 * len(w))
-        for kind, f, a, b in _batches(batches, cond, rank):
-            if kind == "pair":
-                loss, g = pair_terms(f, a, b, w, share["rank"])
+        total = np.zeros(1 + 2 * half)
+        for pair, x, other, row, cell, lo, hi in _blocks(batches, wide):
+            if pair:
+                d = x - other  # of one cell, so all other inputs are the same
+                loss, g = pair_slopes(lo * (d @ a)[row, cell], share["rank"])
+                made = _cell_sums(g * lo, d, row, cell, cells)
+                made[:cells] = 0.0
                 total[0] += loss
-                total[1 : 1 + len(w)] += g
+                total[1 : 1 + half] += made
             else:
-                loss, g, h = row_terms(f, a, b, w, v, share)
-                total += np.concatenate(([loss], g, h))
+                loss, g, h = row_slopes((x @ a)[row, cell] + a0[cell], (x @ c)[row, cell] + c0[cell], lo, hi, share)
+                total += np.concatenate(([loss], _cell_sums(g, x, row, cell, cells), _cell_sums(h, x, row, cell, cells)))
         return total
 
     return work
@@ -303,11 +392,12 @@ def fit(
     """
     empty = np.zeros((len(cond.keys), 0))
     cond = Conditions(cond.keys, cond.p if parts[1] else empty, cond.t if parts[2] else empty)
-    if not parts[0]:
-        rows = rows.withColumn("x", F.array().cast("array<double>")).withColumn("other", F.when(F.col("other").isNotNull(), F.array().cast("array<double>")))
-    m = _summed(rows, _moments(cond, rank))
-    n, d = m[0], (len(m) - 4) // 2
-    mean, square = m[4 : 4 + d] / n, m[4 + d :] / n
+    cells, wide = len(cond.keys), parts[0]
+    m = _summed(rows, _moments(cells, wide))
+    n, width = m[0], (len(m) - 4 - cells) // (2 * cells)
+    sums, squares = m[4 + cells :].reshape(2, cells, width)
+    mean, square = cond.folded(m[4 : 4 + cells], sums, rank) / n, cond.squared().folded(m[4 : 4 + cells], squares, rank) / n
+    d = len(mean)
     scale = np.sqrt(np.maximum(square - mean**2, 0))
     scale = np.where(scale > 1e-9, scale, 1.0)
     share = {name: weight / max(1.0, count) for name, weight, count in zip(("rank", "reg", "proxy", "unc"), weights, (m[3], m[1], m[2], m[1]))}
@@ -316,8 +406,9 @@ def fit(
 
     def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
         w, v = theta[:d] / scale, theta[d:] / scale
-        total = _summed(rows, _gradient(cond, rank, w, v, share))
-        g = total[1:] / np.concatenate((scale, scale))
+        total = _summed(rows, _gradient(*cond.coefficients(w, width, rank), *cond.coefficients(v, width, rank), share, wide))
+        g = np.concatenate([cond.folded(h[:cells], h[cells:].reshape(cells, width), rank) for h in np.split(total[1:], 2)])
+        g = g / np.concatenate((scale, scale))
         return float(total[0] + 0.5 * (penalty * theta * theta).sum()), g + penalty * theta
 
     first = np.zeros(2 * d) if start is None else np.concatenate((start.w * scale, start.v * scale))

@@ -108,3 +108,53 @@ def test_calibration_on_disjoint_rows(triples):
     assert np.allclose(c, np.linalg.solve(x.T @ x + 0.1 * np.eye(4), x.T @ y))
     mse = F.avg(F.pow(F.col("u_hi") - F.col("mu"), 2))
     assert J.calibrated(held, features, c).agg(mse).head()[0] < 0.1 * held.agg(mse).head()[0]
+
+
+def laid_out(x, p, t, rank):
+    """All inputs of each row, apart from the operator's own code."""
+    made = [[a * b for a in x[i][:rank] for b in o[i][:rank]] for o in (p, t) for i in range(len(x))]
+    n = len(x)
+    return np.array([[1.0, *x[i], *p[i], *t[i], *made[i], *made[n + i]] for i in range(n)])
+
+
+def test_cells_give_the_sums_of_the_laid_out_inputs():
+    r = np.random.default_rng(3)
+    cond = J.Conditions((("c", "a"), ("c", "b"), ("d", "a")), r.normal(size=(3, 3)), r.normal(size=(3, 2)))
+    x, row, cell = r.normal(size=(6, 5)), np.array([0, 0, 1, 2, 3, 3, 5, 5]), np.array([0, 2, 1, 1, 0, 0, 2, 1])  # one cell twice
+    f = laid_out(x[row], cond.p[cell], cond.t[cell], 4)
+    w, g = r.normal(size=f.shape[1]), r.normal(size=len(row))
+    a, a0 = cond.coefficients(w, 5, 4)
+    assert np.allclose((x @ a)[row, cell] + a0[cell], f @ w)
+    sums = J._cell_sums(g, x, row, cell, 3)
+    assert np.allclose(cond.folded(sums[:3], sums[3:].reshape(3, 5), 4), g @ f)
+    squares = J._cell_sums(np.ones(8), x * x, row, cell, 3)
+    assert np.allclose(cond.squared().folded(squares[:3], squares[3:].reshape(3, 5), 4), (f * f).sum(axis=0))
+
+
+def test_training_rows_are_stored_in_blocks(rows):
+    kinds = {r.pair: (r.n, r.blocks) for r in rows.groupBy("pair").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks")).collect()}
+    assert kinds[False][0] == 150 and kinds[False][1] < 150 / 2 and kinds[True][0] > kinds[True][1]
+
+
+def test_scores_of_odd_rows(spark):
+    """Rows of other widths, with NULL inputs or without a part: as many inputs as coefficients, or NULL."""
+    r = np.random.default_rng(4)
+    w, v = r.normal(size=15), r.normal(size=15)
+    rows = [
+        (1, [1.0, 2.0], [0.5, -1.0], [2.0, 0.25]),  # 1 + 2 + 2 + 2 + 4 + 4
+        (2, [1.0, 2.0], [0.5, None], [2.0, 0.25]),
+        (3, None, [0.5, -1.0], [2.0, 0.25]),
+        (4, [1.0, 2.0, 3.0], [0.5, -1.0], [2.0, 0.25]),
+        (5, [3.0] * 7, None, [0.0] * 0),
+        (6, [3.0, 4.0], None, [1.0] * 4),  # 1 + 2 + 4 + 8
+        (7, [1.0, 2.0], [0.5, -1.0], [2.0, 0.25]),
+        (8, [float("nan"), 2.0], [0.5, -1.0], [2.0, 0.25]),
+    ]
+    df = spark.createDataFrame(rows, "id int, z_x array<double>, z_p array<double>, z_t array<double>")
+    got = {r.id: (r.mu, r.sigma) for r in J.JointScorer(w, v, 4).score(df).collect()}
+    for i in (1, 6):
+        _, x, p, t = rows[i - 1]
+        f = laid_out([x], [p or []], [t], 4)[0]
+        assert np.allclose(got[i], (f @ w, np.logaddexp(0, f @ v) + Q.SIGMA_FLOOR))
+    assert all(got[i] == (None, None) for i in (2, 3, 4, 5))
+    assert got[7] == got[1] and np.isnan(got[8][0])
