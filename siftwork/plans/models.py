@@ -134,8 +134,8 @@ class Training:
     def proxy(self, **kw):
         return J.fit(self.rows, self.cond, PROXY_ONLY, steps=STEPS, **kw)
 
-    def joint(self, **kw):
-        return J.fit(self.rows, self.cond, start=self.proxy(), steps=STEPS, **kw)
+    def joint(self, first=None, **kw):
+        return J.fit(self.rows, self.cond, start=first or self.proxy(), steps=STEPS, **kw)
 
     def scored(self, model):
         return model.score(with_conditions(self.triples, self.conditions))
@@ -268,11 +268,12 @@ def k20(spark, sf):
     from siftwork.functions.ranks import ranked
 
     t = Training(*task_table(spark, sf))
+    first = t.proxy()
     models = {
-        "proxy_only": t.proxy(),
+        "proxy_only": first,
         "labels_only": J.fit(t.rows, t.cond, LABELS_ONLY, steps=STEPS),
         "no_condition": J.fit(t.rows, t.cond, steps=STEPS, parts=(True, False, False)),
-        "joint": t.joint(),
+        "joint": t.joint(first),
     }
     parts = None
     for name, m in models.items():

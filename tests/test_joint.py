@@ -158,3 +158,18 @@ def test_scores_of_odd_rows(spark):
         assert np.allclose(got[i], (f @ w, np.logaddexp(0, f @ v) + Q.SIGMA_FLOOR))
     assert all(got[i] == (None, None) for i in (2, 3, 4, 5))
     assert got[7] == got[1] and np.isnan(got[8][0])
+
+
+def test_the_variants_share_the_proxy_fit(spark, monkeypatch):
+    from siftwork.plans import models as P
+
+    fits = []
+    monkeypatch.setattr(P, "cut_lineage", lambda df: df)
+    monkeypatch.setattr(P, "task_table", lambda spark, sf: (None, None))
+    monkeypatch.setattr(J.Conditions, "of", staticmethod(lambda table: None))
+    monkeypatch.setattr(J, "training_rows", lambda triples, cond: None)
+    monkeypatch.setattr(J, "fit", lambda *a, **kw: fits.append((a, kw)) or J.JointScorer(np.zeros(1), np.zeros(1), 4))
+    kinds = "config string, task string, sample_id bigint, mu double, sigma double"
+    monkeypatch.setattr(P.Training, "scored", lambda self, m: spark.createDataFrame([("c", "t", i, float(i), 1.0) for i in range(20)], kinds))
+    assert P.k20(spark, None).head()["union"] == 2
+    assert len(fits) == 4 and "start" in fits[3][1]
