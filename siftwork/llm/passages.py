@@ -17,6 +17,7 @@ GAP = 0.08  # cost of a word between two matches; a match of K words pays for 62
 MIN_WORDS = 50
 IDENTITY = 0.8
 REACH = 34  # words beyond a chain's ends that the alignment may add
+ALIGNED, CELLS = 256, 1 << 15  # chains, and cells of a row, that are aligned side by side
 
 
 def seeds_of(words: np.ndarray, start: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,18 +85,53 @@ def chains(x: np.ndarray, y: np.ndarray, k: int = K, gap: float = GAP) -> list[n
     return out
 
 
+def _next_row(row: np.ndarray, word: np.ndarray, b: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The row of the edit distance table after one more word; a column is one pair of texts."""
+    new = np.empty_like(row)
+    new[0] = row[0] + 1
+    new[1:] = np.minimum(row[:-1] + (b != word), row[1:] + 1)
+    return np.minimum.accumulate(new - step, axis=0) + step
+
+
+def _side_by_side(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays as columns of one table, and their lengths; what lies beyond an array's end is not looked at."""
+    size = np.array([len(w) for w in arrays])
+    table = np.zeros((len(arrays), int(size.max(initial=0))), np.uint64)
+    table[np.arange(table.shape[1]) < size[:, None]] = np.concatenate(arrays)
+    return np.ascontiguousarray(table.T), size
+
+
+def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Words to insert, delete or replace in each pair; pairs of similar length share the rows of one table."""
+    out = np.zeros(len(pairs), np.int64)
+    open_ = []
+    for n, (a, b) in enumerate(pairs):
+        if not len(a) or not len(b):
+            out[n] = max(len(a), len(b))
+        elif len(a) != len(b) or a.tobytes() != b.tobytes():
+            open_.append((n, a, b) if len(a) >= len(b) else (n, b, a))
+    open_.sort(key=lambda r: (len(r[1]), len(r[2])))
+    at = 0
+    while at < len(open_):
+        least, to, wide = len(open_[at][1]), at, 0
+        while to < len(open_) and len(open_[to][1]) <= 2 * least and (to == at or (to - at + 1) * max(wide, len(open_[to][2])) <= CELLS):
+            wide = max(wide, len(open_[to][2]))
+            to += 1
+        (a, long), (b, short) = (_side_by_side([r[i] for r in open_[at:to]]) for i in (1, 2))
+        step = np.arange(len(b) + 1, dtype=np.int32)[:, None]
+        row = np.repeat(step, to - at, axis=1)
+        number = np.array([r[0] for r in open_[at:to]])
+        for i in range(len(a)):
+            row = _next_row(row, a[i], b, step)
+            done = np.flatnonzero(long == i + 1)
+            out[number[done]] = row[short[done], done]
+        at = to
+    return out
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray) -> int:
-    """Words to insert, delete or replace; one vectorised row at a time."""
-    if len(a) < len(b):
-        a, b = b, a
-    step = np.arange(len(b) + 1)
-    row = step.copy()
-    for w in a:
-        new = np.empty_like(row)
-        new[0] = row[0] + 1
-        new[1:] = np.minimum(row[:-1] + (b != w), row[1:] + 1)
-        row = np.minimum.accumulate(new - step) + step
-    return int(row[-1])
+    """Words to insert, delete or replace."""
+    return int(edit_distances([(a, b)])[0])
 
 
 def _extend(a: np.ndarray, b: np.ndarray, drop: int = 6) -> tuple[int, int]:
@@ -113,53 +149,71 @@ def _extend(a: np.ndarray, b: np.ndarray, drop: int = 6) -> tuple[int, int]:
     return (at + 1, int((~same[: at + 1]).sum())) if total[at] > 0 else (0, 0)
 
 
-def _extend_gapped(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Words of a, words of b and edits of the best extension along both arrays, words left out of one included."""
-    a, b = a[:REACH], b[:REACH]
-    step = np.arange(len(b) + 1)
-    rows = [step]
+def _extend_gapped(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """Of each pair: words of a, words of b and edits of the best extension along both, words left out of one included."""
+    (a, long), (b, short) = (_side_by_side([p[i][:REACH] for p in pairs]) for i in (0, 1))
+    step = np.arange(len(b) + 1, dtype=np.int32)[:, None]
+    rows = [np.repeat(step, len(pairs), axis=1)]
     for w in a:
-        new = np.empty_like(step)
-        new[0] = rows[-1][0] + 1
-        new[1:] = np.minimum(rows[-1][:-1] + (b != w), rows[-1][1:] + 1)
-        rows.append(np.minimum.accumulate(new - step) + step)
+        rows.append(_next_row(rows[-1], w, b, step))
     edits = np.stack(rows)
     # a matched word of both adds 1, an edit takes 2
-    i, j = np.unravel_index(np.argmax(np.add.outer(np.arange(len(a) + 1), step) - 5 * edits), edits.shape)
-    return int(i), int(j), int(edits[i, j])
-
-
-def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int = K, gapped: bool = False) -> tuple[int, int, int, int, int]:
-    """(start, end, start, end, edits) of a chain's passage in both word arrays; x, y are its matches.
-
-    Between matches the words are aligned by edit distance; both ends are extended word by word, where they are
-    ``gapped`` also past words that only one side has.
+    gain = np.arange(len(a) + 1, dtype=np.int32)[:, None, None] + step - 5 * edits
+    inside = (np.arange(len(a) + 1)[:, None, None] <= long) & (step <= short)
+    best = np.where(inside, gain, np.iinfo(np.int32).min).reshape(-1, len(pairs)).argmax(axis=0)
+    i, j = np.unravel_index(best, edits.shape[:2])
+    return list(zip(i.tolist(), j.tolist(), edits[i, j, np.arange(len(pairs))].tolist()))
+
+
+def _between(chains_: list[tuple], k: int) -> np.ndarray:
+    """Edits between the matches x, y of each chain (a, b, x, y)."""
+    edits, gaps, owner = np.zeros(len(chains_), np.int64), [], []
+    for n, (a, b, x, y) in enumerate(chains_):
+        da, db = np.diff(x) - k, np.diff(y) - k
+        over = (da < 0) | (db < 0)  # overlaps the match before: a change of diagonal is so many insertions
+        edits[n] = np.abs(da - db)[over].sum()
+        for m in np.flatnonzero(~over & ((da > 0) | (db > 0))).tolist():
+            i, j = int(x[m]) + k, int(y[m]) + k
+            gaps.append((a[i : i + int(da[m])], b[j : j + int(db[m])]))
+            owner.append(n)
+    np.add.at(edits, np.array(owner, np.int64), edit_distances(gaps))
+    return edits
+
+
+def _ends(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, k: int) -> tuple:
+    """What lies after a chain, and before it from the chain outwards, in both word arrays."""
+    return (a[int(x[-1]) + k :], b[int(y[-1]) + k :]), (a[: int(x[0])][::-1], b[: int(y[0])][::-1])
+
+
+def passages(chains_: list[tuple], min_words: int, identity: float, k: int = K) -> list[tuple[int, int, int, int, int] | None]:
+    """(start, end, start, end, edits) of the passages of chains (a, b, x, y) that are long and alike enough, else None.
+
+    x, y are a chain's matches in the word arrays a, b. Between matches the words are aligned by edit distance; both
+    ends are extended word by word, and what falls short gets a second try past words that only one side has.
     """
-    edits = 0
-    i, j = int(x[0]), int(y[0])  # up to here both are aligned
-    for p, q in zip(x.tolist(), y.tolist()):
-        if p >= i and q >= j:
-            edits += edit_distance(a[i:p], b[j:q]) if p > i or q > j else 0
-        else:  # overlaps the match before: a change of diagonal is so many insertions
-            edits += abs((p - i) - (q - j))
-        i, j = p + k, q + k
-    i, j = int(x[-1]) + k, int(y[-1]) + k
-    ends = (a[i:], b[j:]), (a[: int(x[0])][::-1], b[: int(y[0])][::-1])
-    if gapped:
-        (right, right_b, wrong), (left, left_b, more) = (_extend_gapped(*e) for e in ends)
-    else:
-        (right, wrong), (left, more) = (_extend(*e) for e in ends)
-        right_b, left_b = right, left
-    return int(x[0]) - left, i + right, int(y[0]) - left_b, j + right_b, edits + wrong + more
+    edits = _between(chains_, k).tolist()
+
+    def judged(n, right, left):
+        x, y = chains_[n][2:]
+        s, e, t, u = int(x[0]) - left[0], int(x[-1]) + k + right[0], int(y[0]) - left[1], int(y[-1]) + k + right[1]
+        wrong = edits[n] + right[2] + left[2]
+        return (s, e, t, u, wrong) if e - s >= min_words and 1 - wrong / (e - s) >= identity else None
+
+    out = []
+    for n, c in enumerate(chains_):
+        out.append(judged(n, *[(words, words, wrong) for words, wrong in (_extend(*e) for e in _ends(*c, k))]))
+    short = [n for n, got in enumerate(out) if got is None]
+    for at in range(0, len(short), ALIGNED):
+        some = short[at : at + ALIGNED]
+        found = _extend_gapped([e for n in some for e in _ends(*chains_[n], k)])
+        for n, right, left in zip(some, found[::2], found[1::2]):
+            out[n] = judged(n, right, left)
+    return out
 
 
 def passage(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, min_words: int, identity: float, k: int = K) -> tuple[int, int, int, int, int] | None:
-    """The alignment of a chain if it is long and alike enough; what falls short gets a second try with gapped ends."""
-    for gapped in (False, True):
-        s, e, t, u, edits = align(a, b, x, y, k, gapped)
-        if e - s >= min_words and 1 - edits / (e - s) >= identity:
-            return s, e, t, u, edits
-    return None
+    """``passages`` of one chain."""
+    return passages([(a, b, x, y)], min_words, identity, k)[0]
 
 
 def _seeds(docs: DataFrame) -> DataFrame:
@@ -389,12 +443,14 @@ def _aligned(links: DataFrame, d: DataFrame, min_words: int, identity: float, k:
         import pyarrow as pa
 
         for b in batches:
-            rows = []
-            cols = [b.column(c).to_pylist() for c in ("doc", "other", "x0", "y0", "matches", "a", "b")]
-            for doc, other, x0, y0, matches, wa, wb in zip(*cols):
+            rows, asked, ends = [], [], []
+            for r in zip(*[b.column(c).to_pylist() for c in ("doc", "other", "x0", "y0", "matches", "a", "b")]):
+                doc, other, x0, y0, matches, wa, wb = r
                 x, y = np.frombuffer(matches, np.int64).reshape(2, -1)
                 dx, dy = max(0, x0 - REACH), max(0, y0 - REACH)
-                got = passage(np.frombuffer(wa, np.uint64), np.frombuffer(wb, np.uint64), x - dx, y - dy, min_words, identity, k)
+                ends.append((doc, other, dx, dy))
+                asked.append((np.frombuffer(wa, np.uint64), np.frombuffer(wb, np.uint64), x - dx, y - dy))
+            for (doc, other, dx, dy), got in zip(ends, passages(asked, min_words, identity, k)):
                 if got:
                     s, e, t, u, edits = got
                     rows.append((doc, other, s + dx, e + dx, t + dy, u + dy, e - s, round(1 - edits / (e - s), 6)))
@@ -444,7 +500,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: flo
     # a run of equal words is a match every few words, so shorter chains are what repeats within it
     fuzzy = near.unionByName(_aligned(links, d, min_words, identity, DENSE_K, min_words // 2)).distinct()
     zero = F.lit(0).cast("bigint")
-    sized = d.join(copies_hint.withColumnRenamed("doc_id", "_c"), F.col("doc_id") == F.col("_c")).withColumn("n", n_words.cast("bigint"))
+    # asked of both sides, so that only the copies' words are counted
+    n_words = F.when(F.col("doc_id") > F.col("rep"), n_words.cast("bigint"))
+    sized = d.join(copies_hint.withColumnRenamed("doc_id", "_c"), F.col("doc_id") == F.col("_c")).withColumn("n", n_words)
     same = sized.where(F.col("n") >= min_words).select(
         "doc_id", F.col("rep").alias("other_id"), zero.alias("start"), F.col("n").alias("end"),
         zero.alias("other_start"), F.col("n").alias("other_end"), F.col("n").alias("n_words"), F.lit(1.0).alias("identity"),

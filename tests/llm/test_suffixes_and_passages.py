@@ -214,3 +214,33 @@ def test_recall_of_densely_edited_passages(n, every):
         x, y = np.array([(a, b) for a, s in zip(pos[doc == 0], h[doc == 0]) for b in pos[doc == 1][h[doc == 1] == s]]).reshape(-1, 2).T
         found += any(len(c) > 1 and ps.passage(*texts, x[c], y[c], 50, 0.8, ps.DENSE_K) is not None for c in (ps.chains(x, y, ps.DENSE_K) if len(x) else []))
     assert found >= 54, found
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, v in enumerate(a, 1):
+        new = [i]
+        for j, w in enumerate(b, 1):
+            new.append(min(row[j - 1] + (v != w), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_pairs_are_aligned_side_by_side_as_one_by_one():
+    r = np.random.default_rng(5)
+    texts = [(r.integers(0, 4, r.integers(0, 40)), r.integers(0, 4, r.integers(0, 40))) for _ in range(120)]
+    texts = [(a.astype(np.uint64), b.astype(np.uint64)) for a, b in texts] + [(np.arange(300, dtype=np.uint64), np.arange(7, dtype=np.uint64))]
+    assert ps.edit_distances(texts).tolist() == [plain_edits(a.tolist(), b.tolist()) for a, b in texts]
+    assert ps._extend_gapped(texts) == [ps._extend_gapped([t])[0] for t in texts]
+    for (a, b), (i, j, edits) in zip(texts, ps._extend_gapped(texts)):
+        assert i <= len(a) and j <= len(b) and edits == plain_edits(a[:i].tolist(), b[:j].tolist()) and i + j >= 5 * edits
+
+    chained = []
+    for n in range(60):
+        a = r.integers(0, 1000, 90).astype(np.uint64)
+        b = np.concatenate((a[:20], r.integers(0, 1000, n % 7).astype(np.uint64), a[20 + n % 5 :]))
+        x = np.array([2, 8, 40, 46])
+        chained.append((a, b, x, x + np.array([0, 0, n % 7 - n % 5, n % 7 - n % 5])))
+    got = ps.passages(chained, 50, 0.8)
+    assert got == [ps.passage(*c, 50, 0.8) for c in chained] and all(got)
+    assert ps.passages([], 50, 0.8) == []
